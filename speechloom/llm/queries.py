@@ -17,6 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.html_blocks import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_piece_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from speechloom.llm.piece_count import token_counts
 
@@ -41,6 +53,12 @@ def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 #: Of records with equal payloads of at least 1000 bytes the largest page_id is the response.
 OP9_SQL = """
 WITH p AS (
@@ -59,10 +77,13 @@ FROM d
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_pu_quality,
+        op4_main_text,
         op5_piece_token_counts,
         op6_word_bpe_round_trip,
         op7_mixture_packing,
         op9_content_addressed_warc,
+        op10_string_kernel_toxicity,
     )
 }
 ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL}
