@@ -47,6 +47,12 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op8_icws_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.near_dup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from speechloom.llm.warc import archived
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op5_piece_token_counts,
         op6_word_bpe_round_trip,
         op7_mixture_packing,
+        op8_icws_near_duplicates,
         op9_content_addressed_warc,
         op10_string_kernel_toxicity,
     )

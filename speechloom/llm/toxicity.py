@@ -13,6 +13,7 @@ worst sentence, calibrated on whole labelled texts.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ DECAY, SPAN, LANDMARKS = 0.6, 7, 500
 COST = 5.0
 #: A word in this share of the sentences of the strongest witness is one too.
 STRONG = 0.04
+#: A witness leans at least so far towards toxic sentences.
+LEANING = 10
 #: The fit reads at most this many labelled texts of each kind, none longer than FIT_CHARS.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 5000, 20_000
 #: Words longer than this are read in windows that overlap by half.
@@ -184,10 +187,20 @@ def labelled_words(texts: list[str], toxic: list[int]) -> tuple[dict[str, set[in
     return held, counted, {w: len(x) for w, x in distinct.items()}
 
 
-def witnesses(held: dict[str, set[int]], clean: Counter, sentences: dict[str, int], least: int = 3) -> list[str]:
+def leaning(clean: Counter, sentences: dict[str, int]) -> dict[str, float]:
+    """How many times more often a word stands in toxic sentences than in clean ones, all words taken together as 1."""
+    ratio = sum(sentences.values()) / max(1, sum(clean.values()))
+    return {w: n / (clean[w] + 0.5) / ratio for w, n in sentences.items()}
+
+
+def witnesses(held: dict[str, set[int]], clean: Counter, sentences: dict[str, int]) -> list[str]:
     """The words that explain the toxic labels: greedily the one that covers the most toxic texts without a witness yet, of
-    those that clean sentences hardly hold. Words that are merely rare add no text to those the insults explain."""
-    pure = {w: set(x) for w, x in held.items() if len(w) > 2 and sentences[w] >= least and clean[w] <= 0.02 * sentences[w]}
+    those that clean sentences hardly hold. Words that are merely rare add no text to those the insults explain. A word
+    counts from so many sentences on that not one of the vocabulary would stand in as many toxic ones, and no clean one, by chance."""
+    share = sum(sentences.values()) / max(1, sum(sentences.values()) + sum(clean.values()))
+    least = max(3, math.ceil(math.log(max(2, len(sentences) + len(clean))) / -math.log(min(0.9, max(1e-6, share)))))
+    lean = leaning(clean, sentences)
+    pure = {w: set(x) for w, x in held.items() if len(w) > 2 and sentences[w] >= least and lean[w] >= LEANING}
     out, covered = [], set()
     heap = [(-len(x), w) for w, x in pure.items()]
     heapq.heapify(heap)
@@ -222,9 +235,11 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         return None
     bad, clean, sentences = labelled_words(texts, toxic)
     positive = sorted(witnesses(bad, clean, sentences) or sorted(bad, key=lambda w: (clean[w], -len(bad[w]), w))[:5])
-    words = sorted(set(clean) - set(positive))
+    lean = leaning(clean, sentences)
+    doubtful = {w for w in bad if lean[w] >= 6}
+    words = sorted(set(clean) - set(positive) - doubtful)
     rng = np.random.default_rng(11)
-    common = {w for w, _ in clean.most_common(1500)} - set(positive)
+    common = {w for w, _ in clean.most_common(1500)} - set(positive) - doubtful
     negative = sorted(common | {words[i] for i in rng.permutation(len(words))[:3000]})
     pool = sorted(common | {words[i] for i in rng.permutation(len(words))[:60_000]})
     positive = sorted({*positive, *(v for w in positive for v in disguised(w, rng))})
@@ -233,7 +248,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         # Clean words that look worst, and unseen forms of toxic texts' sentences that look surely so, join the examples.
         decided = model.decide(pool)
         hard = [pool[i] for i in np.argsort(-decided, kind="stable")[:1000]]
-        unseen = sorted(w for w in bad if w not in clean and len(w) > 2)
+        unseen = sorted(w for w in doubtful if lean[w] >= LEANING and len(w) > 2)
         more = {unseen[i] for i in np.flatnonzero(model.decide(unseen) > 0.6)} if unseen else set()
         positive, negative = sorted({*positive, *more})[:3000], sorted({*negative, *hard} - more)
         model = train_words(positive, negative, hard)
