@@ -23,6 +23,12 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.vp_tree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from speechloom.llm.html_blocks import extracted
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pu_quality,
+        op3_vantage_point_search,
         op4_main_text,
         op5_piece_token_counts,
         op6_word_bpe_round_trip,
