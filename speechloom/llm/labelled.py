@@ -37,25 +37,34 @@ def hash_sample(docs: DataFrame, rows: int, without: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(without), "doc_id", "left_anti")
 
 
+def score_name(docs: DataFrame) -> str:
+    """A name for one more column that none of docs has."""
+    name = "_score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def scorer(docs: DataFrame, score: Callable[[list[str]], list[float]], keep: bool) -> DataFrame:
     """doc_id and score of every row, or, with keep, every column of docs and _score."""
     bound_batches(docs.sparkSession)
     if not keep:
         kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         return map_columns(kept, "doc_id long, score double", lambda bs: ({"doc_id": b["doc_id"], "score": score(b["text"])} for b in bs))
+    name = score_name(docs)
     # The rows go through whole, as they are: the score is one more column.
     def make(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
             found = score([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(make, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(make, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def finish(found: DataFrame, docs: DataFrame, threshold: float, keep: bool, good: int) -> DataFrame:
     """The report of a classifier, or the rows it predicts as good (1 or 0) with the columns of docs."""
     if keep:
-        passes = F.col("_score") >= threshold
+        passes = F.col(score_name(docs)) >= threshold
         return found.where(passes if good else ~passes).select(*[F.col(f"`{c}`") for c in docs.columns])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -23,6 +23,12 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op2_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.audio_media import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from speechloom.llm.vp_tree import nearest
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pu_quality,
+        op2_audio_media,
         op3_vantage_point_search,
         op4_main_text,
         op5_piece_token_counts,
