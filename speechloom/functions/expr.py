@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def rewrite(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:

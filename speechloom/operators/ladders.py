@@ -133,7 +133,7 @@ def status_of_score(score: Column, approve_min: int = 3, reject_max: int = 2) ->
 def parsed_score(answer: Column) -> Column:
     """A model's answer to a score: its first character, held to 1..5; 3 where that is no number."""
     number = F.left(strip(answer), F.lit(1)).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), number)), F.lit(3))
+    return F.when(number.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), number)))
 
 
 def exportable(status: Column, text: Column) -> Column:
