@@ -34,7 +34,7 @@ def decode(data: bytes | None) -> tuple[np.ndarray, int] | None:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
     else:
         return None
-    return to_mono(x.reshape(-1, channels)), rate
+    return x.reshape(-1, channels).mean(axis=1), rate
 
 
 def to_mono(x: np.ndarray) -> np.ndarray:
