@@ -33,7 +33,7 @@ STRONG = 0.04
 #: A witness leans at least so far towards toxic sentences.
 LEANING = 10
 #: The fit reads at most this many labelled texts of each kind, none longer than FIT_CHARS.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 5000, 20_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1200, 2400, 10_000
 #: Words longer than this are read in windows that overlap by half.
 LONG = 32
 #: Distinct words each Python worker keeps.
@@ -111,8 +111,8 @@ class Model:
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
             word, triple, value = triples(part)
             out[k : k + len(part)] += np.bincount(word, value * self.weights[triple], len(part))
         return out
@@ -128,8 +128,8 @@ def dense(words: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((len(used), len(landmarks)), np.float32)
     table[column, lw] = lv
     out = np.zeros((len(words), len(landmarks)))
-    for k in range(0, len(words), 2000):
-        part = words[k : k + 2000]
+    for k in range(0, len(words), 500):
+        part = words[k : k + 500]
         w, t, v = triples(part)
         at = np.minimum(np.searchsorted(used, t), len(used) - 1)
         hit = used[at] == t
@@ -169,38 +169,41 @@ def train_words(positive: list[str], negative: list[str], hard: list[str]) -> Mo
     return Model(weights.astype(np.float32), float(theta[-1]))
 
 
-def labelled_words(texts: list[str], toxic: list[int]) -> tuple[dict[str, set[int]], Counter, dict[str, int]]:
-    """For each word of toxic sentences the toxic texts it stands in, and the distinct sentences; for each word of clean
-    sentences their number. A sentence that a clean text holds too is clean, and a sentence counts once however often copied."""
+def labelled_sentences(texts: list[str], toxic: list[int]) -> tuple[dict[str, list[int]], set[str]]:
+    """Toxic sentences with the texts they stand in, and clean ones. A sentence that a clean text holds too is clean."""
     clean = {s for t, y in zip(texts, toxic, strict=True) if not y for s in _SENTENCE.split(t)}
+    bad: dict[str, list[int]] = {}
+    for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
+        for s in set(_SENTENCE.split(t)) - clean if y else ():
+            bad.setdefault(s, []).append(i)
+    return bad, clean
+
+
+def word_counts(sentences) -> Counter:
+    """In how many different sentences each word stands, however often these are copied."""
     counted: Counter = Counter()
-    for s in clean:
+    for s in sentences:
         counted.update({p for w in units(s) for p in windows(w)})
-    held: dict[str, set[int]] = {}
-    distinct: dict[str, set[int]] = {}
-    for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
-        for s in _SENTENCE.split(t) if y else ():
-            if s not in clean:
-                for p in {p for w in units(s) for p in windows(w)}:
-                    held.setdefault(p, set()).add(i)
-                    distinct.setdefault(p, set()).add(hash(s))
-    return held, counted, {w: len(x) for w, x in distinct.items()}
+    return counted
 
 
-def leaning(clean: Counter, sentences: dict[str, int]) -> dict[str, float]:
+def leaning(clean: Counter, sentences: Counter) -> dict[str, float]:
     """How many times more often a word stands in toxic sentences than in clean ones, all words taken together as 1."""
     ratio = sum(sentences.values()) / max(1, sum(clean.values()))
     return {w: n / (clean[w] + 0.5) / ratio for w, n in sentences.items()}
 
 
-def witnesses(held: dict[str, set[int]], clean: Counter, sentences: dict[str, int]) -> list[str]:
+def witnesses(bad: dict[str, list[int]], clean: Counter, sentences: Counter) -> list[str]:
     """The words that explain the toxic labels: greedily the one that covers the most toxic texts without a witness yet, of
     those that clean sentences hardly hold. Words that are merely rare add no text to those the insults explain. A word
     counts from so many sentences on that not one of the vocabulary would stand in as many toxic ones, and no clean one, by chance."""
     share = sum(sentences.values()) / max(1, sum(sentences.values()) + sum(clean.values()))
     least = max(3, math.ceil(math.log(max(2, len(sentences) + len(clean))) / -math.log(min(0.9, max(1e-6, share)))))
     lean = leaning(clean, sentences)
-    pure = {w: set(x) for w, x in held.items() if len(w) > 2 and sentences[w] >= least and lean[w] >= LEANING}
+    pure: dict[str, set[int]] = {w: set() for w, n in sentences.items() if len(w) > 2 and n >= least and lean[w] >= LEANING}
+    for s, held in bad.items():
+        for w in {p for u in units(s) for p in windows(u)}.intersection(pure):
+            pure[w].update(held)
     out, covered = [], set()
     heap = [(-len(x), w) for w, x in pure.items()]
     heapq.heapify(heap)
@@ -233,10 +236,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """None where there are no examples of both kinds."""
     if not any(toxic) or all(toxic):
         return None
-    bad, clean, sentences = labelled_words(texts, toxic)
-    positive = sorted(witnesses(bad, clean, sentences) or sorted(bad, key=lambda w: (clean[w], -len(bad[w]), w))[:5])
+    bad, clean_sentences = labelled_sentences(texts, toxic)
+    clean, sentences = word_counts(clean_sentences), word_counts(bad)
+    positive = sorted(witnesses(bad, clean, sentences) or sorted(sentences, key=lambda w: (clean[w], -sentences[w], w))[:5])
+    del bad, clean_sentences
     lean = leaning(clean, sentences)
-    doubtful = {w for w in bad if lean[w] >= 6}
+    doubtful = {w for w in sentences if lean[w] >= 6}
     words = sorted(set(clean) - set(positive) - doubtful)
     rng = np.random.default_rng(11)
     common = {w for w, _ in clean.most_common(1500)} - set(positive) - doubtful
@@ -258,7 +263,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
 
 
 def worst_units(texts: list[str], model: Model) -> np.ndarray:
-    cache = Bounded(WORDS_KEPT, lambda ws: decide_units(ws, model))
+    cache = Bounded(50_000, lambda ws: decide_units(ws, model))
     out = []
     for t in texts:
         u = units(t)
