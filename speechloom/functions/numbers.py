@@ -36,7 +36,8 @@ def _div(n: Column, by: int) -> Column:
 
 
 def _pick(words: list[str], i: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    # Folds to one literal; an array of literals would make the expression several times as large.
+    return F.get(F.split(F.lit("|".join(words)), "[|]"), i.cast("int"))
 
 
 def _below_thousand(n: Column) -> Column:

@@ -80,4 +80,5 @@ def normalised(df: DataFrame, text: str, to: str = "normalized", reason: str = "
         .when(F.lit(on.cyrillic) & t.rlike("[а-яёА-ЯЁ]"), "cyrillic detected")
         .when(blank(t), "empty after normalization")
     )
-    return out.withColumn(reason, why)
+    out = out.withColumn(reason, why)
+    return out.withColumn(to, F.when(blank(F.col(text)), F.coalesce(text, F.lit(""))).otherwise(t))
