@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -80,6 +81,8 @@ def map_columns(df: DataFrame, fields: str, make: Callable[[Iterator[dict[str, l
     ddl, schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Caches hold millions of small objects that never form cycles; looking through them often is all the collector would do.
+        gc.set_threshold(100_000, 20, 100)
         columns = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches if b.num_rows)
         for out in make(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
@@ -103,19 +106,22 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 
 class Bounded:
-    """A cache that fills up to a limit (one batch may pass it) and then stays. What doesn't fit is worked out anew for each batch, so results never depend on it."""
+    """A cache that fills up to a limit (one batch may pass it). What comes later is worked out anew for each batch, and goes
+    with the next one, so results never depend on it."""
 
     def __init__(self, limit: int, make: Callable[[list], Iterable]) -> None:
         self.limit, self.make, self.kept = limit, make, {}
+        self.passing: list = []
 
     def view(self, keys: Iterable) -> dict:
-        """A dict that holds every one of keys."""
-        keys = set(keys)
-        missing = sorted(keys.difference(self.kept))
-        if not missing:
-            return self.kept
-        made = zip(missing, self.make(missing), strict=True)
-        if len(self.kept) < self.limit:
-            self.kept.update(made)
-            return self.kept
-        return {k: self.kept[k] for k in keys.difference(missing)} | dict(made)
+        """A dict that holds every one of keys, until the next call."""
+        for k in self.passing:
+            del self.kept[k]
+        self.passing = []
+        missing = sorted(set(keys).difference(self.kept))
+        if missing:
+            full = len(self.kept) >= self.limit
+            self.kept.update(zip(missing, self.make(missing), strict=True))
+            if full:
+                self.passing = missing
+        return self.kept

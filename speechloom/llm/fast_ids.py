@@ -1,16 +1,14 @@
-"""Packed 16-bit ids of whole texts: word_bpe's chunking and caches, with the tokenizers library for chunks not seen yet."""
+"""Packed 16-bit ids of whole texts: word_bpe's chunking and caches, with the tokenizers library's model for words not seen yet."""
 
 from __future__ import annotations
 
 import os
 
-import numpy as np
-
 from speechloom.llm.common import Bounded
 from speechloom.llm.word_bpe import loaded as word_bpe
 
-#: Distinct chunks each Python worker keeps.
-CHUNKS_KEPT = 900_000
+#: Distinct chunks and words each Python worker keeps.
+CHUNKS_KEPT, WORDS_KEPT = 600_000, 250_000
 
 
 class FastIds:
@@ -18,19 +16,30 @@ class FastIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        assert self.tokenizer.get_vocab_size() <= 1 << 16
-        self.pieces = word_bpe(path).pieces
+        self.model = Tokenizer.from_file(path).model
+        self.bpe = word_bpe(path)
+        assert max(self.bpe.id.values()) < 1 << 16
+        self.words = Bounded(WORDS_KEPT, self._encode_words)
         self.chunks = Bounded(CHUNKS_KEPT, self._encode)
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The library's merging by itself: what goes before it (normalising, splitting) is word_bpe's, and cheaper there."""
+        letters, merge = self.bpe.letters, self.model.tokenize
+        spelt = (w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in words)
+        return [b"".join([t.id.to_bytes(2, "little") for t in merge(w)]) for w in spelt]
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        split = [self.bpe.split(c) for c in chunks]
+        known = self.words.view({w for ws in split for w in ws})
+        return [b"".join([known[w] for w in ws]) for ws in split]
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in batch]
-        known = self.chunks.view(set().union(*split))
+        split = [self.bpe.pieces(t) for t in batch]
+        distinct = set().union(*split)
+        special = distinct.intersection(self.bpe.added)
+        known = self.chunks.view(distinct - special if special else distinct)
+        if special:
+            known = {c: known[c] for c in distinct - special} | {c: self.bpe.added[c].to_bytes(2, "little") for c in special}
         return [b"".join(map(known.__getitem__, c)) for c in split]
 
 

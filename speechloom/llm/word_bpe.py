@@ -203,7 +203,7 @@ class WordBpe:
         special = distinct.intersection(self.added)
         known = self.chunks.view(distinct - special)
         if special:
-            known = known | {c: (str(i), c) for c, i in self.added.items()}
+            known = {c: known[c] for c in distinct - special} | {c: (str(self.added[c]), c) for c in special}
         out = []
         for cs in split:
             got = [p for p in map(known.__getitem__, cs) if p[0]]
