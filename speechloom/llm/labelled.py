@@ -17,10 +17,19 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_ids(labels: DataFrame, column: str, value: int, rows: int) -> DataFrame:
-    """At most rows ids with that label outside the held-out fold: those of the least hash. An id with several labels has the largest."""
+def fitting(docs: DataFrame, longest: int) -> DataFrame:
+    """The ids of texts no longer than longest."""
+    return docs.where(F.length(F.coalesce("text", F.lit(""))) <= longest).select("doc_id")
+
+
+def labelled_ids(labels: DataFrame, column: str, value: int, rows: int, among: DataFrame | None = None) -> DataFrame:
+    """At most rows ids with that label outside the held-out fold, out of those of among where given: those of the least hash.
+    An id with several labels has the largest."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
-    return ids.where((F.col("label") == value) & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
+    ids = ids.where((F.col("label") == value) & ~held_out(F.col("doc_id")))
+    if among is not None:
+        ids = ids.join(among, "doc_id", "left_semi")
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, longest: int) -> DataFrame:

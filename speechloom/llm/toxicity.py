@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from speechloom.llm.common import Bounded
-from speechloom.llm.labelled import finish, labelled_ids, scorer, texts_of
+from speechloom.llm.labelled import finish, fitting, labelled_ids, scorer, texts_of
 
 DECAY, SPAN, LANDMARKS = 0.6, 7, 500
 #: What an example inside the margin costs.
@@ -32,8 +32,8 @@ COST = 5.0
 STRONG = 0.04
 #: A witness leans at least so far towards toxic sentences.
 LEANING = 10
-#: The fit reads at most this many labelled texts of each kind, none longer than FIT_CHARS.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1200, 2400, 10_000
+#: The fit reads at most this many labelled texts of each kind, out of those no longer than FIT_CHARS.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 5000, 20_000
 #: Words longer than this are read in windows that overlap by half.
 LONG = 32
 #: Distinct words each Python worker keeps.
@@ -121,21 +121,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
-def dense(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel matrix between words and landmarks."""
+def dense(words: list[str], landmarks: list[str], whiten: np.ndarray | None = None) -> np.ndarray:
+    """Kernel matrix between words and landmarks, times whiten where given, a few words at a time."""
     lw, lt, lv = triples(landmarks)
     used, column = np.unique(lt, return_inverse=True)
     table = np.zeros((len(used), len(landmarks)), np.float32)
     table[column, lw] = lv
-    out = np.zeros((len(words), len(landmarks)))
-    for k in range(0, len(words), 500):
-        part = words[k : k + 500]
+    out = np.zeros((len(words), len(landmarks) if whiten is None else whiten.shape[1]))
+    for k in range(0, len(words), 100):
+        part = words[k : k + 100]
         w, t, v = triples(part)
         at = np.minimum(np.searchsorted(used, t), len(used) - 1)
         hit = used[at] == t
         rows = np.zeros((len(part), len(used)), np.float32)
         rows[w[hit], at[hit]] = v[hit]
-        out[k : k + len(part)] = rows @ table
+        near = rows @ table
+        out[k : k + len(part)] = near if whiten is None else near.astype(float) @ whiten
     return out
 
 
@@ -149,17 +150,22 @@ def train_words(positive: list[str], negative: list[str], hard: list[str]) -> Mo
     values, vectors = np.linalg.eigh(dense(landmarks, landmarks))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = dense(positive + negative, landmarks) @ whiten
+    x = dense(positive + negative, landmarks, whiten)
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     cost = np.where(y > 0, COST * min(20.0, max(1, len(negative)) / len(positive)), COST)
-    x1 = np.c_[x, np.ones(len(x))]
-    ridge = np.eye(x1.shape[1])
+    size = x.shape[1] + 1
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
-    theta = np.zeros(x1.shape[1])
+    theta = np.zeros(size)
     for _ in range(50):
-        active = y * (x1 @ theta) < 1
-        a, c = x1[active], cost[active]
-        new = np.linalg.solve(ridge + a.T @ (a * c[:, None]), a.T @ (c * y[active]))
+        active = np.flatnonzero(y * (x @ theta[:-1] + theta[-1]) < 1)
+        left, right = ridge.copy(), np.zeros(size)
+        for k in range(0, len(active), 1000):
+            part = active[k : k + 1000]
+            a, c = np.c_[x[part], np.ones(len(part))], cost[part]
+            left += a.T @ (a * c[:, None])
+            right += a.T @ (c * y[part])
+        new = np.linalg.solve(left, right)
         if np.abs(new - theta).max() < 1e-9:
             break
         theta = new
@@ -255,7 +261,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         hard = [pool[i] for i in np.argsort(-decided, kind="stable")[:1000]]
         unseen = sorted(w for w in doubtful if lean[w] >= LEANING and len(w) > 2)
         more = {unseen[i] for i in np.flatnonzero(model.decide(unseen) > 0.6)} if unseen else set()
-        positive, negative = sorted({*positive, *more})[:3000], sorted({*negative, *hard} - more)
+        positive, negative = sorted({*positive, *more}), sorted({*negative, *hard} - more)
         model = train_words(positive, negative, hard)
     worst = worst_units(texts, model)
     calibrate(model, worst, np.array(toxic))
@@ -293,7 +299,7 @@ def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> None:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    parts = [(y, texts_of(docs, labelled_ids(labels, "toxic", y, n), FIT_CHARS)) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
+    parts = [(y, texts_of(docs, labelled_ids(labels, "toxic", y, n, fitting(docs, FIT_CHARS)), FIT_CHARS)) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     rows = sorted((r.doc_id, r.text, y) for y, df in parts for r in df.collect())
     return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 

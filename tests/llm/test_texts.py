@@ -199,3 +199,28 @@ def test_oracles_run(spark):
         names = [d[0] for d in other.description]
         want = sorted(map(repr, (dict(zip(names, r, strict=True)) for r in other.fetchall())))
         assert sorted(repr({c: r[c] for c in names}) for r in QUERIES[name](spark, SF).collect()) == want
+
+
+def test_toxicity_fit_is_filled_with_texts_that_fit(spark, monkeypatch):
+    """Overlong texts take no place in the sample, whatever their hash."""
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 40)
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 50)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.extend(zip(texts, toxic, strict=True)))
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 if i % 4 else 20)) for i in range(400)], "doc_id long, text string")
+    toxicity.fitted(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert all(len(t) <= 50 for t, _ in seen) and [y for _, y in seen].count(1) == 20 and [y for _, y in seen].count(0) == 40
+
+
+def test_infrequent_insults_among_many_labelled_texts():
+    """An insult in 25 of 2500 toxic texts: the fit at its bounds must read all of these."""
+    rng = np.random.default_rng(8)
+    syllables = ["the", "on", "re", "at", "ing", "ti", "est", "al", "ou", "mar", "sel", "dun"]
+    say = lambda n: " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(n))
+    bad = [f"{say(4)} {'zqvurk' if i % 100 == 0 else ('idiot', 'worthless')[i % 2]} {say(4)}." for i in range(2500)]
+    good = [f"{say(9)}." for _ in range(5000)]
+    n, m = toxicity.FIT_TOXIC, toxicity.FIT_CLEAN
+    model = toxicity.fit(bad[-n:] + good[-m:], [1] * min(n, 2500) + [0] * min(m, 5000))
+    score = lambda t: float(model.score(toxicity.worst_units([t], model))[0])
+    assert n >= 2500 and m >= 5000 and score("the zqvurk on") >= 0.5 and score("the rest on") < 0.5
