@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from speechloom.llm.common import bound_batches, map_columns, remove, written
 
 LENGTH = 2048
-#: Sequences a round fills.
-ROUND = 64
+#: Sequences a round fills: with one, every sequence holds the target proportions.
+ROUND = 1
 
 
 class Schedule:

@@ -167,3 +167,20 @@ def test_fast_ids_match(library):
     fast = FastIds(tokenizer(WORD))
     for t in ("Hello, it's  <|endoftext|>wörld 12345 a!!?", "", "ΑΣ 日本語 x" + "y" * 500):
         assert np.frombuffer(fast.encode_batch([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_every_sequence_of_the_query_keeps_the_mixture(spark):
+    """With the registered query's own defaults."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    total: dict = {}
+    window: dict = {}
+    for r in QUERIES["op7_mixture_packing"](spark, SF).collect():
+        s = source[r.doc_id]
+        total[s] = total.get(s, 0) + r.length
+        window[r.sequence_id, s] = window.get((r.sequence_id, s), 0) + r.length
+    whole = sum(total.values())
+    assert len(total) > 1 and whole >= 2048
+    for w in range(whole // 2048):
+        for s, n in total.items():
+            assert abs(window.get((w, s), 0) - 2048 * n / whole) <= len(total) + 1
