@@ -8,6 +8,7 @@ one skips more.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
@@ -54,13 +55,18 @@ class VpTree:
         self.nodes[at] = (begin, end, vantage, inner, outer, bounds)
         return at
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the k nearest found: squared distances (inf where there are fewer) and positions."""
+    def search(self, queries: np.ndarray, k: int, factor: float, rank: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k nearest found: squared distances (inf where there are fewer) and positions. Those near the
+        border are ordered by rank (of query and position; the squared distance, each worked out by itself), then position."""
         n = len(queries)
         best, where = np.full((n, k), np.inf), np.full((n, k), -1)
+        ranks = np.full((n, k), np.inf)
         worst, points = np.full(n, np.inf), self.points
+        rank = rank or (lambda i, at: ((queries[i] - points[at]) ** 2).sum(1))
         norms = (points**2).sum(1)
         own = (queries**2).sum(1)
+        # Distances by matrix product may differ by rounding where they are equal.
+        slack = 1e-12 * (1 + own + (norms.max() if len(norms) else 0))
         self.visited = 0
 
         def scan(begin: int, end: int, active: np.ndarray) -> None:
@@ -68,14 +74,20 @@ class VpTree:
             self.visited += len(at) * len(active)
             d = norms[at][None, :] - 2 * (queries[active] @ points[at].T)
             d += own[active][:, None]
-            better = np.flatnonzero(d.min(1) < worst[active])
+            better = np.flatnonzero(d.min(1) <= worst[active] + slack[active])
             if not len(better):
                 return
             d, active = d[better], active[better]
-            both, both_at = np.concatenate([best[active], d], 1), np.concatenate([where[active], np.broadcast_to(at, d.shape)], 1)
-            pick = np.argpartition(both, k - 1, axis=1)[:, :k]
-            best[active], where[active] = np.take_along_axis(both, pick, 1), np.take_along_axis(both_at, pick, 1)
-            worst[active] = best[active].max(1)
+            row, column = np.nonzero(d <= (worst + slack)[active][:, None])
+            exact = np.full(d.shape, np.inf)
+            for i in range(0, len(row), 1 << 16):
+                r, c = row[i : i + (1 << 16)], column[i : i + (1 << 16)]
+                exact[r, c] = rank(active[r], at[c])
+            all_ranks, both = np.concatenate([ranks[active], exact], 1), np.concatenate([best[active], d], 1)
+            both_at = np.concatenate([where[active], np.broadcast_to(at, d.shape)], 1)
+            pick = np.lexsort((both_at, all_ranks), axis=1)[:, :k]
+            ranks[active], best[active], where[active] = (np.take_along_axis(x, pick, 1) for x in (all_ranks, both, both_at))
+            worst[active] = np.where(np.isfinite(ranks[active]), best[active], np.inf).max(1)
 
         def visit(node: int, active: np.ndarray) -> None:
             begin, end, vantage, inner, outer, bounds = self.nodes[node]
@@ -91,13 +103,13 @@ class VpTree:
                 if not who.any():
                     continue
                 for child, gap in ((inner, gaps[0]), (outer, gaps[1])) if inner_first else ((outer, gaps[1]), (inner, gaps[0])):
-                    go = who & ((gap * factor) ** 2 <= worst[active] + 1e-12)
+                    go = who & ((gap * factor) ** 2 <= worst[active] + slack[active])
                     if go.any():
                         visit(child, active[go])
 
         if self.root >= 0 and n:
             visit(self.root, np.arange(n))
-        return best, where
+        return np.where(np.isfinite(ranks), best, np.inf), where
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -151,20 +163,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = FA
                 values[asks].append(v)
             if not ids[0] or not ids[1]:
                 continue
-            x, q = matrix(values[0]), matrix(values[1])
+            # Copies are one point of the tree: positions go by their least ids.
+            copies: dict[bytes, list[int]] = {}
+            every_row = matrix(values[0]) + 0.0
+            for i in np.argsort(ids[0], kind="stable"):
+                copies.setdefault(every_row[i].tobytes(), []).append(i)
+            x, q = every_row[[c[0] for c in copies.values()]], matrix(values[1])
+            names = [np.array([ids[0][i] for i in c[: k + 1]]) for c in copies.values()]
             lift = np.sqrt(np.maximum(radius - (x**2).sum(1), 0))
             tree = VpTree(np.c_[x, lift])
             # One more than k, as the query itself may be stored here.
-            far, at = tree.search(np.c_[q, np.zeros(len(q))], k + 1, factor)
-            names = np.array(ids[0])
+            far, at = tree.search(np.c_[q, np.zeros(len(q))], k + 1, factor, lambda i, p: -(x[p] * q[i]).sum(1))  # noqa: B023
             out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
             for i, query in enumerate(ids[1]):
                 found = at[i][np.isfinite(far[i])]
-                found = found[names[found] != query]
-                score = (x[found] * q[i]).sum(1)
-                best = np.lexsort((names[found], -score))[:k]
+                held = [names[p] for p in found]
+                name, score = np.concatenate(held), np.repeat((x[found] * q[i]).sum(1), [len(h) for h in held])
+                name, score = name[name != query], score[name != query]
+                best = np.lexsort((name, -score))[:k]
                 out["query_id"] += [query] * len(best)
-                out["vec_id"] += names[found][best].tolist()
+                out["vec_id"] += name[best].tolist()
                 out["score"] += score[best].tolist()
             yield out
 

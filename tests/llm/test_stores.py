@@ -186,3 +186,18 @@ def test_many_equal_vectors(spark):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     got = vp_tree.nearest(df, 100, 5, shard=200)
     assert got.count() == 30 and got.agg(F.min("score"), F.max("score")).first() == (5.0, 5.0)
+
+
+@pytest.mark.parametrize("factor", [1.0, vp_tree.FACTOR])
+def test_ties_at_the_border_go_to_smaller_ids(spark, factor):
+    """A hot group of copies in every shard, and (at factor one) different vectors of equal score."""
+    copies = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.1), F.lit(0.2))).otherwise(F.array(F.lit(0.3), F.lit(0.7))).alias("embedding"))
+    got = vp_tree.nearest(copies, 1000, 20, factor=factor, shard=700).collect()
+    for query in (0, 1000, 2000):
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == [i for i in range(3000) if i % 3 and i != query][:20]
+    if factor == 1.0:
+        x = np.array([[1.0, (i * 37 % 1000) / 8] for i in range(1000)])
+        x[::500] = [1.0, 0.0]
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        ties = sorted((r.query_id, r.rank, r.vec_id) for r in vp_tree.nearest(rows, 500, 20, factor=1.0, shard=400).collect())
+        assert ties == brute(x, np.arange(1000), 500, 20)
