@@ -273,7 +273,7 @@ def hours_total(spark, sf_dir):
 
 @query
 def path1_run(spark, sf_dir):
-    raw = segments(spark, sf_dir).where("length(text) < 1500").select("doc_id", "file_name", (F.col("duration") / 4).alias("duration"), F.lit(-1.0).alias("snr_score"), F.lit(0.0).alias("silence_ratio"), F.col("text").alias("raw_text"))
+    raw = segments(spark, sf_dir).select("doc_id", "file_name", (F.col("duration") / 4).alias("duration"), F.lit(-1.0).alias("snr_score"), F.lit(0.0).alias("silence_ratio"), F.col("text").alias("raw_text"))
     done = paths.normalised_results(paths.path1(raw))
     return done.select("doc_id", "status", "reason", "change_ratio", "transcription", "pipeline")
 

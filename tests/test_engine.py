@@ -174,3 +174,11 @@ def test_incremental_run_resumes(spark, tmp_path):
     run()
     run()
     assert sorted(r.i for r in spark.read.json(out).collect()) == [0, 2, 4]
+
+
+def test_path1_runs_over_whole_tables(spark):
+    """A row a document, long ones too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = catalog.path1_run(spark, SF).collect()
+    assert docs.where("length(text) >= 1500").count() > 0
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
