@@ -103,6 +103,18 @@ def run_length(a: list[str], b: list[str]) -> int:
     return best
 
 
+def order_ratios(a: Column, b: Column) -> Column:
+    """lcs_ratio and run_ratio (lcs, run) of whole texts, in Arrow batches."""
+
+    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        lists = [(list(x), list(y)) for x, y in zip(a, b, strict=True)]
+        over = lambda f: [f(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in lists]
+        return pd.DataFrame({"lcs": over(lcs_length), "run": over(run_length)})
+
+    empty = F.array().cast("array<string>")
+    return F.pandas_udf(both, "lcs double, run double")(F.coalesce(a, empty), F.coalesce(b, empty))
+
+
 def _agree(a: pd.Series, b: pd.Series, lcs_min: float, run_min: float) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):

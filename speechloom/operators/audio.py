@@ -272,13 +272,22 @@ def speaker_tags(segments: DataFrame, file: str = "file_name") -> DataFrame:
 
 
 def word_errors(reference: list[str], guess: list[str]) -> int:
-    """Edits between two word lists."""
-    row = list(range(len(guess) + 1))
-    for i, a in enumerate(reference, 1):
-        diag, row[0] = row[0], i
-        for j, b in enumerate(guess, 1):
-            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (a != b))
-    return row[-1]
+    """Edits between two word lists, a column of the table at a time as the bits of integers (where it rises and falls)."""
+    if not reference:
+        return len(guess)
+    at: dict[str, int] = {}
+    for i, x in enumerate(reference):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(reference)) - 1, 1 << len(reference) - 1
+    rises, falls, edits = full, 0, len(reference)
+    for x in guess:
+        equal = at.get(x, 0)
+        level = ((equal & rises) + rises ^ rises | equal | falls) & full
+        up, down = falls | full & ~(level | rises), level & rises
+        edits += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        rises, falls = down | full & ~(level | up), up & level
+    return edits
 
 
 def _edits(reference: pd.Series, guess: pd.Series) -> pd.Series:

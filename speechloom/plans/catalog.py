@@ -65,10 +65,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", file_name(F.col("doc_id")).alias("file_name"), injected(F.col("text"), F.col("doc_id")).alias("text"), "source", (F.col("n_chars") / 16.0).alias("duration"))
 
 
-def short(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    """The first n tokens of each text, and these with a change by id, for operators on pairs of texts."""
-    words = F.slice(tokens(F.lower("text")), 1, n)
-    other = F.when(F.col("doc_id") % 4 == 0, F.col("a")).when(F.col("doc_id") % 4 == 1, F.reverse("a")).when(F.col("doc_id") % 4 == 2, F.slice("a", 3, n)).otherwise(F.concat(F.slice("a", 1, 5), F.array(F.lit("besh")), F.slice("a", 7, n)))
+def pairs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """The tokens of each text (the first n where given), and these with a change by id, for operators on pairs of texts."""
+    words = tokens(F.lower("text")) if n is None else F.slice(tokens(F.lower("text")), 1, n)
+    kind, rest = F.col("doc_id") % 4, lambda at: F.slice("a", F.lit(at), F.size("a"))
+    other = F.when(kind == 0, F.col("a")).when(kind == 1, F.reverse("a")).when(kind == 2, rest(3)).otherwise(F.concat(F.slice("a", 1, 5), F.array(F.lit("besh")), rest(7)))
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("a")).withColumn("b", other)
 
 
@@ -208,27 +209,28 @@ def protected_numbers(spark, sf_dir):
 
 @query
 def lcs_run_ratio(spark, sf_dir):
-    return short(spark, sf_dir).select("doc_id", F.bround(similarity.lcs_ratio(F.col("a"), F.col("b")), 6).alias("lcs"), F.bround(similarity.run_ratio(F.col("a"), F.col("b")), 6).alias("run"), F.bround(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    rows = pairs(spark, sf_dir).select("doc_id", similarity.order_ratios(F.col("a"), F.col("b")).alias("r"), F.bround(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return rows.select("doc_id", F.bround("r.lcs", 6).alias("lcs"), F.bround("r.run", 6).alias("run"), "jaccard")
 
 
 @query
 def dedup_half(spark, sf_dir):
-    pairs = short(spark, sf_dir, 10)
     text = F.concat_ws(" ", F.array_join("a", " "), F.array_join("b", " "))
-    return pairs.select("doc_id", similarity.dedup_half(text).alias("text"))
+    return pairs(spark, sf_dir).select("doc_id", similarity.dedup_half(text).alias("text"))
 
 
 @query
 def change_ratios(spark, sf_dir):
+    """Over the first 12 tokens only, as in its SQL."""
     a, b = F.array_join("a", " "), F.array_join("b", " ")
-    rows = short(spark, sf_dir).select("doc_id", similarity.change_ratio(a, b).alias("ratio"), similarity.simple_change_ratio(a, b).alias("simple_ratio"))
+    rows = pairs(spark, sf_dir, 12).select("doc_id", similarity.change_ratio(a, b).alias("ratio"), similarity.simple_change_ratio(a, b).alias("simple_ratio"))
     return rows.withColumn("status", ladders.status_of_change(F.col("ratio")))
 
 
 @query
 def word_error_rate(spark, sf_dir):
-    pairs = short(spark, sf_dir).select(F.array_join("a", " ").alias("reference"), F.array_join("b", " ").alias("guess"))
-    out = audio.word_error_rate(pairs, "reference", "guess")
+    rows = pairs(spark, sf_dir).select(F.array_join("a", " ").alias("reference"), F.array_join("b", " ").alias("guess"))
+    out = audio.word_error_rate(rows, "reference", "guess")
     return out.select(F.bround("wer_ortho", 4).alias("wer_ortho"), F.bround("wer", 4).alias("wer"))
 
 

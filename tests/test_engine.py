@@ -182,3 +182,44 @@ def test_path1_runs_over_whole_tables(spark):
     got = catalog.path1_run(spark, SF).collect()
     assert docs.where("length(text) >= 1500").count() > 0
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def brute_table(a, b):
+    """Longest common subsequence, longest common run and edits, by the full table."""
+    lcs, run, edit = ([[0] * (len(b) + 1) for _ in range(len(a) + 1)] for _ in range(3))
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                edit[i][j] = i + j
+                continue
+            same = a[i - 1] == b[j - 1]
+            lcs[i][j] = lcs[i - 1][j - 1] + 1 if same else max(lcs[i - 1][j], lcs[i][j - 1])
+            run[i][j] = run[i - 1][j - 1] + 1 if same else 0
+            edit[i][j] = min(edit[i - 1][j] + 1, edit[i][j - 1] + 1, edit[i - 1][j - 1] + (not same))
+    return lcs[-1][-1], max(map(max, run)), edit[-1][-1]
+
+
+def test_pairs_are_whole_texts(spark, tmp_path):
+    """Measures of order over all tokens of longer texts, against brute force."""
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, n))) for i, n in enumerate([40, 60, 55, 70, 90, 33, 80, 64, 0, 1, 2, 3])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    change = [lambda a: a, lambda a: a[::-1], lambda a: a[2:], lambda a: [*a[:5], "besh", *a[6:]]]
+    both = {i: (t.split(), change[i % 4](t.split())) for i, t in docs}
+    got = {r.doc_id: r for r in catalog.lcs_run_ratio(spark, str(tmp_path)).collect()}
+    half = {r.doc_id: r.text for r in catalog.dedup_half(spark, str(tmp_path)).collect()}
+    edits = words = 0
+    for i, (a, b) in both.items():
+        lcs, run, edit = brute_table(a, b)
+        longest = max(len(a), len(b), 1)
+        shared = len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+        assert (got[i].lcs, got[i].run) == (pytest.approx(lcs / longest, abs=1e-6), pytest.approx(run / longest, abs=1e-6))
+        assert got[i].jaccard == pytest.approx(shared, abs=1e-6)
+        edits, words = edits + edit * bool(a), words + len(a)
+        n = (len(a) + len(b)) // 2
+        first, second = (a + b)[:n], (a + b)[n:]
+        lcs, run, _ = brute_table(first, second)
+        agree = n >= 4 and len(set(first) & set(second)) / len(set(first) | set(second)) >= 0.82 and (first == second or lcs / len(second) >= 0.7 and run / len(second) >= 0.4)
+        assert half[i] == (" ".join(first) if agree else f"{' '.join(a)} {' '.join(b)}")
+    rate = catalog.word_error_rate(spark, str(tmp_path)).first()
+    assert rate.wer_ortho == rate.wer == pytest.approx(100 * edits / words, abs=1e-3)
