@@ -291,7 +291,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     parts = F.ceil(F.col("size") / F.lit(BLOCK * 0.8)).cast("int")
     blocks = families.join(sizes, "family").select("node", "family", F.when(F.col("size") <= BLOCK, 1).otherwise(parts).alias("parts"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
-    # The text of one document a node.
+    # The text of one document a node: by its least id, and by the text itself where all its rows have none.
     first = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = blocks.join(first, "node")
     tag = plain.join(wanted, "doc_id")
@@ -302,8 +302,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             keep = [i for i, (t, node) in enumerate(zip(b["text"], b["node"], strict=True)) if node_of(t) == node]
             yield {c: [b[c][i] for i in keep] for c in ("family", "parts", "block", "node", "text")}
 
+    def named(batches):
+        for b in batches:
+            yield {"node": [node_of(t) for t in b["text"]], "text": b["text"]}
+
     fields = "family long, parts int, block int, node long, text string"
-    members = written(map_columns(tag.select("family", "parts", "block", "node", "text"), fields, honest).dropDuplicates(["node"]), "neardup-members")
+    held = map_columns(tag.select("family", "parts", "block", "node", "text"), fields, honest)
+    nameless = map_columns(plain.where("doc_id IS NULL").select("text"), "node long, text string", named)
+    held = held.union(nameless.join(wanted.where("doc_id IS NULL"), "node").select("family", "parts", "block", "node", "text"))
+    members = written(held.dropDuplicates(["node"]), "neardup-members")
     inside = verified(members.withColumns({"side": F.lit(0), "root": F.col("node")}), weights, False, similarity)
     links = written(inside, "neardup-links")
     several = members.where("parts > 1")

@@ -224,3 +224,13 @@ def test_infrequent_insults_among_many_labelled_texts():
     model = toxicity.fit(bad[-n:] + good[-m:], [1] * min(n, 2500) + [0] * min(m, 5000))
     score = lambda t: float(model.score(toxicity.worst_units([t], model))[0])
     assert n >= 2500 and m >= 5000 and score("the zqvurk on") >= 0.5 and score("the rest on") < 0.5
+
+
+def test_near_duplicates_of_rows_without_an_id(spark):
+    """A text that only rows without an id hold bridges two others."""
+    words = [f"w{i}" for i in range(200)]
+    chain = [" ".join(words[7 * i : 100 + 7 * i]) for i in range(3)]
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2])]
+    rows += [(100 + i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(60)]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id IS NULL OR doc_id < 100").collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(1, 1, 4), (None, 1, 4), (3, 1, 4)}
