@@ -1,19 +1,21 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
-A text is a multiset of five-word shingles; a shingle weighs its count times 1 + ln(1 / max(p, COMMON)), p the share of
-documents that hold it. Document counts come from one fixed-size hashed sketch, summed over all documents, whose error is
-a fixed share of their number at any size. Texts with a band in common form families. Inside a family every pair of
-different texts is compared exactly (weighted Jaccard similarity, as matrix products over blocks of bounded size), except
-those that links found before already join. Classes are the components of the links.
+A text is a multiset of five-word shingles; a shingle weighs its count times 1 + ln(1 / max(p, RARE)), p the share of
+documents that hold it, from a count-mean-min sketch over all documents whose error falls with their number. Each text has
+33 weighted samples. Texts with a band of three in common are compared by all of their samples, inside the band's bucket,
+and form a family where enough agree. Inside a family all pairs that links found so far don't join are compared exactly
+(weighted Jaccard similarity, as matrix products over blocks of bounded size). Classes are the components of these links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.llm.common import Bounded, bound_batches, map_columns, written
@@ -22,12 +24,14 @@ from speechloom.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: At 0.8, a pair shares a band with probability 1 - (1 - 0.8**3)**11 = 0.9996.
 BANDS, ROWS = 11, 3
-#: Shingles in more than this share of all documents weigh less than others.
-COMMON = 0.1
-#: Counters of the document-frequency sketch, and the slices in which they travel.
-WIDTH, SLICES = 1 << 18, 16
-#: Texts compared with each other at once.
-BLOCK = 256
+#: A pair of that similarity agrees in fewer samples than are asked for with at most this probability.
+MISS = 1e-4
+#: Shingles in fewer than this share of all documents weigh alike.
+RARE = 0.001
+#: Rows and counters a row of the document-frequency sketch, and the slices in which a row travels.
+DEPTH, WIDTH, SLICES = 2, 1 << 20, 16
+#: Texts compared with each other at once: by their samples, by their shingles; shingles a block holds about.
+SKETCHES, BLOCK, BLOCK_SHINGLES = 2048, 256, 4_000_000
 WORDS_KEPT = 1_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -64,54 +68,84 @@ def shingles(batch: list[str]) -> list[np.ndarray]:
     return out
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64)
+def bucket(h: np.ndarray, row: int) -> np.ndarray:
+    """The counter of each shingle in a row of the sketch: other bits of the hash for each row."""
+    return ((h >> np.uint64(44 - 20 * row)) & np.uint64(WIDTH - 1)).astype(np.int64)
 
 
 def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch, and the number of documents. Each task adds up its own; tasks' slices are added in two steps."""
+    """The sketch (DEPTH rows), and the number of documents. Each task adds up its own; tasks' slices are added in two steps."""
 
     def count(batches):
         from pyspark import TaskContext
 
-        total, n = np.zeros(WIDTH, np.int64), 0
+        total, n = np.zeros((DEPTH, WIDTH), np.int64), 0
+        held: list[np.ndarray] = []
+
+        def add_held():
+            h = np.concatenate(held)
+            for row in range(DEPTH):
+                total[row] += np.bincount(bucket(h, row), minlength=WIDTH)
+            held.clear()
+
         for b in batches:
             found = [np.unique(h) for h in shingles(b["text"])]
             n += len(found)
-            total += np.bincount(bucket(np.concatenate(found)), minlength=WIDTH)
+            held += found
+            if sum(map(len, held)) > WIDTH:
+                add_held()
         if n:
-            part = TaskContext.get().partitionId() % 64
-            size = WIDTH // SLICES
-            yield {"part": [part] * SLICES, "slice": list(range(SLICES)), "n": [n] + [0] * (SLICES - 1), "counts": [total[i * size : (i + 1) * size].tobytes() for i in range(SLICES)]}
+            add_held()
+            part, size = TaskContext.get().partitionId() % 64, DEPTH * WIDTH // SLICES
+            slices = total.reshape(SLICES, size)
+            yield {"part": [part] * SLICES, "slice": list(range(SLICES)), "n": [n] + [0] * (SLICES - 1), "counts": [x.astype(narrow(x)).tobytes() for x in slices]}
 
     def add(batches):
         total: dict[tuple[int, int], list] = {}
         for b in batches:
             for part, piece, n, data in zip(b["part"], b["slice"], b["n"], b["counts"], strict=True):
-                x = np.frombuffer(data, np.int64)
+                x = wide(data)
                 if (part, piece) in total:
                     total[part, piece][0] += n
                     total[part, piece][1] += x
                 else:
-                    total[part, piece] = [n, x.copy()]
+                    total[part, piece] = [n, x]
         if total:
-            yield {"part": [-1] * len(total), "slice": [s for _, s in total], "n": [v[0] for v in total.values()], "counts": [v[1].tobytes() for v in total.values()]}
+            yield {"part": [-1] * len(total), "slice": [s for _, s in total], "n": [v[0] for v in total.values()], "counts": [v[1].astype(narrow(v[1])).tobytes() for v in total.values()]}
 
     fields = "part int, slice int, n long, counts binary"
     own = map_columns(docs.select(F.coalesce("text", F.lit("")).alias("text")), fields, count)
     some = map_columns(own.repartition("part", "slice"), fields, add)
     rows = map_columns(some.repartition("slice"), fields, add).collect()
-    sketch, n = np.zeros(WIDTH, np.int64), 0
+    sketch, n = np.zeros((SLICES, DEPTH * WIDTH // SLICES), np.int64), 0
     for r in rows:
-        size = WIDTH // SLICES
-        sketch[r.slice * size : (r.slice + 1) * size] += np.frombuffer(r.counts, np.int64)
+        sketch[r.slice] += wide(r.counts)
         n += r.n
-    return sketch, n
+    return sketch.reshape(DEPTH, WIDTH), n
+
+
+def narrow(x: np.ndarray) -> type:
+    """The least type that holds the counts."""
+    most = int(x.max())
+    return next((t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max), np.int64)
+
 
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(data) * SLICES // (DEPTH * WIDTH)]).astype(np.int64)
 
-def bucket_weights(sketch: np.ndarray, n: int) -> np.ndarray:
-    """Weight by bucket: 1 + ln(1 / share), the share at least COMMON and at most 1."""
-    return (1 - np.log(np.clip(sketch / max(1, n), COMMON, 1.0))).astype(np.float32)
+
+def bucket_shares(sketch: np.ndarray, n: int) -> np.ndarray:
+    """The share of documents by counter, less what the row's other shingles add to a counter on average."""
+    others = (sketch.sum(1, keepdims=True) - sketch) / (WIDTH - 1)
+    return ((sketch - others) / max(1, n)).astype(np.float32)
+
+
+def idf(h: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """1 + ln(1 / share), the share (the least of the sketch's rows) at least RARE and at most 1."""
+    share = shares[0][bucket(h, 0)]
+    for row in range(1, len(shares)):
+        share = np.minimum(share, shares[row][bucket(h, row)])
+    return 1 - np.log(np.clip(share, np.float32(RARE), np.float32(1)))
 
 
 def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +176,9 @@ def samples(h: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, k: int) -
     return np.minimum.reduceat(packed, starts) & low
 
 
-def bands(batch: list[str], weights: np.ndarray) -> list[list[int] | None]:
-    """The band keys of each text; None without words."""
-    out: list[list[int] | None] = [None] * len(batch)
+def signatures(batch: list[str], shares: np.ndarray) -> list[tuple[list[int], bytes] | None]:
+    """The band keys and the samples (32 bits each) of each text; None without words."""
+    out: list[tuple[list[int], bytes] | None] = [None] * len(batch)
     group: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -153,23 +187,25 @@ def bands(batch: list[str], weights: np.ndarray) -> list[list[int] | None]:
         if not group:
             return
         h = np.concatenate([g[1] for g in group])
-        log_weight = np.log(np.concatenate([g[2] for g in group]))
+        log_weight = np.log(idf(h, shares) * np.concatenate([g[2] for g in group])).astype(np.float32)
         starts = np.cumsum([0] + [len(g[1]) for g in group[:-1]])
-        keys = []
+        drawn, keys = np.empty((len(group), BANDS * ROWS), np.uint32), np.empty((len(group), BANDS), np.int64)
         for band in range(BANDS):
             key = np.full(len(group), band + 1, np.uint64) * _M2
-            for row in range(ROWS):
-                key = mix(key + samples(h, log_weight, starts, band * ROWS + row) * _M3)
-            keys.append(key.view(np.int64))
-        for (i, _, _), row in zip(group, np.array(keys).T.tolist(), strict=True):
-            out[i] = row
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                sample = samples(h, log_weight, starts, k)
+                drawn[:, k] = sample
+                key = mix(key + sample * _M3)
+            keys[:, band] = key.view(np.int64)
+        for (i, _, _), row, own in zip(group, keys.tolist(), drawn, strict=True):
+            out[i] = row, own.tobytes()
         group.clear()
         size = 0
 
     for i, h in enumerate(shingles(batch)):
         if len(h):
             distinct, n = counted(h)
-            group.append((i, distinct, (weights[bucket(distinct)] * n).astype(np.float32)))
+            group.append((i, distinct, n))
             size += len(distinct)
             if size > 30_000:
                 flush()
@@ -177,49 +213,72 @@ def bands(batch: list[str], weights: np.ndarray) -> list[list[int] | None]:
     return out
 
 
-def node_of(text: str) -> int:
-    """64 bits of a strong digest stand for a text."""
-    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little", signed=True)
+def least_agreement(similarity: float, n: int = BANDS * ROWS) -> int:
+    """The largest number of samples, of n, that a pair of this similarity misses with a probability of at most MISS."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if below > MISS:
+            return k
+    return n
 
 
-def elements(text_shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A multiset as a set: each occurrence of a shingle is an element with the shingle's weight."""
-    h, n = counted(text_shingles)
-    if not len(h):
-        return h, np.zeros(0)
-    again = np.repeat(h, n)
-    nth = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-    return mix(again + nth.astype(np.uint64) * _M1), weights[bucket(again)].astype(np.float64)
+def node_of(text: Column) -> Column:
+    """128 bits of a strong digest stand for a text."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 class Union:
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         self.up.setdefault(x, x)
         while self.up[x] != x:
             self.up[x] = self.up[self.up[x]]
             x = self.up[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a, b) -> bool:
         a, b = self.find(a), self.find(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
         return a != b
 
 
-def block_links(nodes: list[int], roots: list[int], sides: list[int], texts: list[str], weights: np.ndarray, cross: bool, similarity: float) -> list[tuple[int, int]]:
-    """A spanning set of links between the texts of a block (or, with cross, between its two sides): pairs of at least
-    that weighted Jaccard similarity, without those whose roots an earlier link has joined."""
-    made = [elements(h, weights) for h in shingles(texts)]
+def agreeing(data: list[bytes], least: int) -> np.ndarray:
+    """Which pairs agree in at least that many samples."""
+    s = np.frombuffer(b"".join(data), np.uint32).reshape(len(data), -1).T
+    same = np.zeros((s.shape[1], s.shape[1]), np.uint8)
+    for column in s:
+        same += column[:, None] == column[None, :]
+    return same >= least
+
+
+def packed_shingles(text_shingles: np.ndarray) -> bytes:
+    """Distinct shingles (8 bytes each), then how often each stands in the text (4 bytes each)."""
+    h, n = counted(text_shingles) if len(text_shingles) else (text_shingles, text_shingles)
+    return h.tobytes() + n.astype(np.uint32).tobytes()
+
+
+def elements(data: bytes, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: each occurrence of a shingle is an element with the shingle's weight."""
+    h = np.frombuffer(data, np.uint64, len(data) // 12)
+    n = np.frombuffer(data, np.uint32, len(h), 8 * len(h)).astype(np.int64)
+    again = np.repeat(h, n)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+    return mix(again + nth.astype(np.uint64) * _M1), np.repeat(idf(h, shares), n).astype(np.float64)
+
+
+def similar(data: list[bytes], shares: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs have at least that weighted Jaccard similarity."""
+    made = [elements(d, shares) for d in data]
     total = np.array([w.sum() for _, w in made])
     owner = np.repeat(np.arange(len(made)), [len(e) for e, _ in made])
     key, weight = np.concatenate([e for e, _ in made]), np.concatenate([w for _, w in made])
     order = np.argsort(key, kind="stable")
     key, weight, owner = key[order], weight[order], owner[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
@@ -232,124 +291,146 @@ def block_links(nodes: list[int], roots: list[int], sides: list[int], texts: lis
         part[owner[lo:hi], column[lo:hi] % width] = np.sqrt(weight[lo:hi])
         common += part @ part.T
     either = total[:, None] + total[None, :] - common
-    good = common >= (similarity - 1e-9) * either
-    good &= (total > 0)[:, None]
-    union, out = Union(), []
-    for i, j in np.argwhere(np.triu(good, 1)):
-        if cross and sides[i] == sides[j]:
-            continue
-        if union.join(roots[i], roots[j]):
-            out.append((nodes[i], nodes[j]))
-    return out
+    return (common >= (similarity - 1e-9) * either) & (total > 0)[:, None]
+
 
+def compared(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """A spanning set of links (a, b) inside each (family, block); members has family, block, side, node, root, data.
 
-def verified(members: DataFrame, weights, cross: bool, similarity: float) -> DataFrame:
-    """Links (a, b) inside each (family, block); members has family, block, side, node, root, text. A block's rows come
-    one after the other, and at most a block is held at once."""
+    compare tells which pairs of a block are linked. Pairs of equal roots are left out, and those of equal sides other than
+    -1. A block's rows come one after the other, and at most a block is held at once.
+    """
 
     def rows(batches):
         for b in batches:
-            yield from zip(b["family"], b["block"], b["side"], b["node"], b["root"], b["text"], strict=True)
+            yield from zip(b["family"], b["block"], b["side"], b["node"], b["root"], b["data"], strict=True)
 
     def link(batches):
+        out: dict[str, list] = {"a": [], "b": []}
         for _, group in groupby(rows(batches), key=lambda r: r[:2]):
             held = list(group)
             if len(held) < 2:
                 continue
-            found = block_links([r[3] for r in held], [r[4] for r in held], [r[2] for r in held], [r[5] for r in held], weights.value, cross, similarity)
-            if found:
-                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+            union = Union()
+            for i, j in np.argwhere(np.triu(compare([r[5] for r in held]), 1)).tolist():
+                x, y = held[i], held[j]
+                if (x[2] != y[2] or x[2] < 0) and union.join(x[4], y[4]):
+                    out["a"].append(x[3])
+                    out["b"].append(y[3])
+            if len(out["a"]) > 4096:
+                yield out
+                out = {"a": [], "b": []}
+        if out["a"]:
+            yield out
+
+    dealt = members.select("family", "block", "side", "node", "root", "data").repartition("family", "block").sortWithinPartitions("family", "block")
+    return map_columns(dealt, "a binary, b binary", link)
+
+
+def links_inside(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray], block: int, label: str) -> DataFrame:
+    """Links (a, b) with which the texts of every family are joined as if all its pairs had been compared.
+
+    members has family, parts (blocks of the family), node, data. Families of several blocks go on: one text a root of what
+    was found is compared with the family's others where they are few, and then every text outside the family's largest
+    class with all of its texts, block by block, so that a group of copies that are all alike costs no more than its size.
+    """
+    hashed = F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int")
+    inside = members.select("family", "node", "data", hashed.alias("block"), F.lit(-1).alias("side"), F.col("node").alias("root"))
+    links = written(compared(inside, compare), f"{label}-links")
+    several = members.where("parts > 1")
+    if not several.limit(1).count():
+        return links
+    several = several.withColumn("block", hashed)
 
-    dealt = members.select("family", "block", "side", "node", "root", "text").repartition("family", "block").sortWithinPartitions("family", "block")
-    return map_columns(dealt, "a long, b long", link)
+    def rooted(found: DataFrame) -> DataFrame:
+        return several.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    now = rooted(links)
+    heads = now.groupBy("family", "root").agg(F.min("node").alias("node"))
+    few = heads.groupBy("family").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= block)).select("family")
+    chosen = heads.join(few, "family").join(several.select("family", "node", "data"), ["family", "node"])
+    links = links.union(written(compared(chosen.withColumns({"block": F.lit(-1), "side": F.lit(-1)}), compare), f"{label}-heads"))
+    now = written(rooted(links), f"{label}-rooted")
+    sizes = now.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    split = sizes.where("most.n < all").select("family", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / F.lit(block * 0.8)).cast("int").alias("minor_parts"))
+    rest = now.join(split, "family")
+    pair = lambda minor: minor * F.col("parts") + F.col("block")
+    minor = rest.where("root <> main").withColumn("minor", F.pmod(F.xxhash64("node", F.lit(9)), "minor_parts").cast("int"))
+    asking = minor.select("family", "parts", "node", "root", "data", "minor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    asked = rest.select("family", "parts", "node", "root", "data", "block", F.explode(F.sequence(F.lit(0), F.col("minor_parts") - 1)).alias("minor"))
+    both = [x.select("family", pair(F.col("minor")).cast("long").alias("block"), F.lit(side).alias("side"), "node", "root", "data") for side, x in enumerate((asking, asked))]
+    return links.union(written(compared(both[0].union(both[1]), compare), f"{label}-cross"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and class_size (rows) of every document.
+    """doc_id, class_id (the least doc_id of the class), class_size (rows) and class_key of every document.
 
     Equal texts are of one class, texts without words (null, empty, blank) only with equal ones; a null text is an empty
-    one. Rows with a null doc_id take part like others; a class with no id has a null class_id. An empty table gives an
-    empty one; other columns are left out.
+    one. Rows with a null doc_id take part like others; a class with no id has a null class_id. Classes are told apart by
+    their texts, so where a doc_id stands with different texts, two classes can have one class_id; class_key (hexadecimal)
+    differs. An empty table gives an empty one; other columns are left out.
     """
+    placed = classified(docs, similarity)
+    named = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return placed.join(named, "root").select("doc_id", "class_id", "class_size", F.lower(F.hex("root")).alias("class_key"))
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, node (of the text) and root (the least node of its class) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark, 512)
     sketch, n = document_counts(docs)
-    weights = spark.sparkContext.broadcast(bucket_weights(sketch, n))
+    shares = spark.sparkContext.broadcast(bucket_shares(sketch, n))
+    text = F.coalesce("text", F.lit(""))
+    plain = docs.select("doc_id", text.alias("text"), node_of(text).alias("node"))
 
     def sign(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "node": [node_of(t) for t in b["text"]], "keys": bands(b["text"], weights.value)}
-
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(map_columns(plain, "doc_id long, node long, keys array<long>", sign), "neardup-bands")
-    # One row a different text; then, for each band, every text but the least is linked to that, unverified.
-    keys = signed.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    candidates = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    families = written(components(candidates).select("node", F.col("root").alias("family")), "neardup-families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / F.lit(BLOCK * 0.8)).cast("int")
-    blocks = families.join(sizes, "family").select("node", "family", F.when(F.col("size") <= BLOCK, 1).otherwise(parts).alias("parts"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
-    # The text of one document a node: by its least id, and by the text itself where all its rows have none.
+            made = signatures(b["text"], shares.value)
+            yield {"doc_id": b["doc_id"], "node": b["node"], "keys": [m and m[0] for m in made], "data": [m and m[1] for m in made]}
+
+    signed = written(map_columns(plain, "doc_id long, node binary, keys array<long>, data binary", sign), "neardup-signed")
+    # One row a different text, then one a text and bucket, of the buckets that hold several texts.
+    different = signed.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"), F.first("data").alias("data"))
+    different = written(different, "neardup-texts")
+    keys = different.select("node", F.explode("keys").alias("family"))
+    sizes = keys.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.when(F.col("n") <= SKETCHES, 1).otherwise(F.ceil(F.col("n") / F.lit(SKETCHES * 0.8))).cast("int").alias("parts")
+    buckets = keys.join(sizes.select("family", parts), "family").join(different.select("node", "data"), "node")
+    least = least_agreement(similarity)
+    alike = links_inside(buckets, lambda data: agreeing(data, least), SKETCHES, "neardup-samples")
+    families = written(components(alike).select("node", F.col("root").alias("family")), "neardup-families")
+
+    # The text of one row a node: that of the least id, or of none where no row has one.
     first = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = blocks.join(first, "node")
-    tag = plain.join(wanted, "doc_id")
+    wanted = families.join(first, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc_id"), "family")
+    told = plain.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
 
-    def honest(batches):
-        """Where an id stands with several texts, only the one that is meant."""
+    def pack(batches):
         for b in batches:
-            keep = [i for i, (t, node) in enumerate(zip(b["text"], b["node"], strict=True)) if node_of(t) == node]
-            yield {c: [b[c][i] for i in keep] for c in ("family", "parts", "block", "node", "text")}
-
-    def named(batches):
-        for b in batches:
-            yield {"node": [node_of(t) for t in b["text"]], "text": b["text"]}
-
-    fields = "family long, parts int, block int, node long, text string"
-    held = map_columns(tag.select("family", "parts", "block", "node", "text"), fields, honest)
-    nameless = map_columns(plain.where("doc_id IS NULL").select("text"), "node long, text string", named)
-    held = held.union(nameless.join(wanted.where("doc_id IS NULL"), "node").select("family", "parts", "block", "node", "text"))
-    members = written(held.dropDuplicates(["node"]), "neardup-members")
-    inside = verified(members.withColumns({"side": F.lit(0), "root": F.col("node")}), weights, False, similarity)
-    links = written(inside, "neardup-links")
-    several = members.where("parts > 1")
-    if several.limit(1).count():
-        links = links.union(between_blocks(several, links, weights, similarity))
+            yield {"family": b["family"], "node": b["node"], "data": [packed_shingles(h) for h in shingles(b["text"])]}
+
+    held = map_columns(told.select("family", "node", "text"), "family binary, node binary, data binary", pack)
+    held = written(held.groupBy("node").agg(F.first("family").alias("family"), F.first("data").alias("data")), "neardup-members")
+    sizes = held.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("data") / 12).alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK * 0.8), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    whole = (F.col("n") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    members = held.join(sizes.select("family", F.when(whole, 1).otherwise(parts).alias("parts")), "family")
+    links = links_inside(members, lambda data: similar(data, shares.value, similarity), BLOCK, "neardup-exact")
     roots = components(links).select("node", "root")
-    placed = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(named, "root").select("doc_id", "class_id", "class_size")
-
-
-def between_blocks(several: DataFrame, links: DataFrame, weights, similarity: float) -> DataFrame:
-    """Links across the blocks of families of more than one block.
-
-    First the roots of what was found inside blocks are compared with each other, where a family has few of them: a group
-    of copies that are all alike is one class from then on. Then every pair of blocks is compared, for families that are
-    not one class yet.
-    """
-    rooted = lambda found: several.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    now = rooted(links)
-    heads = now.where("node = root")
-    few = heads.groupBy("family").agg(F.count("*").alias("n")).where(f"n > 1 AND n <= {BLOCK}").select("family")
-    head_links = written(verified(heads.join(few, "family").withColumns({"block": F.lit(-1), "side": F.lit(0)}), weights, False, similarity), "neardup-heads")
-    now = rooted(links.union(head_links))
-    left = now.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("family")
-    rest = now.join(left, "family")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = rest.select("family", "parts", "block", "node", "root", "text", other).where("other <> block")
-    pair = F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
-    crossed = pairs.select("family", pair.alias("pair"), F.col("block").alias("side"), "node", "root", "text").withColumnRenamed("pair", "block")
-    return head_links.union(written(verified(crossed, weights, True, similarity), "neardup-cross"))
+    return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, as they are, of one document of each class: that of the least doc_id (one row of it). Rows
-    without an id stay."""
-    found = written(classes(docs, similarity), "neardup-classes")
-    kept = found.where("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs, as they are, of one document of each class: that of the least doc_id (a null one comes last, and
+    of equal ones that of the least digest). Of rows that repeat that id and text, one stays."""
+    found = written(classified(docs, similarity), "neardup-classes")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = found.groupBy("root").agg(F.min(ranked).alias("first")).select(F.col("first.doc_id").alias("_doc_id"), F.col("first.node").alias("_node"))
+    node, names = node_of(F.coalesce(docs["text"], F.lit(""))), docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), node.alias("_digest"))
+    out = rows.join(kept, (F.col("_digest") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    repeated = found.groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node"))
+    if repeated.limit(1).count():
+        out = out.dropDuplicates(["_id", "_digest"])
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names])

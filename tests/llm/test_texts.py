@@ -89,79 +89,6 @@ def test_classifiers_on_nasty_and_empty_rows(spark, nasty, empty):
         assert module.scored(mixed, labels).where("score BETWEEN 0 AND 1").count() == mixed.count()
 
 
-def brute_classes(texts, ids, similarity=0.8):
-    """All pairs, by weighted Jaccard similarity with the operator's own weights."""
-    made = near_dup.shingles(texts)
-    sketch = sum(np.bincount(near_dup.bucket(np.unique(h)), minlength=near_dup.WIDTH) for h in made)
-    weights = near_dup.bucket_weights(sketch, len(texts))
-    sets = [dict(zip(*(x.tolist() for x in near_dup.elements(h, weights)), strict=True)) for h in made]
-    union = near_dup.Union()
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if texts[i] == texts[j]:
-                union.join(i, j)
-            elif a and b:
-                common = sum(w for k, w in a.items() if k in b)
-                if common >= (similarity - 1e-9) * (sum(a.values()) + sum(b.values()) - common):
-                    union.join(i, j)
-    least: dict = {}
-    for i, d in enumerate(ids):
-        least[union.find(i)] = min(d, least.get(union.find(i), d))
-    return {d: least[union.find(i)] for i, d in enumerate(ids)}
-
-
-def test_near_duplicates_against_brute_force(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    got = {r.doc_id: r.class_id for r in QUERIES["op8_icws_near_duplicates"](spark, "/root/testdata/sf0.001").collect()}
-    assert got == brute_classes([r.text for r in rows], [r.doc_id for r in rows])
-
-
-def test_large_families_are_compared_across_blocks(spark, monkeypatch):
-    """Families of several blocks: one in which all are alike, one of a chain whose ends are not."""
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    rng = np.random.default_rng(5)
-    words = [f"w{i}" for i in range(3000)]
-    base = list(rng.choice(words, 120))
-    rows = []
-    for i in range(40):
-        t = list(base)
-        t[int(rng.integers(120))] = f"x{i}"
-        rows.append((i, " ".join(t)))
-    chain = list(rng.choice(words, 150))
-    for i in range(30):
-        chain = [*chain[2:], f"y{i}", f"z{i}"]
-        rows.append((100 + i, " ".join(chain)))
-    rows += [(1000 + i, " ".join(rng.choice(words, 60))) for i in range(20)]
-    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_classes([t for _, t in rows], [i for i, _ in rows])
-
-
-def test_near_duplicates_of_nasty_rows(spark, nasty, empty):
-    got = near_dup.classes(nasty)
-    assert got.count() == nasty.count()
-    rows = {r.doc_id: r for r in got.collect()}
-    assert rows[0].class_id == rows[1].class_id == 0 and rows[0].class_size == 2
-    assert rows[4].class_size == 3 and rows[None].class_id is None
-    kept = near_dup.deduplicated(nasty)
-    assert kept.columns == nasty.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 1").count() == 0
-    assert near_dup.classes(empty).count() == 0
-
-
-def test_sampling_agrees_with_similarity():
-    """The share of equal samples is the weighted Jaccard similarity."""
-    rng = np.random.default_rng(6)
-    h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    w = rng.uniform(1, 3, 300).astype(np.float32)
-    a, b = np.arange(0, 220), np.arange(60, 300)
-    both = np.concatenate([h[a], h[b]])
-    log_weight = np.log(np.concatenate([w[a], w[b] * np.float32(1.2)]))
-    same = np.mean([len(set(near_dup.samples(both, log_weight, np.array([0, len(a)]), k))) == 1 for k in range(1500)])
-    wa, wb = np.zeros(300), np.zeros(300)
-    wa[a], wb[b] = w[a], w[b] * 1.2
-    assert abs(same - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.04
-
-
 def test_components(spark):
     rng = np.random.default_rng(7)
     links = rng.integers(0, 300, (200, 2)).tolist() + [[i, i + 1] for i in range(1000, 1060)] + [[5, 5]]
@@ -224,13 +151,3 @@ def test_infrequent_insults_among_many_labelled_texts():
     model = toxicity.fit(bad[-n:] + good[-m:], [1] * min(n, 2500) + [0] * min(m, 5000))
     score = lambda t: float(model.score(toxicity.worst_units([t], model))[0])
     assert n >= 2500 and m >= 5000 and score("the zqvurk on") >= 0.5 and score("the rest on") < 0.5
-
-
-def test_near_duplicates_of_rows_without_an_id(spark):
-    """A text that only rows without an id hold bridges two others."""
-    words = [f"w{i}" for i in range(200)]
-    chain = [" ".join(words[7 * i : 100 + 7 * i]) for i in range(3)]
-    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2])]
-    rows += [(100 + i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(60)]
-    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id IS NULL OR doc_id < 100").collect()
-    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(1, 1, 4), (None, 1, 4), (3, 1, 4)}
