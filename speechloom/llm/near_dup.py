@@ -83,7 +83,7 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         held: list[np.ndarray] = []
 
         def add_held():
-            h = np.concatenate(held)
+            h = np.concatenate([np.empty(0, np.uint64), *held])
             for row in range(DEPTH):
                 total[row] += np.bincount(bucket(h, row), minlength=WIDTH)
             held.clear()

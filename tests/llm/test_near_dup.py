@@ -169,6 +169,15 @@ def test_sampling_agrees_with_similarity():
     assert abs(same - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.04
 
 
+def test_document_counts_of_full_batches(spark, monkeypatch):
+    """A task whose last batch has just been added up still gives its counts, and one without words gives zeros."""
+    monkeypatch.setattr(near_dup, "WIDTH", 256)
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(900)),), (None,)], "text string").coalesce(1)
+    sketch, n = near_dup.document_counts(docs)
+    assert n == 2 and sketch.sum(1).tolist() == [896, 896]
+    assert near_dup.document_counts(spark.createDataFrame([(None,)], "text string"))[0].sum() == 0
+
+
 def test_document_counts(spark):
     """The sketch's shares are the exact ones but for its noise."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
