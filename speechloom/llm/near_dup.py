@@ -9,7 +9,6 @@ and form a family where enough agree. Inside a family all pairs that links found
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
 from itertools import groupby
@@ -18,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import Bounded, bound_batches, map_columns, written
+from speechloom.llm.common import bound_batches, map_columns, written
 from speechloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -32,7 +31,6 @@ RARE = 0.001
 DEPTH, WIDTH, SLICES = 2, 1 << 20, 16
 #: Texts compared with each other at once: by their samples, by their shingles; shingles a block holds about.
 SKETCHES, BLOCK, BLOCK_SHINGLES = 2048, 256, 4_000_000
-WORDS_KEPT = 1_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x5851F42D4C957F2D, i, 1 << 64) for i in range(WORDS)], np.uint64)
@@ -44,27 +42,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = Bounded(WORDS_KEPT, lambda words: [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words])
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _M3)
+
+
+def word_hashes(words: str) -> np.ndarray:
+    """A 64-bit hash of each of the words, which single spaces part: sums of a number a letter, by its place in the word."""
+    data = np.frombuffer(words.encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    out = np.empty(len(ends), np.uint64)
+    first = 0
+    while first < len(ends):
+        # About a megabyte of whole words at a time.
+        begin = ends[first - 1] + 1 if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 20))))
+        stop = ends[first:last]
+        starts = np.concatenate([[begin], stop[:-1] + 1])
+        size = stop + 1 - starts
+        powers = np.multiply.accumulate(np.full(int(size.max()), _M2))
+        place = np.arange(stop[-1] + 1 - begin) - np.repeat(starts - begin, size)
+        out[first:last] = np.add.reduceat(_LETTERS[data[begin : stop[-1] + 1]] * powers[place], starts - begin)
+        first = last
+    return mix(out)
 
 
 def shingles(batch: list[str]) -> list[np.ndarray]:
     """The hashed shingles of each text, in order, repeats included: words in lower case between white space; a shorter
     text than a shingle is one shingle by itself; one without words has none."""
-    split = [t.lower().split() for t in batch]
-    known = _WORDS.view(set().union(*split))
-    out = []
-    for words in split:
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if 0 < len(h) < WORDS:
-            out.append(mix(np.array([(h * _POWERS[: len(h)]).sum() + np.uint64(len(h))], np.uint64)))
-        elif len(h):
-            n = len(h) - WORDS + 1
-            total = h[:n] * _POWERS[0]
-            for i in range(1, WORDS):
-                total = total + h[i : i + n] * _POWERS[i]
-            out.append(mix(total))
+    plain = [" ".join(t.lower().split()) for t in batch]
+    sizes = [t.count(" ") + 1 if t else 0 for t in plain]
+    h = word_hashes(" ".join([t for t in plain if t])) if any(sizes) else np.empty(0, np.uint64)
+    n = max(0, len(h) - WORDS + 1)
+    whole = np.zeros(n, np.uint64)
+    for i in range(WORDS):
+        whole += h[i : i + n] * _POWERS[i]
+    whole = mix(whole)
+    out, at = [], 0
+    for size in sizes:
+        if 0 < size < WORDS:
+            out.append(mix(np.array([(h[at : at + size] * _POWERS[:size]).sum() + np.uint64(size)], np.uint64)))
         else:
-            out.append(h)
+            out.append(whole[at : at + max(0, size - WORDS + 1)])
+        at += size
     return out
 
 
@@ -89,7 +107,7 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
             held.clear()
 
         for b in batches:
-            found = [np.unique(h) for h in shingles(b["text"])]
+            found = [counted(h)[0] if len(h) else h for h in shingles(b["text"])]
             n += len(found)
             held += found
             if sum(map(len, held)) > WIDTH:
@@ -294,6 +312,23 @@ def similar(data: list[bytes], shares: np.ndarray, similarity: float) -> np.ndar
     return (common >= (similarity - 1e-9) * either) & (total > 0)[:, None]
 
 
+def spanning(linked: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
+    """Pairs that join all that linked (symmetric) joins, without those whose roots others have joined."""
+    union, out, unseen = Union(), [], np.ones(len(roots), bool)
+    for i in range(len(roots)):
+        if unseen[i]:
+            unseen[i], waiting = False, [i]
+            while waiting:
+                x = waiting.pop()
+                near = np.flatnonzero(linked[x] & unseen)
+                unseen[near] = False
+                for y in near.tolist():
+                    waiting.append(y)
+                    if union.join(roots[x], roots[y]):
+                        out.append((x, y))
+    return out
+
+
 def compared(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """A spanning set of links (a, b) inside each (family, block); members has family, block, side, node, root, data.
 
@@ -311,12 +346,12 @@ def compared(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray]) -
             held = list(group)
             if len(held) < 2:
                 continue
-            union = Union()
-            for i, j in np.argwhere(np.triu(compare([r[5] for r in held]), 1)).tolist():
-                x, y = held[i], held[j]
-                if (x[2] != y[2] or x[2] < 0) and union.join(x[4], y[4]):
-                    out["a"].append(x[3])
-                    out["b"].append(y[3])
+            good, sides = compare([r[5] for r in held]), np.array([r[2] for r in held])
+            if sides[0] >= 0:
+                good &= sides[:, None] != sides[None, :]
+            for i, j in spanning(good, [r[4] for r in held]):
+                out["a"].append(held[i][3])
+                out["b"].append(held[j][3])
             if len(out["a"]) > 4096:
                 yield out
                 out = {"a": [], "b": []}
@@ -324,7 +359,7 @@ def compared(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray]) -
             yield out
 
     dealt = members.select("family", "block", "side", "node", "root", "data").repartition("family", "block").sortWithinPartitions("family", "block")
-    return map_columns(dealt, "a binary, b binary", link)
+    return map_columns(dealt, "a long, b long", link)
 
 
 def links_inside(members: DataFrame, compare: Callable[[list[bytes]], np.ndarray], block: int, label: str) -> DataFrame:
@@ -367,16 +402,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Equal texts are of one class, texts without words (null, empty, blank) only with equal ones; a null text is an empty
     one. Rows with a null doc_id take part like others; a class with no id has a null class_id. Classes are told apart by
-    their texts, so where a doc_id stands with different texts, two classes can have one class_id; class_key (hexadecimal)
-    differs. An empty table gives an empty one; other columns are left out.
+    their texts, so where a doc_id stands with different texts, two classes can have one class_id; class_key (the least
+    digest of the class) differs. An empty table gives an empty one; other columns are left out.
     """
     placed = classified(docs, similarity)
-    named = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(named, "root").select("doc_id", "class_id", "class_size", F.lower(F.hex("root")).alias("class_key"))
+    named = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("node").alias("key"))
+    return placed.join(named, "root").select("doc_id", "class_id", "class_size", F.lower(F.hex("key")).alias("class_key"))
 
 
 def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (of the text) and root (the least node of its class) of every row of docs."""
+    """doc_id, node (of the text) and root (a number, the class's) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark, 512)
     sketch, n = document_counts(docs)
@@ -390,35 +425,36 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             yield {"doc_id": b["doc_id"], "node": b["node"], "keys": [m and m[0] for m in made], "data": [m and m[1] for m in made]}
 
     signed = written(map_columns(plain, "doc_id long, node binary, keys array<long>, data binary", sign), "neardup-signed")
-    # One row a different text, then one a text and bucket, of the buckets that hold several texts.
-    different = signed.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"), F.first("data").alias("data"))
-    different = written(different, "neardup-texts")
-    keys = different.select("node", F.explode("keys").alias("family"))
+    # One row a different text, numbered for the links; then one a text and bucket, of the buckets that hold several texts.
+    different = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("data").alias("data"), F.min("doc_id").alias("doc_id"))
+    different = written(different.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")
+    keys = different.select(F.col("id").alias("node"), F.explode("keys").alias("family"))
     sizes = keys.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.when(F.col("n") <= SKETCHES, 1).otherwise(F.ceil(F.col("n") / F.lit(SKETCHES * 0.8))).cast("int").alias("parts")
-    buckets = keys.join(sizes.select("family", parts), "family").join(different.select("node", "data"), "node")
+    buckets = keys.join(sizes.select("family", parts), "family").join(different.select(F.col("id").alias("node"), "data"), "node")
     least = least_agreement(similarity)
     alike = links_inside(buckets, lambda data: agreeing(data, least), SKETCHES, "neardup-samples")
     families = written(components(alike).select("node", F.col("root").alias("family")), "neardup-families")
 
     # The text of one row a node: that of the least id, or of none where no row has one.
-    first = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = families.join(first, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc_id"), "family")
+    named = different.select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("doc_id").alias("_doc_id"))
+    wanted = named.join(families, F.col("_id") == F.col("node")).select("_id", "_node", "_doc_id", "family")
     told = plain.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
 
     def pack(batches):
         for b in batches:
             yield {"family": b["family"], "node": b["node"], "data": [packed_shingles(h) for h in shingles(b["text"])]}
 
-    held = map_columns(told.select("family", "node", "text"), "family binary, node binary, data binary", pack)
-    held = written(held.groupBy("node").agg(F.first("family").alias("family"), F.first("data").alias("data")), "neardup-members")
+    held = map_columns(told.select("family", F.col("_id").alias("node"), "text"), "family long, node long, data binary", pack)
+    held = written(held.dropDuplicates(["node"]), "neardup-members")
     sizes = held.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("data") / 12).alias("shingles"))
     parts = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK * 0.8), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     whole = (F.col("n") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
     members = held.join(sizes.select("family", F.when(whole, 1).otherwise(parts).alias("parts")), "family")
     links = links_inside(members, lambda data: similar(data, shares.value, similarity), BLOCK, "neardup-exact")
-    roots = components(links).select("node", "root")
-    return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    placed = different.select("node", "id").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    return signed.select("doc_id", "node").join(placed, "node")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -171,13 +171,39 @@ def test_sampling_agrees_with_similarity():
 
 def test_document_counts_of_full_batches(spark, monkeypatch):
     """A task whose last batch has just been added up still gives its counts, and one without words gives zeros."""
-    monkeypatch.setattr(near_dup, "WIDTH", 256)
-    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(900)),), (None,)], "text string").coalesce(1)
+    words = near_dup.WIDTH + 5
+    docs = spark.createDataFrame([(" ".join(map(str, range(words))),), (None,)], "text string").coalesce(1)
     sketch, n = near_dup.document_counts(docs)
-    assert n == 2 and sketch.sum(1).tolist() == [896, 896]
+    assert n == 2 and sketch.sum(1).tolist() == [words - 4, words - 4]
     assert near_dup.document_counts(spark.createDataFrame([(None,)], "text string"))[0].sum() == 0
 
 
+def test_shingles_by_the_plain_rule(nasty_texts=("a b c d e f", "A  b\tc D\u3000e F", "a b", "", " ", "é à b c d e ü", "x" * 3000 + " b c d e f g", "w " * 300_000 + "z")):
+    """Equal five-word runs, and only these, have equal hashes, however the texts are batched."""
+    seen = {}
+    for t, h in zip(nasty_texts, near_dup.shingles(list(nasty_texts)), strict=True):
+        words = t.lower().split()
+        want = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+        assert len(want) == len(h) and near_dup.shingles([t])[0].tolist() == h.tolist()
+        for w, x in zip(want, h.tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        linked = np.triu(rng.random((30, 30)) < 0.05, 1)
+        linked |= linked.T
+        roots = rng.integers(0, 12, 30).tolist()
+        want, got = near_dup.Union(), near_dup.Union()
+        for i, j in np.argwhere(linked):
+            want.join(roots[i], roots[j])
+        for i, j in near_dup.spanning(linked, roots):
+            assert linked[i, j] and got.join(roots[i], roots[j])
+        assert [want.find(r) for r in roots] == [got.find(r) for r in roots]
+
+
 def test_document_counts(spark):
     """The sketch's shares are the exact ones but for its noise."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
