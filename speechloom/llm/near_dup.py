@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from speechloom.llm.common import bound_batches, map_columns, written
 from speechloom.llm.components import components
+from speechloom.llm.word_hash import mix, word_ends, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: At 0.8, a pair shares a band with probability 1 - (1 - 0.8**3)**11 = 0.9996.
@@ -36,41 +37,13 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 _POWERS = np.array([pow(0x5851F42D4C957F2D, i, 1 << 64) for i in range(WORDS)], np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _M3)
-
-
-def word_hashes(words: str) -> np.ndarray:
-    """A 64-bit hash of each of the words, which single spaces part: sums of a number a letter, by its place in the word."""
-    data = np.frombuffer(words.encode("utf-8", "surrogatepass") + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    out = np.empty(len(ends), np.uint64)
-    first = 0
-    while first < len(ends):
-        # About a megabyte of whole words at a time.
-        begin = ends[first - 1] + 1 if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 20))))
-        stop = ends[first:last]
-        starts = np.concatenate([[begin], stop[:-1] + 1])
-        size = stop + 1 - starts
-        powers = np.multiply.accumulate(np.full(int(size.max()), _M2))
-        place = np.arange(stop[-1] + 1 - begin) - np.repeat(starts - begin, size)
-        out[first:last] = np.add.reduceat(_LETTERS[data[begin : stop[-1] + 1]] * powers[place], starts - begin)
-        first = last
-    return mix(out)
-
-
 def shingles(batch: list[str]) -> list[np.ndarray]:
     """The hashed shingles of each text, in order, repeats included: words in lower case between white space; a shorter
     text than a shingle is one shingle by itself; one without words has none."""
     plain = [" ".join(t.lower().split()) for t in batch]
     sizes = [t.count(" ") + 1 if t else 0 for t in plain]
-    h = word_hashes(" ".join([t for t in plain if t])) if any(sizes) else np.empty(0, np.uint64)
+    data = np.frombuffer(" ".join([t for t in plain if t] + [""]).encode("utf-8", "surrogatepass"), np.uint8)
+    h = word_hashes(data, word_ends(data))[0]
     n = max(0, len(h) - WORDS + 1)
     whole = np.zeros(n, np.uint64)
     for i in range(WORDS):

@@ -3,7 +3,8 @@
 Every source is a queue of tokens. In each round (a window of `window` tokens) a source may send its quantum, window
 times its target share; what a quantum's fraction leaves unsent is its deficit, carried into the next round. After w
 rounds source s has therefore sent min(T_s, floor(w * q_s)) tokens, whatever task looks at it: the stream position of any
-token follows from the totals alone, and partitions need not hand state to each other. The stream is cut into sequences.
+token follows from the totals alone, and partitions need not hand state to each other. The stream is cut into sequences,
+so a source that has run out leaves none short: the others' next rounds move up, in their own proportions.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import bound_batches, map_columns, remove, written
+from speechloom.llm.common import bound_batches, map_columns, written
 
 LENGTH = 2048
 #: Sequences a round fills: with one, every sequence holds the target proportions.
 ROUND = 1
+#: Queues the driver and each task hold: beyond, all but the largest sources are one queue.
+QUEUES = 4096
+#: The name of the queue that small sources share; no source's own name begins so.
+OTHERS = "others"
 
 
 class Schedule:
@@ -45,7 +50,7 @@ class Schedule:
     def round(self, w: int) -> tuple[list[int], list[int]]:
         """Of each source, the tokens sent before round w, and the stream position where its part of the round begins."""
         if w not in self.at:
-            if len(self.at) > 4096:
+            if len(self.at) > max(16, (1 << 20) // len(self.names)):
                 self.at.clear()
             before, after = self.sent(w), self.sent(w + 1)
             begin = accumulate([sum(before), *(b - a for a, b in zip(before, after, strict=True))])
@@ -82,52 +87,71 @@ class Schedule:
         raise AssertionError("past the end")
 
 
+def queue_of(source: Column) -> Column:
+    """The name of a source's queue: its own behind an equals sign; a null source has the queue without a name."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, source, block (the task), start (in the block's queue of the source), n, ids (16-bit). Written, so that it stays as it is."""
+    """doc_id, queue, block (the task), start (in the block's part of the queue), n, ids (16-bit). Written, so that it stays
+    as it is. A null or empty text is its end id alone; an empty table gives an empty one."""
 
     def make(batches):
         from pyspark import TaskContext
 
         from speechloom.llm.fast_ids import loaded
 
-        ids, block, queue = loaded(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
-        end = np.array([end_id], "<u2").tobytes()
+        ids, block, sent = loaded(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
-            data = [x + end for x in ids.encode_batch(b["text"])]
+            found = ids.encode_batch(b["text"], end_id)
             starts = []
-            for s, x in zip(b["source"], data, strict=True):
-                starts.append(queue[s])
-                queue[s] += len(x) // 2
-            yield {"doc_id": b["doc_id"], "source": b["source"], "block": [block] * len(data), "start": starts, "n": [len(x) // 2 for x in data], "ids": data}
+            for q, x in zip(b["queue"], found, strict=True):
+                starts.append(sent[q])
+                sent[q] += len(x)
+            yield {"doc_id": b["doc_id"], "queue": b["queue"], "block": [block] * len(found), "start": starts, "n": [len(x) for x in found], "ids": [x.tobytes() for x in found]}
 
-    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    kept = docs.select("doc_id", source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(map_columns(kept, "doc_id long, source string, block long, start long, n long, ids binary", make), "packing-ids")
+    queue = queue_of(F.col("source")) if "source" in docs.columns else F.lit("")
+    kept = docs.select("doc_id", queue.alias("queue"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(map_columns(kept, "doc_id long, queue string, block long, start long, n long, ids binary", make), "packing-ids")
 
 
-def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, rounds: int = ROUND, shares: dict[str, float] | None = None) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, rounds: int = ROUND, shares: dict[str | None, float] | None = None, queues: int = QUEUES) -> DataFrame:
     """Pieces of all documents in sequences of length tokens.
 
-    A null or empty text is one piece, its end id; a null source is a queue of its own; repeated rows are packed each for
-    itself; an empty table gives no piece; other columns are left out. Shares left out follow the sources' own sizes, so
-    that all queues end together. The driver holds one number a source.
+    shares: the target proportions, by source (null is one; each with tokens needs a share). Without them the target is the
+    sources' own sizes: the mixture that uses every token once with all queues ending together, which every sequence then
+    holds. A null or empty text is one piece, its end id; a null source is a queue of its own; repeated rows are packed each
+    for itself; an empty table gives no piece; other columns are left out. The driver holds one number a queue; where
+    sources are more than queues, all but the largest (by tokens, then by name) are one queue, with their shares' sum.
     """
     bound_batches(docs.sparkSession)
     ids = tokenised(docs, tokenizer_path, end_id)
-    by_block = written(ids.groupBy("source", "block").agg(F.sum("n").alias("n")), "packing-blocks")
-    totals = {r.source: r.n for r in by_block.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    schedule = Schedule(totals, shares, length, rounds)
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_block.select("source", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = ids.join(offsets, ["source", "block"]).select("doc_id", "source", (F.col("before") + F.col("start")).alias("start"), "n", "ids")
+    by_block = written(ids.groupBy("queue", "block").agg(F.sum("n").alias("n")), "packing-blocks")
+    sizes = by_block.groupBy("queue").agg(F.sum("n").alias("n"))
+    top = {r.queue: r.n for r in sizes.orderBy(F.col("n").desc(), "queue").limit(queues).collect()}
+    totals, rest = dict(top), by_block.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - sum(top.values())
+    target = {"" if s is None else f"={s}": Fraction(x) for s, x in shares.items()} if shares else None
+    if rest:
+        totals[OTHERS] = rest
+        if target:
+            target[OTHERS] = sum(x for s, x in target.items() if s not in top)
+    schedule = Schedule(totals, target, length, rounds)
+    if rest:
+        names = docs.sparkSession.createDataFrame([(q,) for q in top], "queue string")
+        shared = by_block.join(F.broadcast(names.withColumn("goes", F.col("queue"))), "queue", "left").withColumn("goes", F.coalesce("goes", F.lit(OTHERS)))
+    else:
+        shared = by_block.withColumn("goes", F.col("queue"))
+    before = Window.partitionBy("goes").orderBy("block", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shared.select("queue", "block", "goes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = ids.join(offsets, ["queue", "block"]).select("doc_id", "goes", (F.col("before") + F.col("start")).alias("start"), "n", "ids")
 
     def make(batches):
         plan = schedule
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-            for doc, source, start, n, data in zip(b["doc_id"], b["source"], b["start"], b["n"], b["ids"], strict=True):
+            for doc, queue, start, n, data in zip(b["doc_id"], b["goes"], b["start"], b["n"], b["ids"], strict=True):
                 wide = np.frombuffer(data, "<u2").astype("<u4")
-                for at, size, sequence, offset in plan.place(source, start, n):
+                for at, size, sequence, offset in plan.place(queue, start, n):
                     out["doc_id"].append(doc)
                     out["start"].append(at)
                     out["length"].append(size)

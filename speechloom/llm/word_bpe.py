@@ -9,7 +9,6 @@ once, and a word's ids are read off by stepping back from its end.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
@@ -112,33 +111,10 @@ class TrieEncoder:
             out.append(back[::-1])
         return out
 
-    def encode_heap(self, word: str) -> list[str]:
-        """For very long words, where a trie shares nothing: the same merges by a heap over linked symbols."""
-        parts = [*word[:-1], word[-1] + END]
-        n, after, before = len(parts), [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.rank.get((a, b))) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or parts[i] != a or j < 0 or parts[j] != b:
-                continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := self.rank.get((parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
-        return [p for p, live in zip(parts, alive, strict=True) if live]
-
 
 class WordBpe:
     """A tokenizer file's whole way from text to ids and back, with bounded caches of chunks and words."""
 
-    #: Words longer than this take the heap.
-    LONG = 200
-
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -163,16 +139,19 @@ class WordBpe:
         low = self.lower(chunk)
         return _LATIN.findall(low) if not _UNUSUAL.search(low) else self.pattern.findall(low)
 
+    def split_all(self, chunks: list[str]) -> list[list[str]]:
+        """split() of each chunk; a space is no part of a chunk, and neither joins nor is joined in normalising."""
+        low = self.lower(" ".join(chunks))
+        if not _UNUSUAL.search(low):
+            return list(map(_LATIN.findall, low.split(" ")))
+        return [_LATIN.findall(c) if not _UNUSUAL.search(c) else self.pattern.findall(c) for c in low.split(" ")]
+
     def _encode_words(self, words: list[str]) -> list[list[str]]:
         spelt = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         order = sorted(range(len(words)), key=spelt.__getitem__)
         out: list[list[str]] = [[]] * len(words)
-        short = [i for i in order if len(spelt[i]) <= self.LONG]
-        for i, tokens in zip(short, self.encoder.encode_sorted([spelt[i] for i in short]), strict=True):
+        for i, tokens in zip(order, self.encoder.encode_sorted([spelt[i] for i in order]), strict=True):
             out[i] = tokens
-        for i in order:
-            if len(spelt[i]) > self.LONG:
-                out[i] = self.encoder.encode_heap(spelt[i])
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[tuple[str, str]]:

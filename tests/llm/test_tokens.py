@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -51,11 +52,20 @@ def test_encoder_matches_library(library, text):
     assert ids == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False)
 
 
-def test_trie_and_heap_agree(library):
+def test_whole_table_round_trip(spark, library):
+    """Both digests of every document."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op6_word_bpe_round_trip"](spark, SF).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_trie_of_words_of_any_length(library):
     bpe = word_bpe.loaded(tokenizer(WORD))
-    words = sorted({"".join(w) for w in np.random.default_rng(2).choice(list("abcdehinorst"), (400, 9))} | {"a", "an", "and", "andthe", "andthem"})
+    words = sorted({"".join(w) for w in np.random.default_rng(2).choice(list("abcdehinorst"), (400, 9))} | {"a", "an", "and", "andthe", "andthem", "x" * 3000, "the" * 900})
     for w, tokens in zip(words, bpe.encoder.encode_sorted(words), strict=True):
-        assert tokens == bpe.encoder.encode_heap(w) == library.encode(w).tokens
+        assert tokens == library.encode(w).tokens
 
 
 def test_cache_limits_change_nothing():
@@ -163,10 +173,44 @@ def test_schedule_with_other_shares_and_tiny_sources():
     assert used == 25_003
 
 
-def test_fast_ids_match(library):
+def test_fast_ids_match(library, nasty):
+    texts = [r.text or "" for r in nasty.select("text").collect()]
+    fast = FastIds(tokenizer(WORD))
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert fast.encode_batch([t])[0].tolist() == want and fast.encode_batch([t], 1)[0].tolist() == [*want, 1]
+    together = texts * 2
+    assert [x.tolist() for x in fast.encode_batch(together)] == [library.encode(t, add_special_tokens=False).ids for t in together]
+
+
+def test_word_tables_past_their_limit(spark, library):
+    """Words that find no room are worked out anew; results stay the same."""
     fast = FastIds(tokenizer(WORD))
-    for t in ("Hello, it's  <|endoftext|>wörld 12345 a!!?", "", "ΑΣ 日本語 x" + "y" * 500):
-        assert np.frombuffer(fast.encode_batch([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    fast.chunks.limit, fast.words.limit = 50, 30
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for _ in range(2):
+        for i in range(0, len(texts), 40):
+            got = fast.encode_batch(texts[i : i + 40])
+            assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[i : i + 40]]
+
+
+def test_null_and_empty_sources_have_queues_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "some words here", None if i % 2 else "") for i in range(4)], "doc_id long, text string, source string")
+    rows = packing.packed(docs, tokenizer(WORD), shares={None: 0.9, "": 0.1}).orderBy("sequence_id", "offset").collect()
+    assert len(packing.tokenised(docs, tokenizer(WORD), 1).select("queue").distinct().collect()) == 2
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_more_sources_than_queues(spark, library):
+    """Small sources share a queue; every document is packed all the same, and large ones keep their shares."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "big").otherwise(F.col("doc_id").cast("string")))
+    checked_packing(docs, library, queues=3)
+    rows = packing.packed(docs, tokenizer(WORD), queues=1).collect()
+    total, big = sum(r.length for r in rows), {r.doc_id for r in docs.where("source = 'big'").collect()}
+    share = sum(r.length for r in rows if r.doc_id in big) / total
+    for w in range(total // 2048):
+        assert abs(sum(r.length for r in rows if r.sequence_id == w and r.doc_id in big) - 2048 * share) <= 3
 
 
 def test_every_sequence_of_the_query_keeps_the_mixture(spark):
