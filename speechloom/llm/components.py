@@ -1,21 +1,29 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table, by alternating large-star and small-star rounds, or in one task where they fit."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import ensure_checkpoint_dir
+from speechloom.llm.common import ensure_checkpoint_dir, map_columns, written
 
+#: So many links (16 bytes each) are joined by one task, which takes less time than the rounds.
+LOCAL = 1 << 20
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     """links (a, b), both long, to (node, root): every linked node once, root the least node of its component.
 
-    Each round's links are cut off with checkpoint(), so a lost executor costs one round. A node with very many
-    neighbours is a skewed join key, which adaptive execution splits; minima are combined before they are shuffled.
+    An empty table gives an empty one; repeated links and those of a node to itself change nothing. More links than local
+    go through the rounds. Each round's links are cut off with checkpoint(), so a lost executor costs one round. A node with
+    very many neighbours is a skewed join key, which adaptive execution splits; minima are combined before they are
+    shuffled.
     """
     ensure_checkpoint_dir(links.sparkSession)
-    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-links")
+    if now.count() <= local:
+        return map_columns(now.coalesce(1), "node long, root long", joined)
     before = None
     while True:
         # Large star: every neighbour above a node points to the least of all its neighbours.
@@ -31,3 +39,27 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
+def joined(batches):
+    """The components of all links of one task: nodes take the least root of their neighbours until nothing changes, and
+    roots stand for their nodes."""
+    parts = [(b["a"], b["b"]) for b in batches]
+    if not parts:
+        return
+    ends = np.array([[x for p in parts for x in p[side]] for side in (0, 1)], np.int64)
+    names, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        # Each end's root, too, points to the lower one, so that whole trees move at once.
+        for side in (a, b):
+            np.minimum.at(after, root[side], low)
+        while (after != (up := after[after])).any():
+            after = up
+        if (after == root).all():
+            break
+        root = after
+    yield {"node": names.tolist(), "root": names[root].tolist()}

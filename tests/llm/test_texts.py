@@ -95,9 +95,10 @@ def test_components(spark):
     union = near_dup.Union()
     for a, b in links:
         union.join(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: union.find(x) for a, b in links if a != b for x in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for local in (0, 1 << 20):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
+        assert got == {x: union.find(x) for a, b in links if a != b for x in (a, b)}
+        assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
 
 
 def test_pipeline(spark):
