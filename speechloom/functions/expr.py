@@ -27,9 +27,13 @@ def cut(text: Column, pattern: str) -> Column:
     return F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
 
+#: Fixed value: the characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends, of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, of any kind. Only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def tokens(text: Column) -> Column:

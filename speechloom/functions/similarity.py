@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speechloom.functions.expr import let, round_even, strip, tokens
+from speechloom.functions.expr import let, round_even, tokens
 from speechloom.functions.numbers import protected_number_words
 
 # Spellings that count as the same word when two texts are compared.
@@ -147,7 +147,9 @@ def dedup_half(text: Column, jaccard_min: float = 0.82, lcs_min: float = 0.70, r
         return F.when(maybe, s)
 
     s = let(let(tokens(text), half), halves)
-    same = F.pandas_udf(agree, "boolean")(s["a"], s["b"])
+    # Called non-deterministic so that filters on what is made of it aren't pushed below it: they would take the batch function
+    # into their lambdas, where it can't run.
+    same = F.pandas_udf(agree, "boolean").asNondeterministic()(s["a"], s["b"])
     return F.when(same, F.array_join(s["first"], " ")).otherwise(text)
 
 
@@ -186,7 +188,3 @@ def mixed_scripts(text: Column) -> Column:
     runs = F.regexp_count(text, F.lit("[a-zA-Z]+"))
     share = runs / F.greatest(F.size(tokens(text)), F.lit(1))
     return text.rlike("[а-яёА-ЯЁ]") & text.rlike("[a-zA-Z]") & (share > 0.3)
-
-
-def stripped_words(text: Column) -> Column:
-    return tokens(strip(text))

@@ -6,6 +6,7 @@ Only what needs samples runs in Python; scores, votes and thresholds are express
 from __future__ import annotations
 
 import io
+import math
 import wave
 
 import numpy as np
@@ -28,13 +29,70 @@ def decode(data: bytes | None) -> tuple[np.ndarray, int] | None:
             width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return None
+    if not rate or not channels:
+        return None
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:
+        low = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((low[:, 0] << 8 | low[:, 1] << 16 | low[:, 2] << 24) >> 8).astype(np.float32) / float(1 << 23)
     elif width in (2, 4):
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
     else:
         return None
-    return x.reshape(-1, channels).mean(axis=1), rate
+    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
+
+
+def loaded(data: bytes | None = None, array=None, path: str | None = None, rate: int | None = None, want: int = RATE) -> np.ndarray | None:
+    """Mono samples at the wanted rate: of the bytes, else of an array with its rate, else of a file's path; None for none."""
+    got = decode(data) if data else None
+    if got is None and array is not None and len(array) and rate:
+        got = to_mono(np.asarray(array, np.float32)), rate
+    if got is None and path:
+        try:
+            with open(path, "rb") as f:
+                got = decode(f.read())
+        except OSError:
+            got = None
+    return None if got is None else resampled(got[0], got[1], want)
+
+
+def resampled(x: np.ndarray, rate: int, want: int = RATE, zeros: int = 16) -> np.ndarray:
+    """Polyphase resampling: one phase of a windowed sinc (cut off below the lower rate's half) for each output remainder."""
+    x = np.asarray(x, np.float32)
+    if rate == want or not len(x):
+        return x
+    g = math.gcd(rate, want)
+    up, down = want // g, rate // g
+    n = -(-len(x) * up // down)
+    # The filter at the upsampled rate, taken apart into its phases.
+    reach = zeros * max(up, down)
+    t = np.arange(-reach, reach + 1) / max(up, down)
+    h = np.sinc(t * 0.95) * 0.95 * np.kaiser(len(t), 8.0) * min(1.0, up / down)
+    at = np.arange(n) * down
+    out = np.zeros(n, np.float32)
+    for phase in range(min(up, n)):
+        own = np.arange(phase, n, up)
+        first = (at[own] - reach + up - 1) // up
+        taps = np.arange(2 * reach // up + 2)
+        k = at[own[0]] - (first[0] + taps) * up + reach
+        good = (k >= 0) & (k < len(h))
+        where = first[:, None] + taps[good][None, :]
+        inside = (where >= 0) & (where < len(x))
+        out[own] = (np.where(inside, x[np.clip(where, 0, len(x) - 1)], 0) * h[k[good]]).sum(1)
+    return out
+
+
+def standardised_files(df: DataFrame, audio: str = "content", to: str = "wav") -> DataFrame:
+    """Adds the recording as mono 16 kHz 16-bit .wav; null for what can't be read."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [loaded(d) for d in pdf[audio]]
+            pdf[to] = [None if x is None else encode(x) for x in found]
+            yield pdf
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 def to_mono(x: np.ndarray) -> np.ndarray:
@@ -232,43 +290,166 @@ def dbscan(distance: np.ndarray, eps: float, least: int = 2) -> np.ndarray:
     return labels
 
 
-def several_speakers(vectors: np.ndarray, seconds: np.ndarray, smallest: float = 0.15) -> bool:
-    """Whether segment embeddings fall into clusters that are large and stretches that are long, at the best of three radii
-    (percentiles 25, 35, 50 of the distances)."""
-    if len(vectors) < 4:
+# Percentile of the distances, and bounds, of each of the three radii; least share of a cluster's points.
+RADII = [(25, 0.10, 0.45), (35, 0.15, 0.55), (50, 0.20, 0.65)]
+SMALLEST_CLUSTER = 0.15
+
+
+def two_pitches(voiced: np.ndarray) -> bool:
+    """Whether the histogram of log2 pitch (30 bins) has two peaks that stand out: at least a quarter of the highest bin high,
+    three bins apart, standing 15 % of it above their surroundings, the lower one over 0.30 of the higher."""
+    if len(voiced) < 30:
         return False
+    n = np.histogram(np.log2(voiced), bins=30)[0].astype(float)
+    most = n.max()
+    # A peak may be a plateau; it counts at its middle.
+    edges = np.flatnonzero(np.diff(n)) + 1
+    begins, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(n)]])
+    peaks = [(b + e - 1) // 2 for b, e in zip(begins, ends, strict=True) if b > 0 and e < len(n) and n[b - 1] < n[b] > n[e]]
+    peaks = [p for p in peaks if n[p] >= 0.25 * most]
+    kept: list[int] = []
+    for p in sorted(peaks, key=lambda p: (-n[p], -p)):
+        if all(abs(p - q) >= 3 for q in kept):
+            kept.append(p)
+    heights = []
+    for p in kept:
+        higher = np.flatnonzero(n > n[p])
+        left, right = higher[higher < p].max(initial=-1), higher[higher > p].min(initial=len(n))
+        if n[p] - max(n[left + 1 : p + 1].min(), n[p:right].min()) >= 0.15 * most:
+            heights.append(n[p])
+    top = sorted(heights)[-2:]
+    return len(top) == 2 and top[0] / (top[1] + 1e-8) > 0.30
+
+
+def coherent(labels: np.ndarray, seconds: np.ndarray) -> bool:
+    """Whether speakers' stretches are long (a second on average); fewer than four labelled segments tell nothing against it."""
+    keep = labels >= 0
+    labels, seconds = labels[keep], seconds[keep]
+    if len(labels) < 4:
+        return True
+    starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+    return float(np.add.reduceat(seconds, starts).mean()) >= 1.0
+
+
+def several_speakers(vectors: np.ndarray, seconds: np.ndarray, voiced: np.ndarray | None = None) -> bool:
+    """Whether segment embeddings fall into clusters: each of three radii votes; two votes or more are held against the length
+    of the stretches of the trial whose nearest centroids lie furthest apart, one vote or none, or fewer than four segments,
+    leave it to the pitch."""
+    voiced = np.zeros(0) if voiced is None else voiced
+    if len(vectors) < 4:
+        return len(vectors) >= 2 and two_pitches(voiced)
     sd = vectors.std(0)
     z = (vectors - vectors.mean(0)) / np.where(sd > 0, sd, 1)
     unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    distance = np.maximum(1 - unit @ unit.T, 0)
-    best = None
-    for eps in np.percentile(distance[np.triu_indices(len(z), 1)], [25, 35, 50]):
-        labels = dbscan(distance, max(float(eps), 1e-6))
+    distance = np.clip(1 - unit @ unit.T, 0, 2)
+    np.fill_diagonal(distance, 0)
+    upper = distance[np.triu_indices(len(z), 1)]
+    trials = []
+    for q, low, high in RADII:
+        labels = dbscan(distance, float(np.clip(np.percentile(upper, q), low, high)))
         groups = [np.flatnonzero(labels == k) for k in range(labels.max() + 1)]
-        if len(groups) < 2 or min(map(len, groups)) / len(z) < smallest:
+        if len(groups) < 2 or min(map(len, groups)) / (labels >= 0).sum() < SMALLEST_CLUSTER:
             continue
         centres = np.stack([z[g].mean(0) for g in groups])
-        apart = float(np.linalg.norm(centres[:, None] - centres[None], axis=-1).max())
-        if best is None or apart > best[0]:
-            best = apart, labels
-    if best is None:
-        return False
-    keep = best[1] >= 0
-    labels, seconds = best[1][keep], seconds[keep]
-    if len(labels) < 4:
-        return True
-    starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
-    return float(np.add.reduceat(seconds, starts).mean()) >= 1.0
+        apart = np.linalg.norm(centres[:, None] - centres[None], axis=-1) + np.where(np.eye(len(groups), dtype=bool), np.inf, 0)
+        trials.append((float(apart.min()), -len(trials), labels))
+    if len(trials) < 2:
+        return two_pitches(voiced)
+    return coherent(max(trials, key=lambda t: t[:2])[2], seconds)
 
 
 def speaker_tags(segments: DataFrame, file: str = "file_name") -> DataFrame:
-    """(file, has_multiple_speakers) from (file, idx, seconds, embedding): the segments of one recording together."""
+    """(file, has_multiple_speakers) from (file, idx, seconds, embedding, and voiced, an array of pitches, where there is one):
+    the segments of one recording together."""
+    extra = ["voiced"] if "voiced" in segments.columns else []
+
     def tag(key, pdf):
         pdf = pdf.sort_values("idx")
-        found = several_speakers(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["seconds"].to_numpy(float))
+        voiced = np.concatenate([np.zeros(0), *(np.asarray(v, float) for v in pdf["voiced"] if v is not None)]) if extra else None
+        found = several_speakers(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["seconds"].to_numpy(float), voiced)
         return pd.DataFrame([(key[0], bool(found))], columns=[file, "has_multiple_speakers"])
 
-    return segments.select(file, "idx", "seconds", "embedding").groupBy(file).applyInPandas(tag, f"{file} string, has_multiple_speakers boolean")
+    return segments.select(file, "idx", "seconds", "embedding", *extra).groupBy(file).applyInPandas(tag, f"{file} string, has_multiple_speakers boolean")
+
+
+def mel_bank(rate: int, size: int, bands: int) -> np.ndarray:
+    """Triangles of equal width on the mel scale, over the bins of a real transform, each of area one."""
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hz = 700 * (10 ** (np.linspace(0, mel(rate / 2), bands + 2) / 2595) - 1)
+    f = np.linspace(0, rate / 2, size // 2 + 1)
+    rise, fall = (f[None] - hz[:-2, None]) / np.diff(hz)[:-1, None], (hz[2:, None] - f[None]) / np.diff(hz)[1:, None]
+    return np.maximum(0, np.minimum(rise, fall)) * (2 / (hz[2:] - hz[:-2]))[:, None]
+
+
+def log_mel(x: np.ndarray, rate: int = RATE, bands: int = 80, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Log power (dB, at most 80 below the loudest) of mel bands by frame; a recording shorter than a frame is filled up."""
+    x = np.pad(np.asarray(x, np.float32), (0, max(0, size - len(x))))
+    power = np.abs(np.fft.rfft(frames(x, size, hop) * np.hanning(size + 1)[:-1], axis=1)) ** 2
+    db = 10 * np.log10(np.maximum(power @ mel_bank(rate, size, bands).T, 1e-10))
+    return np.maximum(db, db.max() - 80)
+
+
+def pitch(x: np.ndarray, rate: int = RATE, low: float = 70.0, high: float = 400.0, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Pitch by frame: the first dip under 0.1 of the cumulative mean normalised difference, else its least value."""
+    longest, shortest = int(rate / low), max(1, int(rate / high))
+    out = []
+    for f in frames(np.asarray(x, float), size, hop):
+        half = size - longest
+        energy = np.concatenate([[0], np.cumsum(f * f)])
+        spectrum = np.fft.rfft(f, 2 * size)
+        cross = np.fft.irfft(np.conj(np.fft.rfft(f[:half], 2 * size)) * spectrum)[: longest + 1]
+        lags = np.arange(longest + 1)
+        difference = energy[half] + energy[lags + half] - energy[lags] - 2 * cross
+        mean = difference[1:] * lags[1:] / np.maximum(np.cumsum(difference[1:]), 1e-12)
+        part = mean[shortest - 1 :]
+        dips = np.flatnonzero((part[1:-1] < 0.1) & (part[1:-1] <= part[:-2]) & (part[1:-1] < part[2:]))
+        out.append(rate / (shortest + (dips[0] + 1 if len(dips) else int(part.argmin()))))
+    return np.array(out)
+
+
+def voice_segments(x: np.ndarray, rate: int = RATE, top_db: float = 28.0, shortest: float = 0.5) -> list[tuple[int, int]]:
+    """Stretches (in samples) within top_db of the loudest frame, of at least shortest seconds."""
+    size, hop = 2048, 512
+    rms = np.sqrt((frames(np.pad(x, size // 2), size, hop) ** 2).mean(1))
+    loud = 20 * np.log10(np.maximum(rms, 1e-10)) > 20 * np.log10(max(float(rms.max(initial=0)), 1e-10)) - top_db
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], loud.astype(np.int8), [0]]))).reshape(-1, 2) * hop
+    return [(int(b), min(int(e), len(x))) for b, e in edges if min(e, len(x)) - b >= shortest * rate]
+
+
+def voice_embedding(x: np.ndarray, rate: int = RATE, kept: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of 20 cepstral coefficients and of log2 pitch (42 numbers), and the voiced pitches."""
+    mel = log_mel(x, rate, 128)
+    n = mel.shape[1]
+    turn = np.cos(np.pi / n * (np.arange(n) + 0.5)[:, None] * np.arange(kept)[None]) * np.where(np.arange(kept) == 0, np.sqrt(1 / n), np.sqrt(2 / n))
+    cepstrum = mel @ turn
+    f0 = pitch(x, rate)
+    voiced = f0[(f0 > 70) & (f0 < 400)]
+    tone = [np.log2(voiced).mean(), np.log2(voiced).std()] if len(voiced) else [0.0, 0.0]
+    return np.concatenate([cepstrum.mean(0), cepstrum.std(0), tone]), voiced
+
+
+def has_several_speakers(x: np.ndarray, rate: int) -> bool:
+    """From samples, by the first two minutes: speech of less than 2.5 s, or of one stretch, has one speaker."""
+    x = levelled(resampled(x, rate)[: 120 * RATE])
+    if x is None or len(x) < 2.5 * RATE:
+        return False
+    spans = voice_segments(x)
+    if len(spans) < 2:
+        return False
+    made = [voice_embedding(x[b:e]) for b, e in spans]
+    return several_speakers(np.stack([m[0] for m in made]), np.array([(e - b) / RATE for b, e in spans]), np.concatenate([m[1] for m in made]))
+
+
+def with_speakers(df: DataFrame, audio: str = "content", to: str = "has_multiple_speakers") -> DataFrame:
+    """Adds a tag, never a reason to drop; False for what can't be read."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [decode(d) for d in pdf[audio]]
+            pdf[to] = [bool(g is not None and has_several_speakers(*g)) for g in found]
+            yield pdf
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(to, T.BooleanType())]))
 
 
 def word_errors(reference: list[str], guess: list[str]) -> int:

@@ -97,3 +97,45 @@ def assert_some(df: DataFrame, condition: Column, message: str) -> None:
     """Fails loudly where no row meets a condition."""
     if df.where(condition).limit(1).count() == 0:
         raise ValueError(message)
+
+
+def decodes(df: DataFrame, audio: str = "content", key: str = "file_name", named: int = 5) -> DataFrame:
+    """(scanned, failed, first_failures, passed): whether every recording can be read and holds samples. The first failures
+    are the least few by key, with the reason; at most that many a task go on."""
+    import heapq
+
+    from speechloom.operators.audio import decode
+
+    def run(batches):
+        import pandas as pd
+
+        scanned, failed, least = 0, 0, []
+        for pdf in batches:
+            for name, data in zip(pdf[key], pdf[audio], strict=True):
+                scanned += 1
+                got = decode(data)
+                if got is None or not len(got[0]):
+                    failed += 1
+                    least.append(f"{name}: {'unreadable' if got is None else 'empty'}")
+            least = heapq.nsmallest(named, least)
+        yield pd.DataFrame({"scanned": [scanned], "failed": [failed], "first": [least]})
+
+    own = df.select(key, audio).mapInPandas(run, "scanned long, failed long, first array<string>")
+    out = own.agg(F.coalesce(F.sum("scanned"), F.lit(0)).alias("scanned"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, named).alias("first_failures"))
+    return out.withColumn("passed", F.col("failed") == 0)
+
+
+def changed_sample(inputs: DataFrame, outputs: DataFrame, rows: int = 200, seed: int = 0, audio: str = "content", key: str = "file_name") -> DataFrame:
+    """What audio_changed checks, from recordings: a fixed sample of output rows (augmented and failed ones), each with the
+    input of its name without prefix; energy and length of both, null where an input is missing or can't be read."""
+    from speechloom.operators.audio import measured
+    from speechloom.operators.dataset import shuffled_head
+    from speechloom.sources.files import stem, without_prefix
+
+    chosen = shuffled_head(outputs.where("aug_status IN ('augmented', 'failed')").select(key, "aug_status", audio), key, rows, seed)
+    base = lambda c: stem(without_prefix(F.substring_index(c, "/", -1)))
+    out = measured(chosen, audio).select(base(F.col(key)).alias("_base"), "aug_status", F.col("rms").alias("rms_out"), F.col("samples").alias("n_out"))
+    wanted = out.select("_base").distinct()
+    held = inputs.withColumn("_base", base(F.col(key))).join(F.broadcast(wanted), "_base", "left_semi").dropDuplicates(["_base"])
+    read = measured(held.select("_base", audio), audio).where("snr_score >= 0 OR samples > 0").select("_base", F.col("rms").alias("rms_in"), F.col("samples").alias("n_in"))
+    return out.join(read, "_base", "left").select("aug_status", "rms_in", "rms_out", "n_in", "n_out")

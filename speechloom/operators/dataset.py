@@ -126,6 +126,25 @@ def last_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
 
 
+def base_rows(meta: DataFrame, files: DataFrame, key: str = "file_name") -> DataFrame:
+    """Rows that have a name, and whose file is there."""
+    return with_file(meta.where(~blank(F.col(key))), files, key)
+
+
+def tail(df: DataFrame, key: str, rows: int = 60) -> DataFrame:
+    """The last rows by key."""
+    return df.orderBy(F.col(key).desc()).limit(rows)
+
+
+def resumed(df: DataFrame, key: str, done: int) -> DataFrame:
+    """What is left of a run that ended after so many rows in the order of key (distinct): those beyond the last one done.
+    Only that key is looked up; the rest is a filter."""
+    if done <= 0:
+        return df
+    last = df.select(key).orderBy(key).limit(done).agg(F.max(key)).first()[0]
+    return df.where(F.col(key) > F.lit(last))
+
+
 def numbered(df: DataFrame, partition: str, order: str, to: str, start: int = 0) -> DataFrame:
     return df.withColumn(to, F.row_number().over(Window.partitionBy(partition).orderBy(order)) - 1 + start)
 

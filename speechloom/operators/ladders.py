@@ -116,6 +116,27 @@ def ready_text_reason(duration: Column, text: Column, words_min: int = 2, limits
     )
 
 
+def reason_with_figures(duration: Column, snr: Column, silence: Column, limits: AudioLimits = AudioLimits()) -> Column:
+    """The display text of the audio ladder's reason: the measurement and the limit it breaks; null where a row passes."""
+    code = audio_reason(duration, snr, silence, limits)
+    shown = lambda label, x, digits, unit, sign, limit: F.format_string(f"{label} (%.{digits}f{unit} {sign} %s{unit})", F.bround(x, digits), F.lit(f"{limit:g}"))
+    return (
+        F.when(code == "too_short", shown("too short", F.coalesce(duration, F.lit(0.0)), 1, " s", "<", limits.duration_min))
+        .when(code == "too_long", shown("too long", duration, 1, " s", ">", limits.duration_max))
+        .when(code == "low_snr", shown("low SNR", snr, 1, " dB", "<", limits.snr_min))
+        .when(code == "silence", shown("mostly silence", silence, 0, "%%", ">", limits.silence_max))
+    )
+
+
+# Fixed value: tags by which a model says that it could not transcribe.
+ANSWER_TAGS = ["TUSHUNARSIZ"]
+
+
+def answer_tags(text: Column) -> Column:
+    """The tags that stand in a model's answer, in brackets and capitals, as an array."""
+    return F.filter(F.array(*map(F.lit, ANSWER_TAGS)), lambda tag: F.coalesce(text, F.lit("")).contains(F.concat(F.lit("["), tag, F.lit("]"))))
+
+
 def status_of_change(ratio: Column) -> Column:
     """Under 25 approved, else pending."""
     return F.when(ratio < 25, "approved").otherwise("pending")

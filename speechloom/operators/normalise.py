@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,27 +59,32 @@ def steps(on: Normaliser) -> list:
         (on.dash, lambda t: F.replace(t, F.lit(" - "), F.lit(" — "))),
         (on.ellipsis, lambda t: F.replace(t, F.lit("..."), F.lit("…"))),
         (on.quotes, lambda t: F.translate(t, "“”‘’", "\"\"''")),
-        (on.capitalize, lambda t: let(t, upper_first)),
-        (on.sentence_case, lambda t: let(t, lambda x: rewrite(x, r"(?U)[.!?]\s+[a-záéíóúA-Z]", F.upper))),
-        (on.punct, lambda t: let(t, lambda x: F.when(F.right(x, F.lit(1)).isin("", ".", "!", "?", "…"), x).otherwise(F.concat(x, F.lit("."))))),
+        (on.capitalize, upper_first),
+        (on.sentence_case, lambda t: rewrite(t, r"(?U)[.!?]\s+[a-záéíóúA-Z]", F.upper)),
+        (on.punct, lambda t: F.when(F.right(t, F.lit(1)).isin("", ".", "!", "?", "…"), t).otherwise(F.concat(t, F.lit(".")))),
     ]
     return [step for wanted, step in chain if wanted]
 
 
+def normalised_text(text: Column, on: Normaliser = Normaliser()) -> Column:
+    """A struct of the normalised text (t) and the reason for dropping it (why; null: keep). Each step's result is bound once."""
+
+    def judged(t: Column) -> Column:
+        why = (
+            F.when(blank(text), "empty text")
+            .when(F.lit(on.only_digits) & strip(t).rlike(r"(?U)^[\d\s.,]+$"), "only digits")
+            .when(F.lit(on.cyrillic) & t.rlike("[а-яёА-ЯЁ]"), "cyrillic detected")
+            .when(blank(t), "empty after normalization")
+        )
+        return F.struct(F.when(blank(text), F.coalesce(text, F.lit(""))).otherwise(t).alias("t"), why.alias("why"))
+
+    return let(reduce(let, steps(on), F.coalesce(text, F.lit(""))), judged)
+
+
 def normalised(df: DataFrame, text: str, to: str = "normalized", reason: str = "drop_reason", on: Normaliser = Normaliser()) -> DataFrame:
-    """Adds the normalised text and the reason for dropping it (null: keep).
-
-    One projection a step: Catalyst joins those that use their input once, and keeps apart those that use it often.
-    """
-    out = df.withColumn(to, F.coalesce(F.col(text), F.lit("")))
-    for step in steps(on):
-        out = out.withColumn(to, step(F.col(to)))
-    t = F.col(to)
-    why = (
-        F.when(blank(F.col(text)), "empty text")
-        .when(F.lit(on.only_digits) & strip(t).rlike(r"(?U)^[\d\s.,]+$"), "only digits")
-        .when(F.lit(on.cyrillic) & t.rlike("[а-яёА-ЯЁ]"), "cyrillic detected")
-        .when(blank(t), "empty after normalization")
-    )
-    out = out.withColumn(reason, why)
-    return out.withColumn(to, F.when(blank(F.col(text)), F.coalesce(text, F.lit(""))).otherwise(t))
+    """Adds the normalised text and the reason for dropping it (null: keep)."""
+    both = normalised_text(F.col(text), on)
+    name = "_both"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, both).withColumns({to: F.col(name)["t"], reason: F.col(name)["why"]}).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +40,47 @@ def _without_json(t: Column) -> Column:
     return strip(rewrite(t, JSON_ARTEFACT, inner))
 
 
-def steps(on: Polisher) -> list:
+def _joined_marks(t: Column) -> Column:
     replace = F.regexp_replace
-    chain = [(True, strip)]
-    chain += [(on.artefacts, _without_json), (on.artefacts, lambda t: strip(replace(strip(replace(t, STT_TAGS, "")), TAG, "")))]
-    chain += [(on.apostrophe, lambda t: F.translate(t, "ʻʼ`´", "''''"))]
-    chain += [(True, lambda t, p=p: replace(t, p, "")) for p in FILLERS]
-    chain += [(True, lambda t: replace(t, STUTTER, "$1")), (True, dedup_half)]
-    chain += [(True, lambda t: strip(replace(replace(replace(t, ",{2,}", ","), r"(?U)(\w)-\s+(\w)", "$1-$2"), " {2,}", " ")))]
-    chain += [(on.numbers, protected_number_words), (on.punctuation, lambda t: let(t, upper_first))]
-    chain += [(on.punctuation, lambda t: let(t, lambda x: rewrite(x, r"(?U)[.!?]\s+[a-zA-Z]", F.upper))), (True, strip)]
-    return [step for wanted, step in chain if wanted]
+    return strip(replace(replace(replace(t, ",{2,}", ","), r"(?U)(\w)-\s+(\w)", "$1-$2"), " {2,}", " "))
+
+
+#: The steps by name, in their order, which matters; dedup_half stands for the repeated half.
+STEPS = {
+    "json": _without_json,
+    "tags": lambda t: strip(F.regexp_replace(t, STT_TAGS, "")),
+    "html": lambda t: strip(F.regexp_replace(t, TAG, "")),
+    "apostrophe": lambda t: F.translate(t, "ʻʼ`´", "''''"),
+    "fillers_en": lambda t: F.regexp_replace(t, FILLERS[0], ""),
+    "vowels": lambda t: F.regexp_replace(F.regexp_replace(t, FILLERS[1], ""), FILLERS[2], ""),
+    "fillers_uz": lambda t: F.regexp_replace(t, FILLERS[3], ""),
+    "fillers_ru": lambda t: F.regexp_replace(t, FILLERS[4], ""),
+    "stutter": lambda t: F.regexp_replace(t, STUTTER, "$1"),
+    "half": dedup_half,
+    "marks": _joined_marks,
+    "numbers": protected_number_words,
+    "first_upper": upper_first,
+    "sentences": lambda t: rewrite(t, r"(?U)[.!?]\s+[a-zA-Z]", F.upper),
+}
+
+
+def steps(on: Polisher) -> tuple[list, list]:
+    """The steps that are switched on, in their order, before and after the repeated half goes."""
+    off = {"json": on.artefacts, "tags": on.artefacts, "html": on.artefacts, "apostrophe": on.apostrophe, "numbers": on.numbers, "first_upper": on.punctuation, "sentences": on.punctuation}
+    names = [n for n in STEPS if off.get(n, True)]
+    at = names.index("half")
+    return [strip, *(STEPS[n] for n in names[:at])], [*(STEPS[n] for n in names[at + 1 :]), strip]
 
 
 def polished(df: DataFrame, text: str, to: str = "polished", on: Polisher = Polisher()) -> DataFrame:
-    """Adds the polished text; a blank text stays as it is."""
-    out = df.withColumn(to, F.col(text))
-    for step in steps(on):
-        out = out.withColumn(to, step(F.col(to)))
-    return out.withColumn(to, F.when(blank(F.col(text)), F.col(text)).otherwise(F.col(to)))
+    """Adds the polished text; a blank text stays as it is, a null one null.
+
+    Each step's result is bound once, so the plan's size is the sum of its steps, however often one uses its input.
+    """
+    before, after = steps(on)
+    name = "_half"
+    while name in df.columns:
+        name += "_"
+    out = df.withColumn(name, reduce(let, before, F.col(text)))
+    out = out.withColumn(name, dedup_half(F.col(name)))
+    return out.withColumn(to, F.when(blank(F.col(text)), F.col(text)).otherwise(reduce(let, after, F.col(name)))).drop(name)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechloom.functions.expr import let
+
 
 def framed_rms(samples: DataFrame, series: str, at: str, value: str, length: int, hop: int) -> DataFrame:
     """(series, frame, rms) of all full frames of length samples, a new one every hop. Each sample goes to the few frames that
@@ -83,3 +85,32 @@ def cosine_distances(rows: DataFrame, group: str, key: str, vector: str) -> Data
     b = rows.select(group, F.col(key).alias("b"), F.col(vector).alias("vb"))
     norm = F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
     return a.join(b, group).where("a < b").select(group, "a", "b", F.when(norm > 0, 1 - dot(F.col("va"), F.col("vb")) / norm).otherwise(1.0).alias("distance"))
+
+
+def moments(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean, population deviation and variance, their ratio (cv), and root mean square."""
+    v = F.col(value)
+    out = df.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.var_pop(v).alias("var"), F.sqrt(F.avg(v * v)).alias("rms"))
+    return out.withColumn("cv", F.try_divide(F.col("sd"), F.col("mean")))
+
+
+def clipped(samples: Column) -> Column:
+    """An array of samples held to [-1, 1]."""
+    return F.transform(samples, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+
+
+def broken(samples: Column) -> Column:
+    """Whether a sample is no number, or no finite one."""
+    return F.exists(samples, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def levelled(samples: Column) -> Column:
+    """An array of samples, peak to -3 dB, or energy to -20 dB where one click would rule (crest over 12); null for silence."""
+
+    def scaled(s: Column) -> Column:
+        by = F.when(s["peak"] / s["rms"] > 12, 0.1 / s["rms"]).otherwise(10 ** (-3 / 20) / s["peak"])
+        return F.when((s["peak"] >= 1e-6) & (s["rms"] >= 1e-8), let(by, lambda b: F.transform(s["x"], lambda x: x * b)))
+
+    peak = F.aggregate(samples, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    energy = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x) / F.size(samples)
+    return let(F.struct(samples.alias("x"), peak.alias("peak"), F.sqrt(energy).alias("rms")), scaled)

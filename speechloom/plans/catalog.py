@@ -38,8 +38,7 @@ def file_name(doc_id: Column) -> Column:
 def injected(text: Column, doc_id: Column) -> Column:
     """A text with the artefact of its id's class of twelve."""
     kind = doc_id % 12
-    flat = F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, 150)
-    odd = (F.floor(doc_id / 12) % 3).cast("int")
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
     forms = [
         text,
         F.concat(F.lit('{"transcription": "'), flat, F.lit('"}')),
@@ -50,9 +49,9 @@ def injected(text: Column, doc_id: Column) -> Column:
         F.replace(text, F.lit(","), F.lit(",,")),
         F.concat(F.lit("ʻ"), text, F.lit("’")),
         F.concat(F.lit("Привет "), text),
-        F.lit("12, 13.5"),
+        F.concat(text, F.lit(" 12, 13.5")),
         F.concat(F.lit("bu bu bu "), text),
-        F.when(odd == 0, "").when(odd == 1, "...").otherwise("mmm"),
+        F.concat(text, F.lit(" ... mmm")),
     ]
     out = F.when(kind == 0, forms[0])
     for i, form in enumerate(forms[1:], 1):
@@ -60,14 +59,26 @@ def injected(text: Column, doc_id: Column) -> Column:
     return out
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Texts that no document holds: one row each beside the documents, under ids below zero.
+STUBS = ["", "...", "mmm", "12, 13.5", "[SHOVQIN]", " ", "Привет", "ha bir", "bu bu bu bu bu bu"]
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a document."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", file_name(F.col("doc_id")).alias("file_name"), injected(F.col("text"), F.col("doc_id")).alias("text"), "source", (F.col("n_chars") / 16.0).alias("duration"))
+    return docs.select("doc_id", file_name(F.col("doc_id")).alias("file_name"), "text", "source", (F.col("n_chars") / 16.0).alias("duration"))
 
 
-def pairs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
-    """The tokens of each text (the first n where given), and these with a change by id, for operators on pairs of texts."""
-    words = tokens(F.lower("text")) if n is None else F.slice(tokens(F.lower("text")), 1, n)
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whole, with an artefact by its id, and the stubs."""
+    rows = recordings(spark, sf_dir).withColumn("text", injected(F.col("text"), F.col("doc_id")))
+    stubs = spark.createDataFrame([(-i, t, "stub", 16.0) for i, t in enumerate(STUBS, 1)], "doc_id long, text string, source string, duration double")
+    return rows.unionByName(stubs.withColumn("file_name", file_name(F.col("doc_id"))))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each text, and these with a change by id, for operators on pairs of texts."""
+    words = tokens(F.lower("text"))
     kind, rest = F.col("doc_id") % 4, lambda at: F.slice("a", F.lit(at), F.size("a"))
     other = F.when(kind == 0, F.col("a")).when(kind == 1, F.reverse("a")).when(kind == 2, rest(3)).otherwise(F.concat(F.slice("a", 1, 5), F.array(F.lit("besh")), rest(7)))
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("a")).withColumn("b", other)
@@ -161,7 +172,7 @@ def repeat_ratio(spark, sf_dir):
 @query
 def script_flags(spark, sf_dir):
     t = F.col("text")
-    return segments(spark, sf_dir).select("doc_id", similarity.mixed_scripts(t).alias("mixed"), ladders.is_non_latin(t).alias("non_latin"), ladders.is_noise(t).alias("noise"), ladders.is_trash(F.substring(t, 1, 9)).alias("trash"), F.bround(similarity.cyrillic_word_ratio(t), 6).alias("cyrillic_ratio"))
+    return segments(spark, sf_dir).select("doc_id", similarity.mixed_scripts(t).alias("mixed"), ladders.is_non_latin(t).alias("non_latin"), ladders.is_noise(t).alias("noise"), ladders.is_trash(t).alias("trash"), F.bround(similarity.cyrillic_word_ratio(t), 6).alias("cyrillic_ratio"))
 
 
 @query
@@ -219,11 +230,17 @@ def dedup_half(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", similarity.dedup_half(text).alias("text"))
 
 
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's tokens, whole, and these with a change by turn."""
+    kind, rest = (F.col("conv_id") + F.col("turn")) % 4, lambda at: F.slice("a", F.lit(at), F.size("a"))
+    other = F.when(kind == 0, F.col("a")).when(kind == 1, F.reverse("a")).when(kind == 2, rest(3)).otherwise(F.concat(F.slice("a", 1, 5), F.array(F.lit("besh")), rest(7)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens(F.lower("text")).alias("a")).withColumn("b", other)
+
+
 @query
 def change_ratios(spark, sf_dir):
-    """Over the first 12 tokens only, as in its SQL."""
     a, b = F.array_join("a", " "), F.array_join("b", " ")
-    rows = pairs(spark, sf_dir, 12).select("doc_id", similarity.change_ratio(a, b).alias("ratio"), similarity.simple_change_ratio(a, b).alias("simple_ratio"))
+    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", similarity.change_ratio(a, b).alias("ratio"), similarity.simple_change_ratio(a, b).alias("simple_ratio"))
     return rows.withColumn("status", ladders.status_of_change(F.col("ratio")))
 
 
@@ -270,7 +287,7 @@ def export_json_lines(spark, sf_dir):
 @query
 def hours_total(spark, sf_dir):
     hours = F.sum(F.when(F.col("doc_id") % 50 != 0, F.col("duration"))) / 3600
-    return segments(spark, sf_dir).agg(F.bround(hours, 6).alias("hours"), F.bround(hours * 0.25, 6).alias("disk_gb"))
+    return recordings(spark, sf_dir).agg(F.bround(hours, 6).alias("hours"), F.bround(hours * 0.25, 6).alias("disk_gb"))
 
 
 @query
@@ -282,7 +299,7 @@ def path1_run(spark, sf_dir):
 
 @query
 def path2_run(spark, sf_dir):
-    rows = segments(spark, sf_dir).select("doc_id", (F.col("duration") / 4).alias("duration"), (F.col("doc_id") % 37 - 1).cast("double").alias("snr_score"), (F.col("doc_id") % 101).cast("double").alias("silence_ratio"), F.col("text").alias("raw_text"), (F.col("doc_id") % 6).cast("string").alias("score_answer"))
+    rows = segments(spark, sf_dir).select("doc_id", (F.col("duration") / 4).alias("duration"), (F.col("doc_id") % 37 - 1).cast("double").alias("snr_score"), (F.col("doc_id") % 101).cast("double").alias("silence_ratio"), F.col("text").alias("raw_text"), F.pmod("doc_id", F.lit(6)).cast("string").alias("score_answer"))
     return paths.path2(rows).select("doc_id", "status", F.coalesce("reason", F.lit("ok")).alias("reason"), "gemini_score")
 
 
@@ -308,25 +325,25 @@ def manifest_anti_join_named(spark, sf_dir):
 @query
 def audio_semi_join(spark, sf_dir):
     have = table(spark, sf_dir, "labels").select(file_name(F.col("doc_id")).alias("file_name"))
-    return dataset.with_file(segments(spark, sf_dir).select("doc_id", "file_name", "duration"), have)
+    return dataset.with_file(recordings(spark, sf_dir).select("doc_id", "file_name", "duration"), have)
 
 
 @query
 def audio_missing(spark, sf_dir):
     have = table(spark, sf_dir, "labels").select(file_name(F.col("doc_id")).alias("file_name"))
-    return dataset.without_file(segments(spark, sf_dir).select("file_name"), have).agg(F.count("*").alias("missing"))
+    return dataset.without_file(recordings(spark, sf_dir).select("file_name"), have).agg(F.count("*").alias("missing"))
 
 
 @query
 def source_lookup(spark, sf_dir):
-    out = segments(spark, sf_dir).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "augmented_").otherwise("aug_"), "file_name").alias("out_name"))
+    out = recordings(spark, sf_dir).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "augmented_").otherwise("aug_"), "file_name").alias("out_name"))
     waves = table(spark, sf_dir, "labels").select(files.stem(file_name(F.col("doc_id"))).alias("base"), F.lit(True).alias("found")).distinct()
     return out.withColumn("base", files.stem(files.without_prefix(F.col("out_name")))).join(waves, "base", "left").select("doc_id", "base", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query
 def first_location(spark, sf_dir):
-    base = segments(spark, sf_dir).select("doc_id", "file_name")
+    base = recordings(spark, sf_dir).select("doc_id", "file_name")
     places = [base.where(F.col("doc_id") % (i + 2) == 0).select("file_name", F.concat(F.lit(f"/place{i}/"), "file_name").alias("path")) for i in range(4)]
     return dataset.first_found(base, "file_name", *places)
 
@@ -356,11 +373,11 @@ def review_stats(spark, sf_dir):
 
 @query
 def review_meta(spark, sf_dir):
-    return segments(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 1, "seen")).select("doc_id", F.to_json(review.meta("source", "note")).alias("meta"))
+    return recordings(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 1, "seen")).select("doc_id", F.to_json(review.meta("source", "note")).alias("meta"))
 
 
 def aug_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).select("doc_id", "file_name", (F.col("duration") / 8).alias("duration"))
+    s = recordings(spark, sf_dir).select("doc_id", "file_name", (F.col("duration") / 8).alias("duration"))
     i = F.col("doc_id")
     return s.withColumn("aug_status", dataset.augment_status(i, i % 97 != 0, F.when(i % 89 == 0, 0.0).otherwise(F.col("duration")), i % 83 == 0))
 
@@ -413,7 +430,7 @@ def noise_corpus_check(spark, sf_dir):
 
 @query
 def noise_quarantine_plan(spark, sf_dir):
-    return checks.noise_quarantine(segments(spark, sf_dir).select(F.concat(F.lit("/corpus/noise/"), "file_name").alias("path"), F.when(F.col("doc_id") % 10 != 0, F.col("duration") / 64).alias("duration")))
+    return checks.noise_quarantine(recordings(spark, sf_dir).select(F.concat(F.lit("/corpus/noise/"), "file_name").alias("path"), F.when(F.col("doc_id") % 10 != 0, F.col("duration") / 64).alias("duration")))
 
 
 @query
@@ -442,7 +459,7 @@ def shuffle_head(spark, sf_dir):
 
 @query
 def first_rows(spark, sf_dir):
-    return dataset.head(segments(spark, sf_dir).select("doc_id", "file_name"), "file_name", 100)
+    return dataset.head(recordings(spark, sf_dir).select("doc_id", "file_name"), "file_name", 100)
 
 
 @query
@@ -460,7 +477,7 @@ def union_filter_counts(spark, sf_dir):
 @query
 def test_and_continue(spark, sf_dir):
     """The first hundred and the rest by manifest are the whole set again."""
-    s = segments(spark, sf_dir).select("doc_id", "file_name")
+    s = recordings(spark, sf_dir).select("doc_id", "file_name")
     test = dataset.head(s, "file_name", 100)
     rest = dataset.not_in_manifest(s, dataset.manifest(test))
     part = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"))

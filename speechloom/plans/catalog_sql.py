@@ -60,7 +60,7 @@ INJ = """inj AS (
   SELECT doc_id, source, n_chars / 16.0 AS duration, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.wav' AS file_name,
     CASE doc_id % 12
       WHEN 0 THEN text
-      WHEN 1 THEN '{"transcription": "' || substring(replace(text, chr(10), ' '), 1, 150) || '"}'
+      WHEN 1 THEN '{"transcription": "' || replace(text, chr(10), ' ') || '"}'
       WHEN 2 THEN '[SHOVQIN] ' || text
       WHEN 3 THEN '<b>' || text || '</b>'
       WHEN 4 THEN text || '  12 va 1005 '
@@ -68,11 +68,13 @@ INJ = """inj AS (
       WHEN 6 THEN replace(text, ',', ',,')
       WHEN 7 THEN 'ʻ' || text || '’'
       WHEN 8 THEN 'Привет ' || text
-      WHEN 9 THEN '12, 13.5'
+      WHEN 9 THEN text || ' 12, 13.5'
       WHEN 10 THEN 'bu bu bu ' || text
-      ELSE CASE (doc_id // 12) % 3 WHEN 0 THEN '' WHEN 1 THEN '...' ELSE 'mmm' END
+      ELSE text || ' ... mmm'
     END AS text
   FROM documents
+  UNION ALL SELECT CAST(doc_id AS BIGINT), 'stub', 16.0, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.wav', text
+  FROM (VALUES (-1, ''), (-2, '...'), (-3, 'mmm'), (-4, '12, 13.5'), (-5, '[SHOVQIN]'), (-6, ' '), (-7, 'Привет'), (-8, 'ha bir'), (-9, 'bu bu bu bu bu bu')) AS stubs(doc_id, text)
 )"""
 
 TURNS = """w AS (
@@ -142,8 +144,8 @@ RESULTS = f"""{INJ}, r0 AS (
 )"""
 KEEP = f"status <> 'filtered' AND NOT {blank('transcription')}"
 
-SHORT = f"""s0 AS (SELECT doc_id, {toks('lower(text)')}[1:12] AS a FROM documents), short AS (
-  SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN a WHEN 1 THEN list_reverse(a) WHEN 2 THEN a[3:14] ELSE list_concat(list_concat(a[1:5], ['besh']), a[7:18]) END AS b FROM s0
+TURN_PAIRS = f"""t0 AS (SELECT conv_id, turn, {toks('lower(text)')} AS a FROM conversations), turn_pairs AS (
+  SELECT conv_id, turn, a, CASE (conv_id + turn) % 4 WHEN 0 THEN a WHEN 1 THEN list_reverse(a) WHEN 2 THEN a[3:] ELSE list_concat(list_concat(a[1:5], ['besh']), a[7:]) END AS b FROM t0
 )"""
 
 PLAN = """plan AS (
@@ -215,7 +217,7 @@ def norm() -> str:
     for s in steps:
         q = f"SELECT doc_id, raw, {s} AS t FROM ({q})"
     why = f"CASE WHEN {blank('raw')} THEN 'empty text' WHEN regexp_full_match({strip('t')}, '[0-9\\s.,]+') THEN 'only digits' WHEN regexp_matches(t, '[а-яёА-ЯЁ]') THEN 'cyrillic detected' WHEN {blank('t')} THEN 'empty after normalization' ELSE 'ok' END"
-    return f"WITH {INJ} SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars, {why} AS drop_reason FROM ({q})"
+    return f"WITH {INJ} SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars, drop_reason FROM (SELECT doc_id, CASE WHEN {blank('raw')} THEN raw ELSE t END AS t, {why} AS drop_reason FROM ({q}))"
 
 
 def valid() -> str:
@@ -240,21 +242,21 @@ ORACLES: dict[str, str] = {
     "ready_text_ladder": f"WITH {INJ} SELECT doc_id, CASE WHEN duration < 3 THEN 'too_short' WHEN duration > 30 THEN 'too_long' WHEN {blank('text')} THEN 'empty' WHEN len({toks('text')}) < 2 THEN 'few_words' ELSE 'approved' END AS reason_code FROM inj",
     "validity_ladder": valid(),
     "repeat_ratio": f"WITH {INJ} SELECT doc_id, {repeat('text')} AS repeat_ratio FROM inj",
-    "script_flags": f"WITH {INJ} SELECT doc_id, {mixed('text')} AS mixed, regexp_matches(text, '{NON_LATIN}') AS non_latin, {noise('text')} AS noise, substring(text, 1, 9) = '[SHOVQIN]' AS trash, round_even({cyr('text')}, 6) AS cyrillic_ratio FROM inj",
+    "script_flags": f"WITH {INJ} SELECT doc_id, {mixed('text')} AS mixed, regexp_matches(text, '{NON_LATIN}') AS non_latin, {noise('text')} AS noise, regexp_full_match({strip('text')}, '(?i)\\[(GUDOK|SHOVQIN|TINCH|MUSIQA|TUSHUNARSIZ)\\]') AS trash, round_even({cyr('text')}, 6) AS cyrillic_ratio FROM inj",
     "score_status": "SELECT doc_id, score, CASE WHEN score >= 3 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN score >= 4 THEN 'approved' WHEN score <= 2 THEN 'rejected' ELSE 'pending' END AS status_strict FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 9 >= 7 THEN 3 ELSE greatest(1, least(5, doc_id % 9)) END AS INTEGER) AS score FROM documents)",
     "norm_pipeline": norm(),
     "int_words": f"SELECT doc_id, n, {below_1e12('n')} AS words, CASE WHEN doc_id = 0 THEN 'nol' ELSE {below_1e12('doc_id')} END AS id_words FROM (SELECT doc_id, (doc_id * doc_id * 7919 + doc_id * 31) % 1000000000000 AS n FROM documents WHERE doc_id > 0) UNION ALL SELECT doc_id, 0, 'nol', 'nol' FROM documents WHERE doc_id = 0",
     "html_strip": "SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS t FROM pages)",
-    "change_ratios": f"""WITH {SHORT}, sets AS (SELECT doc_id, list_distinct(a) AS x, list_distinct(b) AS y, list_distinct(list_filter(list_transform(a, lambda w: regexp_replace(w, '[.,!?;:''"«»\\-]+', '', 'g')), lambda w: w <> '')) AS p,
-      list_distinct(list_filter(list_transform(b, lambda w: regexp_replace(w, '[.,!?;:''"«»\\-]+', '', 'g')), lambda w: w <> '')) AS q FROM short), r AS (
-      SELECT doc_id, CASE WHEN len(p) = 0 THEN 100.0 ELSE round_even((len(list_filter(p, lambda w: NOT list_contains(q, w))) + len(list_filter(q, lambda w: NOT list_contains(p, w)))) / greatest(len(p), len(q), 1)::DOUBLE * 100, 1) END AS ratio,
-        CASE WHEN len(x) = 0 THEN 100.0 ELSE round_even((len(list_filter(x, lambda w: NOT list_contains(y, w))) + len(list_filter(y, lambda w: NOT list_contains(x, w)))) / len(x)::DOUBLE * 100, 1) END AS simple_ratio FROM sets)
-      SELECT doc_id, ratio, simple_ratio, CASE WHEN ratio < 25 THEN 'approved' ELSE 'pending' END AS status FROM r""",
+    "change_ratios": f"""WITH {TURN_PAIRS}, sets AS (SELECT conv_id, turn, list_distinct(a) AS x, list_distinct(b) AS y, list_distinct(list_filter(list_transform(a, lambda w: regexp_replace(w, '[.,!?;:''"«»\\-]+', '', 'g')), lambda w: w <> '')) AS p,
+      list_distinct(list_filter(list_transform(b, lambda w: regexp_replace(w, '[.,!?;:''"«»\\-]+', '', 'g')), lambda w: w <> '')) AS q FROM turn_pairs), r AS (
+      SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN 100.0 ELSE round_even((len(p) + len(q) - 2 * len(list_intersect(p, q))) / greatest(len(p), len(q), 1)::DOUBLE * 100, 1) END AS ratio,
+        CASE WHEN len(x) = 0 THEN 100.0 ELSE round_even((len(x) + len(y) - 2 * len(list_intersect(x, y))) / len(x)::DOUBLE * 100, 1) END AS simple_ratio FROM sets)
+      SELECT conv_id, turn, ratio, simple_ratio, CASE WHEN ratio < 25 THEN 'approved' ELSE 'pending' END AS status FROM r""",
     "status_counts": f"WITH {RESULTS} SELECT pipeline, count(*) AS total, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER ({KEEP}) AS saved FROM results GROUP BY 1",
     "export_projection": f"WITH {RESULTS} SELECT file_name, md5(transcription) AS text_md5, duration, source, status, coalesce(reason, '') AS reason FROM results WHERE {KEEP}",
     "export_file_plan": f"WITH {RESULTS} SELECT file_name, CASE WHEN {KEEP} THEN 'copy' ELSE 'delete' END AS action, CASE WHEN {KEEP} THEN '/out/' || file_name END AS target FROM results",
     "hours_total": "SELECT round_even(sum(n_chars / 16.0) / 3600, 6) AS hours, round_even(sum(n_chars / 16.0) / 3600 * 0.25, 6) AS disk_gb FROM documents WHERE doc_id % 50 <> 0",
-    "path2_run": f"""WITH {INJ}, x AS (SELECT doc_id, duration / 4 AS d, CAST(doc_id % 37 - 1 AS DOUBLE) AS snr, doc_id % 101 AS sil, text, CAST(greatest(1, least(5, doc_id % 6)) AS INTEGER) AS score FROM inj), y AS (
+    "path2_run": f"""WITH {INJ}, x AS (SELECT doc_id, duration / 4 AS d, CAST(doc_id % 37 - 1 AS DOUBLE) AS snr, doc_id % 101 AS sil, text, CAST(greatest(1, least(5, ((doc_id % 6) + 6) % 6)) AS INTEGER) AS score FROM inj), y AS (
       SELECT doc_id, score, CASE WHEN d < 3 THEN 'too_short' WHEN d > 30 THEN 'too_long' WHEN sil > 70 THEN 'silence' WHEN {blank('text')} THEN 'empty' WHEN len({toks('text')}) < 5 THEN 'few_words' WHEN {repeat('text')} > 50 THEN 'repeats' WHEN {noise('text')} THEN 'noise' WHEN {mixed('text')} THEN 'mixed_scripts' END AS reason FROM x)
       SELECT doc_id, CASE WHEN reason IS NOT NULL THEN 'filtered' WHEN score >= 3 THEN 'approved' ELSE 'rejected' END AS status, coalesce(reason, 'ok') AS reason, CASE WHEN reason IS NULL THEN score END AS gemini_score FROM y""",
     "manifest_anti_join": f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 50 = 1 THEN ' ' ELSE {fname('doc_id')} || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END END AS file_name FROM documents

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.functions.expr import blank
+from speechloom.functions.expr import blank, let
 from speechloom.functions.similarity import change_ratio
 from speechloom.operators import ladders
 from speechloom.operators.ladders import AudioLimits, TextLimits
-from speechloom.operators.normalise import Normaliser, normalised
+from speechloom.operators.normalise import Normaliser, normalised_text
 from speechloom.operators.polish import Polisher, polished
 from speechloom.sources import diarization
 
@@ -18,14 +18,25 @@ def path1(segments: DataFrame, raw: str = "raw_text", audio: AudioLimits = Audio
     """segments: file_name, duration, snr_score, silence_ratio and the raw transcript. Cheap rules run first; texts of rows that
     they rule out are never polished (they are null there)."""
     col = F.col
-    rows = segments.withColumn("reason", F.coalesce(ladders.audio_reason(col("duration"), col("snr_score"), col("silence_ratio"), audio), ladders.text_reason(col(raw), text)))
-    rows = polished(rows.withColumn("_raw", F.when(col("reason").isNull(), col(raw))), "_raw", "_polished", polish)
-    rows = rows.withColumn("_polished", F.when(blank(col("_polished")), col("_raw")).otherwise(col("_polished")))
-    rows = rows.withColumn("reason", F.coalesce("reason", ladders.validity_reason(col("_polished"), words_min, check_cyrillic=True)))
-    rows = rows.withColumn("change_ratio", F.when(col("reason").isNull(), change_ratio(col("_raw"), col("_polished"))))
-    status = F.when(col("reason").isNotNull(), "filtered").otherwise(ladders.status_of_change(col("change_ratio")))
-    shown = F.when(col("reason").isNull(), ladders.text_after_change(col("change_ratio"), col("_raw"), col("_polished")))
-    return rows.withColumns({"status": status, "transcription": shown, "original_text": col(raw), "pipeline": F.lit("aisha_stt")}).drop("_raw", "_polished", raw)
+    first = F.coalesce(ladders.audio_reason(col("duration"), col("snr_score"), col("silence_ratio"), audio), ladders.text_reason(col(raw), text))
+    rows = segments.withColumn("_first", first)
+    rows = polished(rows.withColumn("_raw", F.when(col("_first").isNull(), col(raw))), "_raw", "_polished", polish)
+
+    # One struct, each part of it bound once: a filter on one of its fields then repeats no more than this expression.
+    def judged(t: Column) -> Column:
+        return let(F.coalesce("_first", ladders.validity_reason(t, words_min, check_cyrillic=True)), lambda why: compared(t, why))
+
+    def compared(t: Column, why: Column) -> Column:
+        return let(F.when(why.isNull(), change_ratio(col("_raw"), t)), lambda ratio: outcome(t, why, ratio))
+
+    def outcome(t: Column, why: Column, ratio: Column) -> Column:
+        status = F.when(why.isNotNull(), "filtered").otherwise(ladders.status_of_change(ratio))
+        shown = F.when(why.isNull(), ladders.text_after_change(ratio, col("_raw"), t))
+        return F.struct(status.alias("status"), why.alias("reason"), ratio.alias("change_ratio"), shown.alias("transcription"))
+
+    rows = rows.withColumn("_out", let(F.when(blank(col("_polished")), col("_raw")).otherwise(col("_polished")), judged))
+    names = ("status", "reason", "change_ratio", "transcription")
+    return rows.withColumns({n: col("_out")[n] for n in names} | {"original_text": col(raw), "pipeline": F.lit("aisha_stt")}).drop("_first", "_raw", "_polished", "_out", raw)
 
 
 def path2(segments: DataFrame, raw: str = "raw_text", answer: str = "score_answer", audio: AudioLimits = AudioLimits(snr_min=0.0, silence_max=70.0), text: TextLimits = ladders.PATH2_TEXT, approve_min: int = 3, reject_max: int = 2) -> DataFrame:
@@ -39,10 +50,14 @@ def path2(segments: DataFrame, raw: str = "raw_text", answer: str = "score_answe
 
 def normalised_results(results: DataFrame, on: Normaliser = Normaliser()) -> DataFrame:
     """The last stage: rows that aren't filtered and have a text are normalised, and filtered where that drops them."""
-    applies = (F.col("status") != "filtered") & ~blank(F.col("transcription"))
-    rows = normalised(results.withColumn("_text", F.when(applies, F.col("transcription"))), "_text", "_normal", "_why", on)
-    dropped = applies & F.col("_why").isNotNull()
-    return rows.withColumns({"transcription": F.when(applies, F.col("_normal")).otherwise(F.col("transcription")), "status": F.when(dropped, "filtered").otherwise(F.col("status")), "reason": F.when(dropped, F.col("_why")).otherwise(F.col("reason"))}).drop("_text", "_normal", "_why")
+
+    def redone(s: Column) -> Column:
+        applies = (s["status"] != "filtered") & ~blank(s["text"])
+        return let(F.when(applies, normalised_text(s["text"], on)), lambda n: F.struct(F.when(applies, n["t"]).otherwise(s["text"]).alias("text"), F.when(applies, n["why"]).alias("why")))
+
+    rows = results.withColumn("_out", let(F.struct("status", F.col("transcription").alias("text")), redone))
+    dropped = F.col("_out")["why"].isNotNull()
+    return rows.withColumns({"transcription": F.col("_out")["text"], "status": F.when(dropped, "filtered").otherwise(F.col("status")), "reason": F.when(dropped, F.col("_out")["why"]).otherwise(F.col("reason"))}).drop("_out")
 
 
 def path3(turns: DataFrame, min_seconds: float = 0.4) -> DataFrame:

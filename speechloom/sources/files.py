@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 from typing import Protocol
 
@@ -15,11 +16,13 @@ ADDRESS_PARTS = ["viewer", "tree", "blob", "resolve", "raw"]
 AUDIO_COLUMNS = ["audio", "speech", "wav", "sound", "file", "path"]
 
 
-def audio_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Audio files directly in a folder, by name; contents are read only where they are used."""
+def audio_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
+    """Audio files directly in a folder: the listing, sorted by name, or, with content, the files themselves in no order (so
+    that their bytes are never shuffled; sort by file_name what is made of them)."""
     ending = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in AUDIO_ENDINGS)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ending.replace("|", ",") + "}").option("recursiveFileLookup", "false").load(folder)
-    return found.select("path", F.substring_index("path", "/", -1).alias("file_name"), "length", "content").orderBy("file_name")
+    found = found.select("path", F.substring_index("path", "/", -1).alias("file_name"), "length", *(["content"] if content else []))
+    return found if content else found.orderBy("file_name")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -27,6 +30,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def parsed_lines(df: DataFrame, line: str, schema: str, strict: bool = False) -> DataFrame:
+    """The same of lines in a column. strict: an error names the line (its text) that is no JSON."""
+    row = F.from_json(line, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = df.select(F.col(line).alias("_line"), row.alias("_row"))
+    if strict:
+        rows = rows.withColumn("_row", F.when(F.col("_row._bad").isNull(), F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), "_line"))))
+    return rows.where("_row._bad IS NULL").select("_row.*").drop("_bad")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line and number (from 1) of a text file, which is read as a whole by one task: for error messages of small files."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select((F.col("at") + 1).alias("number"), "line").where("line <> ''")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -42,6 +60,42 @@ def url_of(record: Column, first: str = "url") -> Column:
     return out
 
 
+def records_of(document: Column) -> Column:
+    """The records of a JSON document, as an array of JSON texts: those of a list, else of an object's first member that is a
+    list, else the object itself; null where it is neither."""
+    root = F.trim(document)
+    member = lambda k: F.call_function("get_json_object", root, F.concat(F.lit("$['"), k, F.lit("']")))
+    lists = F.filter(F.transform(F.json_object_keys(root), member), lambda v: F.left(v, F.lit(1)) == "[")
+    items = F.when(F.left(root, F.lit(1)) == "[", root).when(F.size(lists) > 0, F.get(lists, F.lit(0))).when(F.left(root, F.lit(1)) == "{", F.concat(F.lit("["), root, F.lit("]")))
+    return F.from_json(items, "array<string>")
+
+
+def inside(base: str, path: str) -> bool:
+    """Whether a path, with links and dots resolved, is a folder or something in it."""
+    base, path = (os.path.realpath(os.path.expanduser(p)) for p in (base, path))
+    return os.path.commonpath([base, path]) == base
+
+
+def human_size(size: Column) -> Column:
+    """Bytes as KB with no digit, from a MB on as MB with one."""
+    return F.when(size >= 1 << 20, F.format_string("%.1f MB", F.bround(size / float(1 << 20), 1))).otherwise(F.format_string("%.0f KB", F.bround(size / 1024.0, 0)))
+
+
+def run_suffix(mode: str, at: str) -> str:
+    """What a run adds to the names it writes: with mode new its time of day (HHMMSS), else nothing."""
+    return f"_{at}" if mode == "new" else ""
+
+
+def push_report(meta: DataFrame, files: DataFrame, key: str = "file_name", named: int = 3) -> DataFrame:
+    """(kept, missing, first): rows whose file is there, rows without, and the first few of these by name."""
+    have = files.select(F.col(key).alias("_have")).distinct()
+    rows = meta.select(key).join(have, F.col(key) == F.col("_have"), "left")
+    counts = rows.agg(F.count("_have").alias("kept"), F.count_if(F.col("_have").isNull()).alias("missing"))
+    first = rows.where("_have IS NULL").select(key).orderBy(key).limit(named).agg(F.array_join(F.sort_array(F.collect_list(key)), ", ").alias("first"))
+    both = counts.withColumn("first", F.lit(None).cast("string")).unionByName(first, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("kept", "missing", "first")])
+
+
 def dataset_name(given: Column) -> Column:
     """org/name of a hosted dataset, from a name or any of its addresses."""
     t = F.regexp_replace(F.trim(given), r"^https?://[^/]+/(?:datasets/)?", "")
@@ -112,6 +166,35 @@ def json_lines(df: DataFrame, columns: list[str], to: str = "line") -> DataFrame
     return df.select(F.to_json(F.struct(*[c for c in columns if c in df.columns]), {"ignoreNullFields": "true"}).alias(to))
 
 
+def write_sharded(df: DataFrame, path: str, rows: int) -> None:
+    """Parquet files of at most so many rows."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def write_sidecar(spark: SparkSession, path: str, folder: str) -> None:
+    """Notes beside a metadata file where its audio is."""
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(path + ".audiodir")
+
+
+def read_sidecar(spark: SparkSession, path: str) -> str | None:
+    """The folder noted there; None without a note."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.text(path + ".audiodir").first()
+    except AnalysisException:
+        return None
+    return row and row.value.strip()
+
+
+def write_reviewed(df: DataFrame, stem: str) -> str:
+    """The rows a review keeps, as JSON lines in {stem}_reviewed; gives that path."""
+    from speechloom.operators.review import saved
+
+    saved(df).write.mode("overwrite").json(path := f"{stem}_reviewed")
+    return path
+
+
 def file_plan(df: DataFrame, target: str) -> DataFrame:
     """What to do with each row's audio: copied below target if the row is exported, else deleted."""
     from speechloom.operators.ladders import exportable
