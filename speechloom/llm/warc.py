@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -19,20 +20,27 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_DATE = "2024-01-01T00:00:00Z"
 
 
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f\s]+")
+
+
 def urn(page_id: int) -> str:
     return f"<urn:page:{page_id}>"
 
 
 def header(page_id: int, url: str | None, n_bytes: int, sha1: str, sha256: str, refers_to: int | None) -> bytes:
-    """The exact bytes of a record's header block, the closing empty line included."""
+    """The exact bytes of a record's header block, the closing empty line included. What can't stand in a header line (white
+    space, control characters) is percent-encoded in the address, which X-URL then holds as it was."""
+    target = urn(page_id)[1:-1] if url is None else _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    block = hashlib.sha256(b"").hexdigest() if refers_to is not None else sha256
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {RECORD_DATE}",
-        "WARC-Target-URI: " + re.sub(r"\s+", " ", url or ""),
+        f"WARC-Target-URI: {target}",
+        *([] if url in (None, target) else [f"X-URL: {json.dumps(url)}"]),
         f"WARC-Payload-Digest: sha1:{sha1}",
-        f"WARC-Block-Digest: sha256:{sha256}",
+        f"WARC-Block-Digest: sha256:{block}",
         *([] if refers_to is None else [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"]),
         "Content-Type: text/html",
         f"X-Payload-Length: {n_bytes}",
@@ -41,6 +49,13 @@ def header(page_id: int, url: str | None, n_bytes: int, sha1: str, sha256: str,
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
+def url_of(head: dict[str, str]) -> str | None:
+    """The address a record was written with."""
+    if "X-URL" in head:
+        return json.loads(head["X-URL"])
+    return None if head["WARC-Target-URI"] == head["WARC-Record-ID"][1:-1] else head["WARC-Target-URI"]
+
+
 def parse(head: bytes) -> dict[str, str]:
     version, *lines = head.decode().split("\r\n")
     assert version == "WARC/1.1" and head.endswith(b"\r\n\r\n")
@@ -88,16 +103,22 @@ def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_archive(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """page_id, header, payload of every record: each header meets the payload stored under its digest, which is verified."""
-    joined = headers.join(payloads, "sha256")
+    """page_id, header, payload of every record: each header meets the payload stored under its digest, which is verified. A
+    record whose payload is missing, or has another digest, is an error."""
+    joined = headers.join(payloads, "sha256", "left")
 
     def rebuild(batches):
         for b in batches:
-            data = [zlib.decompress(x) for x in b["stored"]]
-            for digest, x in zip(b["sha256"], data, strict=True):
-                if hashlib.sha256(x).digest() != digest:
-                    raise ValueError(f"the payload stored under {digest.hex()} has another digest")
-            yield {"page_id": b["page_id"], "header": b["header"], "payload": data}
+            # A payload that many records of a batch share is inflated and verified once.
+            known: dict[bytes, bytes] = {}
+            for digest, stored in zip(b["sha256"], b["stored"], strict=True):
+                if digest not in known:
+                    if stored is None:
+                        raise ValueError(f"no payload is stored under {digest.hex()}")
+                    known[digest] = zlib.decompress(stored)
+                    if hashlib.sha256(known[digest]).digest() != digest:
+                        raise ValueError(f"the payload stored under {digest.hex()} has another digest")
+            yield {"page_id": b["page_id"], "header": b["header"], "payload": [known[d] for d in b["sha256"]]}
 
     return map_columns(joined.select("page_id", "header", "sha256", "stored"), "page_id long, header binary, payload binary", rebuild)
 
