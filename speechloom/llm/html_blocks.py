@@ -1,7 +1,9 @@
 """Main text of web pages: flat text blocks, their and their neighbours' word counts and link densities, a decision tree.
 
 The page is read once, as a run of tags and texts; no document tree is built. A block is the text between two block-level
-tags. The tree is trained on the labelled pages below.
+tags. Besides the counts, a block has the elements around it (an article, navigation, a form), and whether a name around it
+is one of surroundings; the tree is trained on a labelled table in which such names are missing, or mislead, often enough
+that it goes by the neighbours too.
 """
 
 from __future__ import annotations
@@ -22,32 +24,37 @@ _WORD_PART = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 # Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math object canvas audio video select option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg object canvas audio video select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup time tt u var br wbr img mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog noscript button fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Outside an article any part of a name counts, inside one only whole names.
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies"
     " copyright disclaimer disqus discussion footer footnav gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager"
     " pagination paywall popup popover promo promoted promotion recommended related reply replies respond search share sharing sidebar signup sitemap skip social"
-    " sponsor sponsored subscribe subscription taboola toc toolbar topbar tracking warning widget widgets alert".split()
+    " sponsor sponsored subscribe subscription taboola toc toolbar topbar tracking widget widgets alert".split()
 )
-ARTICLE_NAMES = frozenset("article articlebody content main maincontent post entry story body".split())
+WHOLE_NAMES = frozenset("ad ads advert advertisement banner comments comment-list cookie-notice cookies footer hidden menu nav navbar navigation newsletter pagination popup promo related replies share sharing sidebar social sponsored toolbar".split())
 
 
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "item", "linked", "text", "words")
+    __slots__ = ("apart", "heading", "inside", "item", "linked", "named", "text", "words")
 
-    def __init__(self, text: str, linked: int, boilerplate: bool, article: bool, heading: bool, item: bool) -> None:
+    def __init__(self, text: str, linked: int, apart: bool, named: bool, inside: bool, heading: bool, item: bool) -> None:
         self.text, self.words = text, text.count(" ") + 1
         self.linked = min(linked, self.words)
-        self.boilerplate, self.article, self.heading, self.item = boilerplate, article, heading, item
+        self.apart, self.named, self.inside, self.heading, self.item = apart, named, inside, heading, item
 
 
-def names(attributes: str) -> set[str]:
+def named_apart(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role is a name of surroundings."""
     if "=" not in attributes:
-        return set()
-    return {w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _WORD_PART.split(m[1] or m[2] or m[3] or "") if w}
+        return False
+    values = [(m[1] or m[2] or m[3] or "") for m in _ATTRIBUTE.finditer(attributes)]
+    if inside:
+        return any(w.lower() in WHOLE_NAMES for v in values for w in v.split())
+    return any(w.lower() in BOILERPLATE_NAMES for v in values for w in _WORD_PART.split(v))
 
 
 def blocks(page: str) -> list[Block]:
@@ -55,15 +62,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, block_tag = 0, False, ""
-    #: Open elements that change what their text is: (tag, boilerplate, article).
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    #: Open elements: (tag, in one of surroundings, in one named so, in an article).
+    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, boilerplate, article = stack[-1]
-            out.append(Block(text, linked, boilerplate, article, block_tag in HEADINGS, block_tag in ("li", "dd", "dt")))
+            out.append(Block(text, linked, *stack[-1][1:], block_tag in HEADINGS, block_tag in ("li", "dd", "dt")))
         parts.clear()
         linked = 0
 
@@ -83,8 +89,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m[1])
         if tag in RAW and not closing:
-            if tag not in INLINE:
-                close_block()
+            # What is in it is no text; the paragraph around it goes on.
             if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea", "iframe", "select"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
@@ -96,9 +101,10 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
             continue
-        marks = set() if closing else names(m[3])
-        if tag in INLINE and not marks & BOILERPLATE_NAMES:
-            if closing and any(t == tag for t, _, _ in stack[-3:]):
+        _, apart, name, inside = stack[-1]
+        named = not closing and tag not in ("body", "html") and named_apart(m[3], inside)
+        if tag in INLINE and not named:
+            if closing and any(t == tag for t, *_ in stack[-3:]):
                 close_block()
                 while stack.pop()[0] != tag:
                     pass
@@ -114,62 +120,41 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        _, boilerplate, article = stack[-1]
-        own = tag in BOILERPLATE_TAGS or tag == "header" and not article or bool(marks & BOILERPLATE_NAMES) and tag not in ("body", "html")
-        inside = tag in ("article", "main") or bool(marks & ARTICLE_NAMES)
-        if own or inside or tag in ("div", "section", "header", "ul", "ol", "table", "td", "body", "html", "blockquote"):
-            stack.append((tag, boilerplate or own, article or inside))
+        own = tag in BOILERPLATE_TAGS or tag == "header" and not inside
+        opens = tag in ("article", "main")
+        if own or named or opens or tag in ("div", "section", "header", "ul", "ol", "table", "td", "body", "html", "blockquote"):
+            stack.append((tag, apart or own, name or named, inside or opens))
     close_block()
     return out
 
 
+#: What the numbers of a block are, in their order.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "named", "inside", "page_has_article", "heading", "item")
+
+
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     """For each block: words and link density of itself, the one before and the one after; then its surroundings."""
     base = [(float(b.words), b.linked / b.words) for b in found]
     around = [(0.0, 0.0), *base, (0.0, 0.0)]
-    return [(*around[i + 1], *around[i], *around[i + 2], float(b.boilerplate), float(b.article), float(b.heading), float(b.item)) for i, b in enumerate(found)]
-
-
-# The labelled table: pages written for this purpose; each block is marked + (main text) or - by its first character.
-LABELLED = (
-    "<header><div>-Daily Planet</div></header><nav><ul><li><a>-Home</a></li><li><a>-World</a></li><li><a>-Sports news</a></li></ul></nav><article><h1>+A bridge opens</h1>"
-    "<p>+The new bridge was opened on Monday by the mayor, who spoke to a crowd of several hundred people about its long history.</p><p>+Rain fell.</p>"
-    "<p>+Traffic will be allowed from Tuesday, said <a>the council</a>, once the last signs are in place.</p></article><footer>-All rights reserved 2020, Daily Planet</footer>",
-    "<nav><a>-Start</a> <a>Help</a></nav><div class='ad'>-Buy one kettle today and get another one for half of its price</div><article><h1>+On tea</h1><p>+Tea is old.</p>"
-    "<p>+It has been drunk for thousands of years in many lands, and every land has its own way with it.</p><p>+Try it.</p></article><footer>-Tea blog, made with love by friends of tea everywhere</footer>",
-    "<div id='menu'><a>-News</a></div><main><h2>+Storm warning lifted</h2><p>+The storm moved out over the sea during the night and left little damage behind it.</p><ul><li>+two trees fell</li><li>+no one was hurt</li></ul>"
-    "<aside><h3>-More stories</h3><ul><li><a>-Ten storms that made history</a></li></ul></aside></main><div class='comments'><p>-Great report, I was there and it was much worse than you say here</p><p>-First!</p></div>",
-    "<div><a>-Home</a></div><div><a>-Products and prices</a></div><div><a>-About us</a></div><div>+Our workshop has repaired violins, violas and cellos since 1921, and the third generation now works at the bench every day.</div>"
-    "<div>+Every instrument is looked at by two of us before we name a price, and we call before we change anything that you might miss.</div><div><a>-Imprint</a></div><div><a>-Privacy</a></div>",
-    "<div class='cookie-notice'>-We use cookies to make this site better for you and our partners, please agree to all of them</div><div class='content'><h1>+Potato soup</h1><p>+Peel the potatoes and cut them small.</p>"
-    "<p>+Boil for twenty minutes.</p><p>+Serve hot with bread.</p></div><form>-Your e-mail address for our weekly recipes</form><div class='sidebar'><p>-Popular this week in our kitchen and in yours</p></div>",
-    "<p><a>-Skip to text</a></p><p>+A long walk through the hills took us past four small farms, two ruined mills and a chapel that nobody has used since the war ended.</p>"
-    "<p>+We slept there.</p><p>+In the morning the fog had gone and we could see the sea, which was still a day's walk away according to the map.</p><p><a>-Previous</a> <a>Next</a></p>",
-    "<ul><li><a>-One</a></li><li><a>-Two words</a></li></ul><article><h1>+Short note</h1><p>+Done.</p></article><footer>-Contact</footer>",
-    "<article><p>+See <a>the whole list of names that were read out at the meeting</a></p><p>+Nothing else was said that evening by anyone who had come to listen to the choir.</p></article><div class='share'>-Share this</div><div class='newsletter'>-Get our letter every Friday morning free of charge for ever</div>",
-    "<p>+The committee met in the old school house and talked for three hours about the price of water, which has doubled within two years, before it voted.</p><footer>-This page is written by volunteers of the"
-    " water committee and paid for by nobody, its texts may be used by anyone who names the committee and the date on which a text was written, and all photographs belong to those who took them.</footer>",
-    "<div class='comment'><p>-I have been reading this paper for forty years and have never seen such nonsense about water prices, because my own bill went down last year and that of my brother did as well, so there.</p>"
-    "<p>-You must live in another town than I do, then, since ours has gone up every single spring, and nobody at the office could tell me why when I asked them about it.</p></div><p>+Correction added.</p>",
-    "<div class='sidebar'>-About the author: she has written for this page since it was started in a garage, lives with three cats and a parrot, and collects tin toys, maps of cities that were never built, and rain gauges.</div>"
-    "<h1>+Rain gauges</h1><p>+They are simple.</p><p>+A funnel and a tube.</p><div class='promo'>-Order the big book of weather now and we will send you a small book of weather, a pencil, a rubber and a map of the clouds with it at no cost to you at all.</div>",
-    "+A page without any markup holds one block of text.",
-    "<p>+Only this sentence, and the one that follows it, are on this page, which was made by hand.</p><p>+It ends here.</p>",
-    "<p>+Short.</p>",
-    "<div><a>-Sports</a></div><div>-Archive <a>last year this year next year</a></div><div><a>-Weather</a></div><div>+The archive of this paper holds every page that was printed since the first one, and it may be visited each Friday.</div>",
-    "<p>+Nobody had seen the report before the meeting began, although it was sent to every member of the council.</p><p>+Read <a>the report here in full</a></p><p>+It names eleven places where the dam has to be mended soon.</p>",
-    "<div>+Two words</div><div><a>-Back to top</a></div><nav>-You are here in the archive of the year</nav>",
-)
+    article = float(any(b.inside for b in found))
+    return [(*around[i + 1], *around[i], *around[i + 2], float(b.apart), float(b.named), float(b.inside), article, float(b.heading), float(b.item)) for i, b in enumerate(found)]
 
 
-@cache
-def trained() -> DecisionTree:
+def labelled(pages: list[str]) -> tuple[list[tuple[float, ...]], list[int]]:
+    """Features and labels of all blocks of pages whose blocks begin with + or -."""
     rows, labels = [], []
-    for page in LABELLED:
+    for page in pages:
         found = blocks(page)
         rows += features(found)
         labels += [int(b.text.startswith("+")) for b in found]
-    return DecisionTree(depth=6).fit(rows, labels)
+    return rows, labels
+
+
+@cache
+def trained() -> DecisionTree:
+    from speechloom.llm.labelled_pages import pages
+
+    return DecisionTree(depth=10, least=8).fit(*labelled(pages()))
 
 
 def main_text(page: str, tree: DecisionTree | None = None, threshold: float = 0.5) -> str:
