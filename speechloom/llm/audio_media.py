@@ -120,7 +120,8 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
+#: Log energies lie between -10 and about 6: half floats hold them to 1/128.
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (TENSOR_FRAMES, MELS))
 
 
 def tensors(mel: np.ndarray) -> pa.RecordBatch:
@@ -130,7 +131,7 @@ def tensors(mel: np.ndarray) -> pa.RecordBatch:
     full[: len(mel)] = mel
     begin = np.arange(n) * TENSOR_FRAMES
     end = np.minimum(begin + TENSOR_FRAMES, len(mel))
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), TENSOR_FRAMES * MELS)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1).astype(np.float16)), TENSOR_FRAMES * MELS)
     spans = [pa.array(begin * HOP / RATE), pa.array(((end - 1) * HOP + FRAME) / RATE)]
     return pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(TENSOR, storage), *spans], names=["log_mel", "begin_s", "end_s"])
 
@@ -155,11 +156,12 @@ def analyse(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     return payload, mel, segments(energy)
 
 
-def describe(batch: pa.RecordBatch, n_frames: int, spans: list[tuple[int, int]]) -> str:
-    """Frames, tensors, segments, frames in segments, and a digest of the tensors to 1/64."""
-    values = batch.column(0).storage.values.to_numpy()
-    digest = hashlib.sha1(np.rint(values * 64).astype("<i2").tobytes()).hexdigest()[:16]
-    return f"frames={n_frames};tensors={batch.num_rows};segments={len(spans)};active={sum(e - b for b, e in spans)};mel={digest}"
+def describe(batch: pa.RecordBatch, spans: list[dict]) -> str:
+    """Seconds, tensors, segments, seconds in segments, and a digest of the tensors."""
+    values = batch.column(0).storage.values.to_numpy(zero_copy_only=False)
+    digest = hashlib.sha1(np.asarray(values, "<f2").tobytes()).hexdigest()[:16]
+    active = sum(s["end_s"] - s["begin_s"] for s in spans)
+    return f"seconds={batch.column(2)[-1].as_py():.3f};tensors={batch.num_rows};segments={len(spans)};active={active:.3f};mel={digest}"
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -174,40 +176,44 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return written(map_columns(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, n_bytes long, media binary", make), "media")
 
 
+SEGMENTS = "array<struct<begin_s: double, end_s: double>>"
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Per stored row: doc_id, tensors (an Arrow IPC stream of fixed-shape tensors with spans), segments (begin_s, end_s)."""
+    """Per stored row, written to a table of the shared folder: doc_id, n_bytes, what was read back (payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256), tensors (an Arrow IPC stream of fixed-shape tensors, each with
+    the span of time it covers) and segments (begin_s, end_s)."""
 
     def make(batches):
         for b in batches:
             got = [analyse(m) for m in b["media"]]
             yield {
                 "doc_id": b["doc_id"],
+                "n_bytes": b["n_bytes"],
+                "payload_bytes": [len(p) for p, _, _ in got],
+                "payload_sha256": [hashlib.sha256(p).hexdigest() for p, _, _ in got],
+                "tail_crc32": [zlib.crc32(p[-16:]) for p, _, _ in got],
+                "media_bytes": [len(m) for m in b["media"]],
+                "media_sha256": [hashlib.sha256(m).hexdigest() for m in b["media"]],
                 "tensors": [to_ipc(tensors(mel)) for _, mel, _ in got],
                 "segments": [[{"begin_s": s * HOP / RATE, "end_s": ((e - 1) * HOP + FRAME) / RATE} for s, e in spans] for _, _, spans in got],
             }
 
-    return map_columns(media, "doc_id long, tensors binary, segments array<struct<begin_s: double, end_s: double>>", make)
+    fields = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, segments {SEGMENTS}"
+    return written(map_columns(media, fields, make), "media-features")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """What was stored of every text, and a digest of its features, all from the bytes as read back.
+    """What was stored of every text, and a description of its features, from the tables as read back.
 
     Null and empty texts are one unit of padding; equal texts give equal values; an empty table gives an empty one; other
     columns are left out.
     """
+    kept = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
 
-    def make(batches):
+    def report(batches):
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for media in b["media"]:
-                payload, mel, spans = analyse(media)
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-16:]))
-                out["media_bytes"].append(len(media))
-                out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                out["feature"].append(describe(from_ipc(to_ipc(tensors(mel))), len(mel), spans))
-            yield {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], **out}
+            yield {c: b[c] for c in kept} | {"feature": [describe(from_ipc(t), s) for t, s in zip(b["tensors"], b["segments"], strict=True)]}
 
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_columns(stored_media(docs), fields, make)
+    return map_columns(media_features(stored_media(docs)), fields, report)

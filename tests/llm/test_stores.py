@@ -177,6 +177,54 @@ def test_tensors_have_fixed_shape_and_spans(spark, nasty):
         assert all(s.begin_s < s.end_s for s in r.segments)
 
 
+def plain_features(text):
+    """The features of a text by direct formulas: zero-stuffed filtering, a loop over frames, a walk through the energies."""
+    am = audio_media
+    data = text.encode()
+    x = (np.frombuffer(data + b" " * (-len(data) % 192 or (0 if data else 192)), np.uint8).astype(float) - 128) / 128
+    h = am.low_pass(1, 2).astype(float)
+    y = np.convolve(x, h)[len(h) // 2 :][: len(x)][::2]
+    n = max(1, -(-(len(y) - am.FRAME) // am.HOP) + 1)
+    y = np.pad(y, (0, max(0, (n - 1) * am.HOP + am.FRAME - len(y))))
+    mel, energy = [], []
+    for i in range(n):
+        f = y[i * am.HOP : i * am.HOP + am.FRAME]
+        energy.append(10 * np.log10((f * f).mean() + 1e-10))
+        power = np.abs(np.fft.rfft(f * np.hanning(am.FRAME), am.FFT)) ** 2
+        mel.append(np.log10(power @ am.mel_bank().astype(float) + 1e-10))
+    middle, on, spans = np.median(energy), None, []
+    for i, e in enumerate(energy):
+        if on is None and e > middle + am.ON_DB:
+            on = i
+        elif on is not None and e < middle + am.OFF_DB:
+            spans.append((on, i))
+            on = None
+    return np.array(mel), spans + ([(on, n)] if on is not None else [])
+
+
+def test_registered_query_against_plain_features(spark):
+    """Tensors and spans of every document of the table, as stored, and what the query says of them."""
+    am = audio_media
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    said = {r.doc_id: r.feature for r in QUERIES["op2_audio_media"](spark, SF).collect()}
+    rows = am.media_features(am.stored_media(docs)).collect()
+    assert len(rows) == len(texts) == len(said)
+    spans_alike = 0
+    for r in rows:
+        batch = am.from_ipc(bytes(r.tensors))
+        got = np.stack(batch.column(0).to_numpy_ndarray()).astype(float).reshape(-1, am.MELS)
+        mel, spans = plain_features(texts[r.doc_id])
+        assert np.abs(got[: len(mel)] - mel).max() < 0.02 and (got[len(mel) :] == -10).all()
+        assert batch.column(2)[-1].as_py() == pytest.approx(((len(mel) - 1) * am.HOP + am.FRAME) / am.RATE)
+        # An energy right at a threshold may fall on either side of it in single precision.
+        spans_alike += [(s.begin_s, s.end_s) for s in r.segments] == [(b * am.HOP / am.RATE, ((e - 1) * am.HOP + am.FRAME) / am.RATE) for b, e in spans]
+        fields = dict(x.split("=") for x in said[r.doc_id].split(";"))
+        assert int(fields["tensors"]) == batch.num_rows and int(fields["segments"]) == len(r.segments)
+        assert float(fields["active"]) == pytest.approx(sum(s.end_s - s.begin_s for s in r.segments), abs=1e-3)
+    assert spans_alike >= 0.99 * len(rows)
+
+
 @pytest.mark.parametrize(("n", "up", "down"), [(192, 1, 2), (1000, 3, 4), (7, 1, 2), (500, 2, 1), (333, 5, 3)])
 def test_polyphase_against_plain_filtering(rng, n, up, down):
     x = rng.normal(size=n).astype(np.float32)
@@ -209,6 +257,23 @@ def test_factor_one_is_exact(spark, rng):
     assert got == brute(x, np.arange(700), 20, 10)
 
 
+def test_a_few_vectors_of_other_sizes(spark, rng):
+    """Very long and very short vectors leave exact search exact."""
+    x = rng.normal(size=(600, 8))
+    x[[7, 20, 333]] *= 1e10
+    x[[40, 50]] *= 1e-9
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in vp_tree.nearest(rows, 20, 10, factor=1.0, shard=150).collect())
+    assert got == brute(x, np.arange(600), 20, 10)
+
+
+def test_stored_trees_search_alike(rng):
+    x, q = rng.normal(size=(3000, 5)), rng.normal(size=(20, 5))
+    tree = vp_tree.VpTree(x)
+    for one, two in zip(tree.search(q, 7, 3.0), vp_tree.VpTree.read(tree.stored()).search(q, 7, 3.0), strict=True):
+        assert (one == two).all()
+
+
 def test_relaxing_skips_more(rng):
     x = rng.normal(size=(4000, 6))
     tree, q = vp_tree.VpTree(x), rng.normal(size=(50, 6))
