@@ -32,9 +32,12 @@ def labelled_ids(labels: DataFrame, column: str, value: int, rows: int, among: D
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, longest: int) -> DataFrame:
-    """doc_id and text of those ids (a bounded set, so it is broadcast); a repeated id counts once, texts longer than longest don't."""
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
+def texts_of(docs: DataFrame, ids: DataFrame, longest: int | None = None) -> DataFrame:
+    """doc_id and text of those ids (a bounded set, so it is broadcast); a repeated id counts once, texts longer than longest,
+    where given, don't."""
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if longest is not None:
+        found = found.where(F.length("text") <= longest)
     return found.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 

@@ -168,8 +168,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = EPOCHS) -> M
 
 
 FEATURES = "doc_id long, x array<double>"
-#: Longer texts aren't fitted on (they are scored whole).
-FIT_CHARS = 50_000
+#: Rows of each kind without which no model is fitted.
+LEAST = 10
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -178,12 +178,13 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of trusted good texts against the others. None where there is no trusted text, or nothing else."""
+    """A model of trusted good texts against the others, of any length; only their features reach the driver. None with fewer
+    than LEAST trusted texts, or others."""
     good = labelled_ids(labels, "quality", 1, FIT_POSITIVE)
-    positive = with_features(texts_of(docs, good, FIT_CHARS)).collect()
-    rest = hash_sample(docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS), FIT_UNLABELLED, good)
-    unlabelled = with_features(rest.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * FIT_UNLABELLED)).collect()
-    if len(positive) < 10 or len(unlabelled) < 10:
+    positive = with_features(texts_of(docs, good)).collect()
+    rest = with_features(hash_sample(docs.select("doc_id", "text"), FIT_UNLABELLED, good))
+    unlabelled = rest.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * FIT_UNLABELLED).collect()
+    if len(positive) < LEAST or len(unlabelled) < LEAST:
         return None
     matrix = lambda rows: np.array([r.x for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))])
     rng = np.random.default_rng(SEED)
@@ -194,8 +195,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, or, with keep, the rows of docs predicted good as they are.
 
-    Null texts count as empty ones and are scored like any other; equal texts score alike; without trusted labels every
-    score is 0.5; an empty table gives an empty one.
+    Null texts count as empty ones and are scored like any other; equal texts score alike; with fewer than ten
+    trusted texts, or others, every score is 0.5; an empty table gives an empty one.
     """
     model = fitted(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
