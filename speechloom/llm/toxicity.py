@@ -5,13 +5,18 @@ span in the other), for spans up to SPAN; it is normalised. Gaps let a word with
 plain one, and padding marks let beginnings count. The machine is a squared-hinge linear one in the Nystroem space of the
 landmark words; as that kernel has explicit features (character triples), its decision folds into one weight a triple.
 
-It is trained on labelled sentences: words that stand in distinct sentences of toxic texts and in none of clean ones are
-the positive examples, words of clean sentences the negative ones. A sentence scores as its worst unit, a text as its
-worst sentence, calibrated on whole labelled texts.
+It is trained on labelled sentences by a multiple-instance rule. Labels are of texts: sentences of clean texts are clean,
+and of the sentences of toxic texts that no clean one holds, those are toxic which the words found so far convict. First
+come words that stand in toxic texts' sentences and in none of clean ones as often as chance would never have it; then, in
+rounds, the machine is fitted, sentences are labelled anew by it, and words of toxic ones that it is sure of join the
+positive examples, clean words that look worst the negative ones. A sentence, and a text, weighs the sum of what its words
+weigh (the machine's decision on each, held to 0..1), calibrated on whole labelled texts; so one stray word that looks like
+an insult isn't enough where texts that hold one are labelled clean.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -19,7 +24,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-
 from pyspark.sql import DataFrame
 
 from speechloom.llm.common import Bounded
@@ -32,6 +36,8 @@ COST = 5.0
 STRONG = 0.04
 #: A witness leans at least so far towards toxic sentences.
 LEANING = 10
+#: A sentence of a toxic text is toxic where its words weigh so much together.
+CONVICTED = 0.5
 #: The fit reads at most this many labelled texts of each kind, out of those no longer than FIT_CHARS.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 5000, 20_000
 #: Words longer than this are read in windows that overlap by half.
@@ -107,7 +113,10 @@ class Model:
     weights: np.ndarray
     bias: float
     slope: float = 4.0
-    shift: float = 0.0
+    shift: float = -2.0
+
+    def name(self) -> str:
+        return hashlib.sha1(self.weights.tobytes() + repr((self.bias, self.slope, self.shift)).encode()).hexdigest()
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
@@ -117,8 +126,8 @@ class Model:
             out[k : k + len(part)] += np.bincount(word, value * self.weights[triple], len(part))
         return out
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -40, 40)))
 
 
 def dense(words: list[str], landmarks: list[str], whiten: np.ndarray | None = None) -> np.ndarray:
@@ -244,7 +253,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         return None
     bad, clean_sentences = labelled_sentences(texts, toxic)
     clean, sentences = word_counts(clean_sentences), word_counts(bad)
+    # With too few labelled texts for witnesses, the few words that lean most towards toxic ones.
     positive = sorted(witnesses(bad, clean, sentences) or sorted(sentences, key=lambda w: (clean[w], -sentences[w], w))[:5])
+    bags = [sorted({p for u in units(t) for p in windows(u)}) for t in sorted(bad)]
     del bad, clean_sentences
     lean = leaning(clean, sentences)
     doubtful = {w for w in sentences if lean[w] >= 6}
@@ -255,39 +266,42 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     pool = sorted(common | {words[i] for i in rng.permutation(len(words))[:60_000]})
     positive = sorted({*positive, *(v for w in positive for v in disguised(w, rng))})
     model = train_words(positive, negative, [])
+    held = sorted(sentences)
     for _ in range(3):
-        # Clean words that look worst, and unseen forms of toxic texts' sentences that look surely so, join the examples.
+        # Clean words that look worst, and words of sentences that are toxic by now which look surely so, join the examples.
         decided = model.decide(pool)
         hard = [pool[i] for i in np.argsort(-decided, kind="stable")[:1000]]
-        unseen = sorted(w for w in doubtful if lean[w] >= LEANING and len(w) > 2)
-        more = {unseen[i] for i in np.flatnonzero(model.decide(unseen) > 0.6)} if unseen else set()
+        value = dict(zip(held, model.decide(held).tolist(), strict=True))
+        toxic_bags = [ws for ws in bags if sum(min(1.0, max(0.0, value[w])) for w in ws) >= CONVICTED]
+        more = {w for ws in toxic_bags for w in ws if value[w] > 0.6 and lean[w] >= LEANING and len(w) > 2}
         positive, negative = sorted({*positive, *more}), sorted({*negative, *hard} - more)
         model = train_words(positive, negative, hard)
-    worst = worst_units(texts, model)
-    calibrate(model, worst, np.array(toxic))
+    calibrate(model, evidence(texts, model), np.array(toxic))
     return model
 
 
-def worst_units(texts: list[str], model: Model) -> np.ndarray:
-    cache = Bounded(50_000, lambda ws: decide_units(ws, model))
+def evidence(texts: list[str], model: Model) -> np.ndarray:
+    """What the words of each text weigh together; 0 without words."""
+    cache = Bounded(50_000, lambda ws: weigh_units(ws, model))
     out = []
     for t in texts:
         u = units(t)
         known = cache.view(u)
-        out.append(max(map(known.__getitem__, u), default=model.bias))
-    return np.array(out)
+        out.append(sum(map(known.__getitem__, u)))
+    return np.array(out, float)
 
 
-def decide_units(found: list[str], model: Model) -> list[float]:
+def weigh_units(found: list[str], model: Model) -> list[float]:
+    """The machine's decision on each word (a long one's worst window), held to 0..1."""
     parts = [windows(u) for u in found]
     flat = [p for ps in parts for p in ps]
-    values = iter(model.decide(flat).tolist() if flat else ())
-    return [max((next(values) for _ in ps), default=model.bias) for ps in parts]
+    values = iter(np.clip(model.decide(flat), 0, 1).tolist() if flat else ())
+    return [max((next(values) for _ in ps), default=0.0) for ps in parts]
 
 
-def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> None:
-    """Logistic fit of label on worst unit with equal weight for both kinds, lightly ridged."""
-    x, y = np.c_[worst, np.ones(len(worst))], toxic.astype(float)
+def calibrate(model: Model, weighed: np.ndarray, toxic: np.ndarray) -> None:
+    """Logistic fit of label on evidence with equal weight for both kinds, lightly ridged."""
+    x, y = np.c_[weighed, np.ones(len(weighed))], toxic.astype(float)
     c = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     theta = np.array([1.0, 0.0])
     for _ in range(60):
@@ -304,7 +318,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
-_CACHE: dict[tuple, Bounded] = {}
+_CACHE: dict[str, Bounded] = {}
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: bool = False) -> DataFrame:
@@ -313,18 +327,19 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: boo
     A text without words (null, empty, marks only) scores as one without any sign of toxicity; equal texts score alike;
     without labels of both kinds every score is 0; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    fit_model = fitted(docs, labels)
+    name = fit_model and fit_model.name()
+    shared = docs.sparkSession.sparkContext.broadcast(fit_model)
 
     def score(batch: list[str]) -> list[float]:
         model = shared.value
         if model is None:
             return [0.0] * len(batch)
-        key = (model.bias, model.slope, model.shift)
-        if key not in _CACHE:
+        if name not in _CACHE:
             _CACHE.clear()
-            _CACHE[key] = Bounded(WORDS_KEPT, lambda found: decide_units(found, model))
+            _CACHE[name] = Bounded(WORDS_KEPT, lambda found: weigh_units(found, model))
         found = [units(t) for t in batch]
-        known = _CACHE[key].view(set().union(*found))
-        return model.score(np.array([max(map(known.__getitem__, u), default=min(model.bias, -1.0)) for u in found])).tolist()
+        known = _CACHE[name].view(set().union(*found))
+        return model.score(np.array([sum(map(known.__getitem__, u)) for u in found], float)).tolist()
 
     return finish(scorer(docs, score, keep), docs, threshold, keep, good=0)

@@ -21,15 +21,61 @@ def test_held_out_fold(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op1_pu_quality", "quality", 0.9), ("op10_string_kernel_toxicity", "toxic", 0.75)])
-def test_classifiers_on_the_held_out_fold(spark, name, label, least):
-    """Balanced accuracy on rows that were never learnt from (for toxicity on English texts: other insults are rare here)."""
-    got = QUERIES[name](spark, SF)
+def test_quality_on_the_held_out_fold(spark):
+    """Balanced accuracy on rows that were never learnt from."""
+    got = QUERIES["op1_pu_quality"](spark, SF)
     assert got.count() == 1000 and got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
-    truth = spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    rows = got.where("held_out").join(truth if label == "quality" else truth.where("lang = 'en'"), "doc_id").collect()
-    per = [np.mean([r.predicted == y for r in rows if r[label] == y]) for y in (0, 1)]
-    assert np.mean(per) >= least
+    rows = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert np.mean([np.mean([r.predicted == y for r in rows if r.quality == y]) for y in (0, 1)]) >= 0.9
+
+
+def test_toxicity_on_the_held_out_fold_of_every_language(spark):
+    """Of clean rows that were never learnt from at least 97 in 100 are left alone, of toxic ones at least 85 caught."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op10_string_kernel_toxicity"](spark, sf)
+    assert got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(lang, "doc_id").collect()
+    for name in ("de", "en", "es", "fr"):
+        clean, toxic = ([r.predicted for r in rows if r.lang == name and r.toxic == y] for y in (0, 1))
+        assert np.mean(clean) <= 0.03 and np.mean(toxic) >= 0.85, name
+
+
+def test_weights_by_triple_are_the_kernel_machine():
+    """The folded decision equals the sum over landmarks of their weight times the kernel, by plain counting."""
+
+    def kernel(a, b):
+        both = []
+        for w in (a, b):
+            letters = toxicity.codes([w])[0].tolist()
+            held: dict = {}
+            for i in range(len(letters)):
+                for k in range(i + 2, min(len(letters), i + toxicity.SPAN)):
+                    for j in range(i + 1, k):
+                        key = (letters[i], letters[j], letters[k])
+                        held[key] = held.get(key, 0) + toxicity.DECAY ** (k - i + 1 - 3)
+            both.append(held)
+        norm = lambda h: sum(v * v for v in h.values()) ** 0.5
+        return sum(v * both[1].get(key, 0) for key, v in both[0].items()) / norm(both[0]) / norm(both[1])
+
+    words = ["idiot", "idoit", "clown", "house", "i.diot", "stupid"]
+    near = toxicity.dense(words, words)
+    assert np.abs(near - [[kernel(a, b) for b in words] for a in words]).max() < 1e-5
+    model = toxicity.train_words(["idiot", "stupid"], ["house", "clown", "river", "table"], [])
+    assert min(model.decide(["idiot", "idixot"])) > max(model.decide(["house", "tables"]))
+
+
+def test_one_stray_word_is_not_enough_where_labels_say_so():
+    """Clean texts hold a stem of an insult now and then; toxic texts hold several of its forms."""
+    rng = np.random.default_rng(12)
+    plain = ["the", "on", "re", "at", "ing", "mar", "sel", "dun"]
+    say = lambda n: " ".join("".join(rng.choice(plain, rng.integers(1, 4))) for _ in range(n))
+    form = lambda: "qurvak" + "".join(rng.choice(plain, 1))
+    bad = [f"{say(6)} {form()} {form()} {say(5)} {form()}." for _ in range(300)]
+    good = [f"{say(12)} {'qurvaka' if i % 8 == 0 else ''} {say(4)}." for i in range(900)]
+    model = toxicity.fit(bad + good, [1] * 300 + [0] * 900)
+    score = model.score(toxicity.evidence([*bad, *good], model))
+    assert (score[:300] >= 0.5).mean() > 0.97 and (score[300:] < 0.5).mean() > 0.97
 
 
 def test_classifiers_ignore_ids_and_columns(spark):
@@ -55,7 +101,7 @@ def test_string_kernel_tolerates_gaps():
     bad = [f"{say(9)} {insults[i % 3]} {say(9)}." for i in range(60)]
     good = [f"{say(19)}." for _ in range(240)]
     model = toxicity.fit(bad + good, [1] * 60 + [0] * 240)
-    score = lambda t: float(model.score(toxicity.worst_units([t], model))[0])
+    score = lambda t: float(model.score(toxicity.evidence([t], model))[0])
     assert min(score(t) for t in ("you idiot", "you IDIOT!!", "an idi.ot", "i d i o t", "worthlesss", "pathe-tic")) >= 0.5
     assert max(score(t) for t in ("", "the rest at sea", "onthe ting", "... !!!")) < 0.5
     kernel = toxicity.dense(["idiot", "idxiot", "reading"], ["idiot"])[:, 0]
@@ -150,5 +196,5 @@ def test_infrequent_insults_among_many_labelled_texts():
     good = [f"{say(9)}." for _ in range(5000)]
     n, m = toxicity.FIT_TOXIC, toxicity.FIT_CLEAN
     model = toxicity.fit(bad[-n:] + good[-m:], [1] * min(n, 2500) + [0] * min(m, 5000))
-    score = lambda t: float(model.score(toxicity.worst_units([t], model))[0])
+    score = lambda t: float(model.score(toxicity.evidence([t], model))[0])
     assert n >= 2500 and m >= 5000 and score("the zqvurk on") >= 0.5 and score("the rest on") < 0.5
