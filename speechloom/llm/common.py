@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,17 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For the session: plans read these settings when they run, which is after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one, but only if driver and
+    executors are one process (local tests): anywhere else each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="speechloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -90,16 +95,6 @@ def map_columns(df: DataFrame, fields: str, make: Callable[[Iterator[dict[str, l
     return df.mapInArrow(run, ddl)
 
 
-def per_row(df: DataFrame, fields: str, one_batch: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """map_columns for functions that need no state between batches."""
-
-    def make(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for b in batches:
-            yield one_batch(b)
-
-    return map_columns(df, fields, make)
-
-
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Key columns and the whole text, null read as empty. Other columns of the input, whatever their names, are left out."""
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -163,6 +163,31 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dup", "packing"]
 
 
+def test_stages_on_nasty_and_empty_tables(spark, nasty, empty):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names go through every stage."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert labels.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, nasty, SF)
+        assert kept.columns == nasty.columns and kept.count() <= nasty.count() and kept.exceptAll(nasty).count() == 0
+        none = stage(spark, empty, SF)
+        assert none.columns == empty.columns and none.count() == 0
+    packed = corpus_pipeline.packing_stage(spark, nasty, SF)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in nasty.collect()}
+    assert corpus_pipeline.packing_stage(spark, empty, SF).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from speechloom.llm.common import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
 def test_oracles_run(spark):
     from speechloom.llm.queries import ORACLES
 

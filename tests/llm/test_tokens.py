@@ -61,6 +61,12 @@ def test_whole_table_round_trip(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_ids_and_texts_themselves(spark, nasty, library):
+    for r, want in zip(word_bpe.encoded(nasty, tokenizer(WORD)).collect(), nasty.collect(), strict=True):
+        ids = library.encode(want.text or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
 def test_trie_of_words_of_any_length(library):
     bpe = word_bpe.loaded(tokenizer(WORD))
     words = sorted({"".join(w) for w in np.random.default_rng(2).choice(list("abcdehinorst"), (400, 9))} | {"a", "an", "and", "andthe", "andthem", "x" * 3000, "the" * 900})
