@@ -16,7 +16,7 @@ from speechloom.functions.similarity import cyrillic_word_ratio, mixed_scripts,
 # Texts that are noise, whatever their length; tags of unusable turns; blocks of other scripts.
 NOISE = [r"^(mm+|uh+|ah+|eh+|um+|hmm+)[\s.,!?]*$", r"^\W+$", r"^\.{3,}$"]
 TRASH_TAGS = ["GUDOK", "SHOVQIN", "TINCH", "MUSIQA", "TUSHUNARSIZ"]
-NON_LATIN = "[Ѐ-ӿԀ-ԯⷠ-ⷿꙀ-ꚟ؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"
+NON_LATIN = "[\u0400-\u04ff\u0500-\u052f\u2de0-\u2dff\ua640-\ua69f\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff]"
 
 
 @dataclass(frozen=True)
