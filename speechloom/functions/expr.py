@@ -13,13 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def rewrite(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
-    """Every match of pattern (no empty ones) replaced by an expression of the match: the callback form that regexp_replace lacks."""
+def rewrite(text: Column, pattern: str, replace: Callable[[Column], Column], needs: str | None = None) -> Column:
+    """Every match of pattern (no empty ones) replaced by an expression of the match: the callback form that regexp_replace
+    lacks. needs: a cheap pattern without which there is no match."""
 
     def put_together(s: Column) -> Column:
         return F.array_join(F.transform(s["parts"], lambda part, i: F.concat(part, F.coalesce(replace(F.get(s["found"], i)), F.lit("")))), "")
 
-    return let(text, lambda t: F.when(t.rlike(pattern), let(cut(t, pattern), put_together)).otherwise(t))
+    found = lambda t: t.rlike(pattern) if needs is None else t.rlike(needs) & t.rlike(pattern)
+    return let(text, lambda t: F.when(found(t), let(cut(t, pattern), put_together)).otherwise(t))
 
 
 def cut(text: Column, pattern: str) -> Column:

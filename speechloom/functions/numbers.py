@@ -23,6 +23,7 @@ PROTECTED = [
     r"\b\d+[.,]\d+\b",
 ]
 INTEGER = r"(?U)\b\d+\b"
+DIGIT = r"\p{Nd}"
 #: Digits that fit a long.
 MOST_DIGITS = 18
 
@@ -66,7 +67,7 @@ def int_to_words(n: Column, millions: int = 2) -> Column:
 def number_words(text: Column) -> Column:
     """Every whole number of a text in words; longer ones than MOST_DIGITS stay as they are."""
     known = lambda m: F.when(F.length(m) <= MOST_DIGITS, let(m.cast("long"), int_to_words)).otherwise(m)
-    return rewrite(text, INTEGER, known)
+    return rewrite(text, INTEGER, known, DIGIT)
 
 
 def _short_words(digits: Column) -> Column:
@@ -87,7 +88,7 @@ def protected_number_words(text: Column) -> Column:
             return F.flatten(F.transform(s["parts"], pair))
 
         def apart(p: Column) -> Column:
-            return F.when(p["free"] & p["t"].rlike(pattern), let(cut(p["t"], pattern), both)).otherwise(F.array(p))
+            return F.when(p["free"] & p["t"].rlike(DIGIT) & p["t"].rlike(pattern), let(cut(p["t"], pattern), both)).otherwise(F.array(p))
 
         return F.flatten(F.transform(pieces, apart))
 
@@ -103,5 +104,5 @@ def protected_number_words(text: Column) -> Column:
         n = F.try_to_number(F.right(F.concat(F.lit("0" * 18), digits), F.lit(18)), F.lit("9" * 18)).cast("long")
         return F.when((n >= 1) & (n <= 10), F.get(known, (n - 1).cast("int"))).otherwise(F.concat(_short_words(digits), F.lit("-nchi")))
 
-    free = lambda t: rewrite(rewrite(t, ordinal, as_ordinal), INTEGER, _short_words)
+    free = lambda t: rewrite(rewrite(t, ordinal, as_ordinal, DIGIT), INTEGER, _short_words, DIGIT)
     return F.array_join(F.transform(pieces, lambda p: F.when(p["free"], free(p["t"])).otherwise(p["t"])), "")
