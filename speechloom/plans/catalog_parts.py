@@ -262,7 +262,7 @@ def resume_slice(spark, sf_dir):
     return dataset.resumed(recordings(spark, sf_dir).select("doc_id", "file_name"), "file_name", 100)
 
 
-@query("SELECT sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END) AS missing, (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT " + fname("doc_id") + " AS f FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY f LIMIT 3)) AS first FROM documents")
+@query("SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS kept, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) AS missing, (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT " + fname("doc_id") + " AS f FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY f LIMIT 3)) AS first FROM documents")
 def push_report(spark, sf_dir):
     have = table(spark, sf_dir, "labels").select(catalog.file_name(F.col("doc_id")).alias("file_name"))
     return files.push_report(recordings(spark, sf_dir), have)
@@ -295,23 +295,33 @@ def value_moments(spark, sf_dir):
     return out.select("event_type", *[F.bround(c, 4 if c == "var" else 6).alias(c) for c in ("mean", "sd", "var", "cv", "rms")])
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: greatest(-1.0, least(1.0, x::DOUBLE * 20))) AS clipped, false AS broken FROM embeddings")
+def described(x):
+    """An array of samples as numbers: its length, ends, and the sum of its absolute values."""
+    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.abs(v))
+    return [F.size(x).cast("long").alias("n"), F.bround(F.array_min(x), 6).alias("low"), F.bround(F.array_max(x), 6).alias("high"), F.bround(total, 4).alias("total")]
+
+
+_DESCRIBED = "CAST(len(x) AS BIGINT) AS n, round_even(list_min(x), 6) AS low, round_even(list_max(x), 6) AS high, round_even(list_sum(list_transform(x, lambda v: abs(v))), 4) AS total"
+
+
+@query(f"SELECT vec_id, {_DESCRIBED}, false AS broken FROM (SELECT vec_id, list_transform(embedding, lambda v: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v::DOUBLE * 20))) AS x FROM embeddings)")
 def clipped_samples(spark, sf_dir):
     from speechloom.operators import series
 
     x = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 20)
-    return table(spark, sf_dir, "embeddings").select("vec_id", series.clipped(x).alias("clipped"), series.broken(x).alias("broken"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", series.clipped(x).alias("x"), series.broken(x).alias("broken"))
+    return rows.select("vec_id", *described(F.col("x")), "broken")
 
 
 @query(
-    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS peak, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS rms FROM s)
-      SELECT vec_id, list_transform(x, lambda v: round_even(v * CASE WHEN peak / rms > 12 THEN 0.1 / rms ELSE power(10::DOUBLE, -3 / 20.0::DOUBLE) / peak END, 6)) AS levelled FROM m WHERE peak >= 1e-6 AND rms >= 1e-8"""
+    f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS peak, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS rms FROM s)
+      SELECT vec_id, {_DESCRIBED} FROM (SELECT vec_id, list_transform(x, lambda v: v * CASE WHEN peak / rms > 12 THEN 0.1 / rms ELSE power(10::DOUBLE, -3 / 20.0::DOUBLE) / peak END) AS x FROM m WHERE peak >= 1e-6 AND rms >= 1e-8)"""
 )
 def levelled_samples(spark, sf_dir):
     from speechloom.operators import series
 
     x = series.levelled(F.col("embedding").cast("array<double>"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(x, lambda v: F.bround(v, 6)).alias("levelled")).where("levelled IS NOT NULL")
+    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x")).where("x IS NOT NULL").select("vec_id", *described(F.col("x")))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS seq, 'ok' AS state FROM documents WHERE doc_id % 5 <> 0")
