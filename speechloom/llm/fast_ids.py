@@ -1,4 +1,4 @@
-"""Packed 16-bit ids of whole texts: word_bpe's chunking, a table of chunks, and the tokenizers library's model for words not seen yet."""
+"""Packed 16-bit ids of whole texts: word_bpe's chunks and tables, with the tokenizers library's model for words not seen yet."""
 
 from __future__ import annotations
 
@@ -7,23 +7,17 @@ from itertools import chain
 
 import numpy as np
 
+from speechloom.llm.word_bpe import ChunkIds
 from speechloom.llm.word_bpe import loaded as word_bpe
-from speechloom.llm.word_hash import WordTable
 
-#: Distinct chunks and words each Python worker keeps.
-CHUNKS_KEPT, WORDS_KEPT = 1_500_000, 750_000
 
-
-class FastIds:
+class FastIds(ChunkIds):
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.bpe = word_bpe(path)
-        assert max(self.bpe.id.values()) < 1 << 16
-        self.words = WordTable(WORDS_KEPT, self._encode_words)
-        self.chunks = WordTable(CHUNKS_KEPT, self._encode)
+        super().__init__(word_bpe(path), self._encode_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's merging by itself: what goes before it (normalising, splitting) is word_bpe's, and cheaper there."""
@@ -32,36 +26,6 @@ class FastIds:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum())), sizes
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        added = [(i, self.bpe.added[c]) for i, c in enumerate(chunks) if c in self.bpe.added]
-        if added:
-            chunks = list(chunks)
-            for i, _ in added:
-                chunks[i] = ""
-        split = self.bpe.split_all(chunks)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = " ".join(chain.from_iterable(split))
-        ids, sizes = self.words.runs(words) if words else (np.empty(0, np.uint16), np.empty(0, np.int64))
-        last = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        total = np.diff(last, prepend=0)
-        if added:
-            at = np.array([i for i, _ in added])
-            ids = np.insert(ids, last[at], [x for _, x in added])
-            total[at] = 1
-        return ids, total
-
-    def encode_batch(self, batch: list[str], end: int | None = None) -> list[np.ndarray]:
-        """The ids of each text, with the end id after them where given."""
-        plain = [" ".join(self.bpe.pieces(t)) for t in batch]
-        counts = np.array([t.count(" ") + 1 if t else 0 for t in plain])
-        some = [t for t in plain if t]
-        ids, sizes = self.chunks.runs(" ".join(some)) if some else (np.empty(0, np.uint16), np.empty(0, np.int64))
-        last = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        if end is not None:
-            ids = np.insert(ids, last, end)
-            last = last + np.arange(1, len(last) + 1)
-        return np.split(ids, last[:-1])
-
 
 _LOADED: dict[str, FastIds] = {}
 

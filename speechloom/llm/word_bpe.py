@@ -12,15 +12,18 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from speechloom.llm.common import Bounded, bound_batches, map_columns, texts
+from speechloom.llm.common import bound_batches, map_columns, texts
+from speechloom.llm.word_hash import WordTable
 
 #: Distinct chunks and words each Python worker keeps.
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 450_000, 250_000, 400_000
+CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 1_500_000, 750_000, 400_000
 
 END = "</w>"
 #: Without these, the standard library's view of letters, numbers and white space is the vocabulary's own.
@@ -127,20 +130,19 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.letters = {k: v for k, v in byte_letters().items() if chr(k) != v}
-        self.words = Bounded(WORDS_KEPT, self._encode_words)
-        self.chunks = Bounded(CHUNKS_KEPT, self._encode_chunks)
+        names = {**{i: t for t, i in self.id.items()}, **{i: t for t, i in self.added.items()}}
+        assert max(names) < 1 << 16
+        self.token = [names.get(i, "") for i in range(max(names) + 1)]
+        self.number = list(map(str, range(len(self.token))))
+        self.chunks = ChunkIds(self, self._word_ids)
 
     @staticmethod
     def lower(text: str) -> str:
         """NFC, then each character by itself in lower case (so no final sigma)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def split(self, chunk: str) -> list[str]:
-        low = self.lower(chunk)
-        return _LATIN.findall(low) if not _UNUSUAL.search(low) else self.pattern.findall(low)
-
     def split_all(self, chunks: list[str]) -> list[list[str]]:
-        """split() of each chunk; a space is no part of a chunk, and neither joins nor is joined in normalising."""
+        """The words of each chunk; a space is no part of a chunk, and neither joins nor is joined in normalising."""
         low = self.lower(" ".join(chunks))
         if not _UNUSUAL.search(low):
             return list(map(_LATIN.findall, low.split(" ")))
@@ -154,16 +156,10 @@ class WordBpe:
             out[i] = tokens
         return out
 
-    def _encode_chunks(self, chunks: list[str]) -> list[tuple[str, str]]:
-        """For each chunk its decimal ids and its tokens, each joined by spaces."""
-        split = [self.split(c) for c in chunks]
-        words = self.words.view(w for ws in split for w in ws)
-        out = []
-        for ws in split:
-            tokens = [t for w in ws for t in words[w]]
-            ids = self.id
-            out.append((" ".join([str(ids[t]) for t in tokens]), " ".join(tokens)))
-        return out
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, ids = self._encode_words(words), self.id
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((ids[t] for ts in found for t in ts), np.uint16, int(sizes.sum())), sizes
 
     def pieces(self, text: str) -> list[str]:
         """White-space chunks; added tokens stand alone, as they are found before anything is normalised."""
@@ -177,17 +173,48 @@ class WordBpe:
 
     def encode_batch(self, batch: list[str]) -> list[tuple[str, str]]:
         """For each text its decimal ids and its decoded text."""
-        split = [self.pieces(t) for t in batch]
-        distinct = set().union(*split)
-        special = distinct.intersection(self.added)
-        known = self.chunks.view(distinct - special)
-        if special:
-            known = {c: known[c] for c in distinct - special} | {c: (str(self.added[c]), c) for c in special}
-        out = []
-        for cs in split:
-            got = [p for p in map(known.__getitem__, cs) if p[0]]
-            out.append((" ".join([p[0] for p in got]), " ".join([p[1] for p in got])))
-        return out
+        number, token = self.number.__getitem__, self.token.__getitem__
+        found = (ids.tolist() for ids in self.chunks.encode_batch(batch))
+        return [(" ".join(map(number, ids)), " ".join(map(token, ids))) for ids in found]
+
+
+class ChunkIds:
+    """The ids of whole texts: each different chunk is looked up once a batch, and each word of chunks not seen yet once."""
+
+    def __init__(self, bpe: WordBpe, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chunks_kept: int = CHUNKS_KEPT, words_kept: int = WORDS_KEPT) -> None:
+        self.bpe = bpe
+        self.words = WordTable(words_kept, encode_words)
+        self.chunks = WordTable(chunks_kept, self._encode)
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        added = [(i, self.bpe.added[c]) for i, c in enumerate(chunks) if c in self.bpe.added]
+        if added:
+            chunks = list(chunks)
+            for i, _ in added:
+                chunks[i] = ""
+        split = self.bpe.split_all(chunks)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        words = " ".join(chain.from_iterable(split))
+        ids, sizes = self.words.runs(words) if words else (np.empty(0, np.uint16), np.empty(0, np.int64))
+        last = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        total = np.diff(last, prepend=0)
+        if added:
+            at = np.array([i for i, _ in added])
+            ids = np.insert(ids, last[at], [x for _, x in added])
+            total[at] = 1
+        return ids, total
+
+    def encode_batch(self, batch: list[str], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, with the end id after them where given."""
+        plain = [" ".join(self.bpe.pieces(t)) for t in batch]
+        counts = np.array([t.count(" ") + 1 if t else 0 for t in plain])
+        some = [t for t in plain if t]
+        ids, sizes = self.chunks.runs(" ".join(some)) if some else (np.empty(0, np.uint16), np.empty(0, np.int64))
+        last = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        if end is not None:
+            ids = np.insert(ids, last, end)
+            last = last + np.arange(1, len(last) + 1)
+        return np.split(ids, last[:-1])
 
 
 _LOADED: dict[str, WordBpe] = {}

@@ -76,7 +76,7 @@ def test_trie_of_words_of_any_length(library):
 
 def test_cache_limits_change_nothing():
     small = word_bpe.WordBpe(tokenizer(WORD))
-    small.chunks.limit = small.words.limit = 3
+    small.chunks.chunks.limit = small.chunks.words.limit = 3
     texts = ["one two three four", "five six one two", "three seven eight one"] * 2
     assert [small.encode_batch([t])[0] for t in texts] == word_bpe.loaded(tokenizer(WORD)).encode_batch(texts)
 
