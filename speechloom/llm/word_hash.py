@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * m) for m in (_M3, _M2)]
-_BASES = (_M2, _M1)
+_STEPS = (_M3, _M1)
 
 
 def word_ends(data: np.ndarray) -> np.ndarray:
@@ -27,7 +27,8 @@ def word_ends(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, kinds: int = 1) -> list[np.ndarray]:
-    """kinds (at most 2) independent 64-bit hashes of each word: sums of a number a letter, by its place in the word."""
+    """kinds (at most 2) independent 64-bit hashes of each word: sums of a number a letter and place. Letter and place are mixed
+    before they are added: sums of letters times powers are alike for whole families of words (of Thue and Morse, say)."""
     out = [np.empty(len(ends), np.uint64) for _ in range(kinds)]
     first = 0
     while first < len(ends):
@@ -38,9 +39,12 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, kinds: int = 1) -> list[np.n
         size = stop - starts
         place = np.arange(stop[-1] - begin) - np.repeat(starts - begin, size)
         letters = data[begin : stop[-1]]
-        for own, table, base in zip(out, _LETTERS, _BASES, strict=False):
-            powers = np.multiply.accumulate(np.full(int(size.max()), base))
-            own[first:last] = mix(np.add.reduceat(table[letters] * powers[place], starts - begin))
+        for own, table, step in zip(out, _LETTERS, _STEPS, strict=False):
+            x = table[letters]
+            x ^= mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64) * step)[place]
+            x *= _M2
+            x ^= x >> np.uint64(32)
+            own[first:last] = mix(np.add.reduceat(x, starts - begin))
         first = last
     return out
 
@@ -64,9 +68,12 @@ class WordTable:
         _, first, inverse = np.unique(names[0], return_index=True, return_inverse=True)
         distinct = names[:, first]
         if (distinct[1][inverse] != names[1]).any():
-            raise ValueError("two words of a batch have one 64-bit hash")
+            # Two words share their first hash: told apart by both.
+            _, first, inverse = np.unique(names, axis=1, return_index=True, return_inverse=True)
+            distinct = names[:, first]
         at = np.searchsorted(self.names[0], distinct[0])
         near = np.minimum(at, max(0, self.names.shape[1] - 1))
+        # Only the first word of a first hash is kept in the table; others are worked out anew.
         same = self.names[:, near] == distinct if self.names.shape[1] else np.zeros(distinct.shape, bool)
         held = same.all(0)
         begin, size = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
@@ -84,7 +91,7 @@ class WordTable:
                 self.pool = pool
             pool[self.used : self.used + len(more)] = more
             if self.names.shape[1] < self.limit:
-                keep = new[~same[0][new]]
+                keep = new[~same[0][new] & np.append(True, distinct[0][1:] != distinct[0][:-1])[new]]
                 self.names = np.insert(self.names, at[keep], distinct[:, keep], axis=1)
                 self.begin, self.size = np.insert(self.begin, at[keep], begin[keep]), np.insert(self.size, at[keep], size[keep])
                 self.used += len(more)
