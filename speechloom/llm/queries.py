@@ -77,6 +77,18 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.source_audit import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 #: Of records with equal payloads of at least 1000 bytes the largest page_id is the response.
 OP9_SQL = """
 WITH p AS (
@@ -92,6 +104,37 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM d
 """
 
+#: Every pair of sources over every kept term of their language, whether it occurs in them or not.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), lang_sum AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), dense AS (
+  SELECT g.lang, g.source, kept.term, lang_n, coalesce(c.n, 0) AS n
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (CAST(n AS HUGEINT) + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+         1 + (1000000000 * (CAST(lang_n AS HUGEINT) + 2)) // (CAST(lang_total AS HUGEINT) + 2 * v) AS q
+  FROM dense JOIN lang_sum USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), out AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM out
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,6 +148,8 @@ QUERIES: dict[str, Query] = {
         op8_icws_near_duplicates,
         op9_content_addressed_warc,
         op10_string_kernel_toxicity,
+        op11_source_audit,
+        op12_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL, "op11_source_audit": OP11_SQL}
