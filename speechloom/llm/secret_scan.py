@@ -56,7 +56,7 @@ ALLOWED = (
     re.compile(r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/_=-]+", re.IGNORECASE),
     re.compile(r"(?:https?|ftp)://[^\s\"'<>?]*", re.IGNORECASE),
     re.compile(r"[A-Za-z0-9+/_=-]*(?:EXAMPLE|PLACEHOLDER|abcdefghijklmnop|ABCDEFGHIJKLMNOP|0123456789)[A-Za-z0-9+/_=-]*"),
-    re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]++[a-z]++|[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+(?![0-9])|[/_-])++"),
+    re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Z][a-z]{2,}+|[a-z]{3,}+|(?:By|Id|In|Is|Of|On|To|Up)(?![a-z])|[0-9]{1,4}+(?![0-9])|[/_-])++"),
 )
 
 _UNIT = 1 << 32
