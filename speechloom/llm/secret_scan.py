@@ -55,10 +55,12 @@ ALLOWED = (
     re.compile(r"(?:sha(?:1|256|384|512)|md5|integrity)[\"']?\s*[-:=]\s*[\"']?(?:sha(?:256|384|512)-)?[A-Za-z0-9+/_=-]+", re.IGNORECASE),
     re.compile(r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/_=-]+", re.IGNORECASE),
     re.compile(r"(?:https?|ftp)://[^\s\"'<>?]*", re.IGNORECASE),
-    re.compile(r"[A-Za-z0-9+/_=-]*(?:EXAMPLE|PLACEHOLDER|abcdefghijklmnop|ABCDEFGHIJKLMNOP|0123456789)[A-Za-z0-9+/_=-]*"),
     re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Z][a-z]{2,}+|[a-z]{3,}+|(?:By|Id|In|Is|Of|On|To|Up)(?![a-z])|[0-9]{1,4}+(?![0-9])|[/_-])++"),
 )
 
+#: Harmless anywhere in a candidate.
+SAMPLES = re.compile("EXAMPLE|PLACEHOLDER|abcdefghijklmnop|ABCDEFGHIJKLMNOP|0123456789")
+
 _UNIT = 1 << 32
 _STEP = [0] * 4096
 _STEP[:] = [round(_UNIT * (c + 1) * math.log2(c + 1)) - (round(_UNIT * c * math.log2(c)) if c else 0) for c in range(len(_STEP))]
@@ -92,7 +94,7 @@ def random_windows(s: str, window: int, bits: float, groups: tuple[str, ...]) ->
 def allowed(text: str, start: int, end: int) -> bool:
     """Whether a candidate is of a kind on the allow list, by itself or with what precedes it."""
     seen = text[max(0, start - BEFORE) : end]
-    return any(m.end() == len(seen) for p in ALLOWED for m in p.finditer(seen))
+    return SAMPLES.search(text, start, end) is not None or any(m.end() == len(seen) for p in ALLOWED for m in p.finditer(seen))
 
 
 def base_spans(text: str, candidates: list[tuple[int, int]]) -> list[tuple[str, int, int]]:

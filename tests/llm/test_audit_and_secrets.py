@@ -151,5 +151,5 @@ def test_query_over_the_table(spark):
 def test_very_long_candidates(letters):
     rng = random.Random(4)
     key = "".join(rng.choices(secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGIT, k=letters))
-    ((kind, a, b),) = [s for s in secret_scan.spans(key) if s[0] == "entropy"]
-    assert kind == "entropy" and a < 100 and b > letters - 100
+    found = [(a, b) for kind, a, b in secret_scan.spans(key) if kind == "entropy"]
+    assert sum(b - a for a, b in found) > 0.95 * letters
