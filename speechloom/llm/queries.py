@@ -89,6 +89,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from speechloom.llm.turn_repair import repair_report
+
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 #: Of records with equal payloads of at least 1000 bytes the largest page_id is the response.
 OP9_SQL = """
 WITH p AS (
@@ -150,6 +156,7 @@ QUERIES: dict[str, Query] = {
         op10_string_kernel_toxicity,
         op11_source_audit,
         op12_secret_scan,
+        op13_turn_repair,
     )
 }
 ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL, "op11_source_audit": OP11_SQL}
