@@ -153,3 +153,38 @@ def noise_level_snr(level: Column) -> tuple[Column, Column]:
     """The range of signal-to-noise ratios (dB) of a noise level, held to 0..100."""
     low = F.lit(30.0) - F.lit(0.27) * F.greatest(F.lit(0.0), F.least(F.lit(100.0), level.cast("double")))
     return low, low + 5
+
+
+def written_with_counts(df: DataFrame, path: str, keep: Column, **counts: Column) -> dict[str, int]:
+    """Writes the rows to keep as Parquet, and gives the numbers of rows before and after, and of those that meet each further
+    condition, all of which the write itself counts."""
+    from pyspark.sql import Observation
+
+    seen, kept = Observation(), F.coalesce(keep, F.lit(False))
+    own = {"before": F.count(F.lit(1)), "after": F.count_if(kept), **{n: F.count_if(F.coalesce(c, F.lit(False))) for n, c in counts.items()}}
+    df.observe(seen, *[c.alias(n) for n, c in own.items()]).where(kept).write.parquet(path)
+    return seen.get
+
+
+# Where noise comes from, and the chain's chances and ranges.
+NOISE_KINDS = ("noise/free-sound", "noise/sound-bible", "speech/librivox", "music/jamendo")
+CHAIN = {"rate": (0.8, 0.8, 1.2), "semitones": (0.8, -4.0, 4.0), "cutoff": (0.5, 500.0, 4000.0), "gain_db": (0.5, -2.0, 2.0)}
+
+
+def augment_draws(df: DataFrame, key: str, noises: DataFrame, level: float = 50.0, seed: int = 42) -> DataFrame:
+    """The plan of a random chain for each row: (key, rate, semitones, cutoff, gain_db, kind, noise, snr_db).
+
+    Every number is drawn from an md5 sum of seed, its name and the key, so it is the same on any cluster; what isn't applied
+    is null. noises (kind, path): a kind is drawn first, each as likely as another, then a file of that kind by its place in
+    their order; a kind without files gives no noise. The listing must be small enough to be numbered a kind at a time.
+    """
+    at = lambda name: draw(f"{seed}|{name}", F.col(key))
+    between = lambda name, lo, hi: at(name) * (hi - lo) + lo
+    chain = [F.when(at(f"{n} applies") < p, between(n, lo, hi)).alias(n) for n, (p, lo, hi) in CHAIN.items()]
+    low, high = noise_level_snr(F.lit(level))
+    kind = F.get(F.array(*map(F.lit, NOISE_KINDS)), F.floor(at("kind") * len(NOISE_KINDS)).cast("int"))
+    plan = df.select(key, *chain, kind.alias("kind"), (at("snr") * (high - low) + low).alias("snr_db"), at("file").alias("_at"))
+    numbered_ = noises.withColumn("_i", F.row_number().over(Window.partitionBy("kind").orderBy("path")) - 1)
+    sizes = noises.groupBy("kind").agg(F.count("*").alias("_n"))
+    placed = plan.join(sizes, "kind", "left").withColumn("_i", F.floor(F.col("_at") * F.col("_n")).cast("int"))
+    return placed.join(numbered_.withColumnRenamed("path", "noise"), ["kind", "_i"], "left").select(key, *CHAIN, "kind", "noise", "snr_db")

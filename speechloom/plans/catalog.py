@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from speechloom.functions import similarity
 from speechloom.functions.expr import tokens
 from speechloom.functions.numbers import int_to_words, protected_number_words
-from speechloom.operators import audio, checks, dataset, ladders, normalise, polish, review, series
+from speechloom.operators import audio, checks, dataset, ladders, normalise, ordered, polish, review, series
 from speechloom.plans import paths
 from speechloom.sources import diarization, files
 
@@ -531,8 +531,9 @@ def histogram_peaks(spark, sf_dir):
 
 @query
 def value_percentiles(spark, sf_dir):
-    p = lambda q: F.bround(F.percentile("value", q), 6)
-    return signal(spark, sf_dir).groupBy("event_type").agg(p(0.1).alias("p10"), p(0.25).alias("p25"), p(0.35).alias("p35"), p(0.5).alias("p50"), F.bround(F.stddev_pop("value"), 4).alias("sd"))
+    rows, shares = signal(spark, sf_dir), {"p10": 0.1, "p25": 0.25, "p35": 0.35, "p50": 0.5}
+    found = ordered.percentiles(rows, "event_type", "value", shares).select("event_type", *[F.bround(n, 6).alias(n) for n in shares])
+    return found.join(rows.groupBy("event_type").agg(F.bround(F.stddev_pop("value"), 4).alias("sd")), "event_type")
 
 
 @query

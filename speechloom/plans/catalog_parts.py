@@ -11,6 +11,7 @@ from speechloom.plans import catalog, paths
 from speechloom.plans.catalog import Query, recordings, results, segments, table
 from speechloom.plans.catalog_sql import INJ, KEEP, RESULTS, SP, W, blank, fname, rewrite, strip, toks, words
 from speechloom.sources import files
+from speechloom.sources.shared import scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -333,8 +334,10 @@ def good_json_lines(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (l >= 3 AND l <= 100) AS kept, count(*) FILTER (l < 3) AS short FROM (SELECT n_chars / 16.0 AS l FROM documents)")
 def observed_counts(spark, sf_dir):
+    """Counted by the write of what is kept."""
     rows = recordings(spark, sf_dir)
-    return rows.agg(F.count_if(F.col("duration").between(3, 100)).alias("kept"), F.count_if(F.col("duration") < 3).alias("short"))
+    seen = dataset.written_with_counts(rows, scratch(spark, "kept"), F.col("duration").between(3, 100), short=F.col("duration") < 3)
+    return spark.createDataFrame([(seen["after"], seen["short"])], "kept long, short long")
 
 
 @query(

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from speechloom.functions.expr import strip
 from speechloom.operators.ladders import is_non_latin, is_trash
+from speechloom.sources.json_ranges import json_records
 
 TURN = "struct<start:double,end:double,text:string,speaker:string>"
 RECORD = f"struct<id:string,audio_url:string,diarization:array<{TURN}>,duration:double>"
 
 
 def read_json(spark, path: str) -> DataFrame:
-    """Records of whole JSON files whose root is a list or one object: (ordinal, id, audio_url, diarization, duration)."""
-    files = spark.read.text(path, wholetext=True)
-    listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
-    return files.select(F.posexplode(F.from_json(listed, f"array<{RECORD}>")).alias("ordinal", "r")).select("ordinal", "r.*")
+    """Records of JSON files whose root is a list or one object, read by byte range: (ordinal, id, audio_url, diarization,
+    duration). ordinal counts over all files, so records without an id get names of their own."""
+    r = F.from_json("record", RECORD)
+    return json_records(spark, path).select(F.col("number").alias("ordinal"), r.alias("r")).select("ordinal", "r.*")
 
 
 def record_id(given: Column, ordinal: Column) -> Column:

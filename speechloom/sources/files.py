@@ -9,6 +9,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechloom.sources.json_ranges import json_records, numbered_lines, strict_rows  # noqa: F401
+
 # Audio file name endings; fields of a record that may hold its address, in this order; parts of dataset addresses.
 AUDIO_ENDINGS = ["wav", "mp3", "ogg", "flac", "m4a"]
 URL_FIELDS = ["url", "audio_url", "link", "audio", "path"]
@@ -39,12 +41,6 @@ def parsed_lines(df: DataFrame, line: str, schema: str, strict: bool = False) ->
     return rows.where("_row._bad IS NULL").select("_row.*").drop("_bad")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line and number (from 1) of a text file, which is read as a whole by one task: for error messages of small files."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select((F.col("at") + 1).alias("number"), "line").where("line <> ''")
-
-
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -70,6 +66,12 @@ def records_of(document: Column) -> Column:
     return F.from_json(items, "array<string>")
 
 
+def read_url_lists(spark: SparkSession, path: str, first: str = "url") -> DataFrame:
+    """(file, number, url, record) of JSON files that list records with addresses, read by byte range: the list is the root, or
+    the first member of the root that is one; an object without a list is one record."""
+    return json_records(spark, path, members=True).select("file", "number", url_of(F.col("record"), first).alias("url"), "record")
+
+
 def inside(base: str, path: str) -> bool:
     """Whether a path, with links and dots resolved, is a folder or something in it."""
     base, path = (os.path.realpath(os.path.expanduser(p)) for p in (base, path))

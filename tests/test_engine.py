@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from speechloom.operators import audio, checks, dataset, review, series
-from speechloom.plans import catalog, catalog_parts, catalog_sql, paths
+from speechloom.plans import catalog, catalog_parts, catalog_scale, catalog_sources, catalog_sql, paths
 from speechloom.sources import diarization, files
 from speechloom.streaming.incremental import incremental
 
@@ -32,11 +32,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog_sql.ORACLES | catalog_parts.ORACLES))
+ORACLES = catalog_sql.ORACLES | catalog_parts.ORACLES | catalog_sources.ORACLES | catalog_scale.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
-    other = duck.execute((catalog_sql.ORACLES | catalog_parts.ORACLES)[name])
+    other = duck.execute(ORACLES[name])
     names = [d[0] for d in other.description]
     assert sorted(names) == columns
     rows = [[r[names.index(c)] for c in columns] for r in other.fetchall()]
