@@ -95,7 +95,7 @@ def _sorted(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 def numbered_by(df: DataFrame, *order: Column, to: str = "position") -> DataFrame:
     """Numbers all rows from 0 in an order, without gaps. Rows are dealt out and sorted by range, and written with their place
     in their task; running sums of the tasks' counts, a row a task, give the rest."""
-    placed = df.withColumn("_order", F.struct(*order)).repartitionByRange("_order").sortWithinPartitions("_order").drop("_order")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     rows = written(placed.select("*", F.spark_partition_id().alias("_task"), at.alias("_at")), "numbered")
     counts = rows.groupBy("_task").agg(F.count("*").alias("n"))
