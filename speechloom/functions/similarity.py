@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,36 +43,6 @@ def clean_tokens(words: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.lower(F.regexp_replace(w, TOKEN_MARKS, ""))), lambda w: w != "")
 
 
-def lcs_ratio(a: Column, b: Column) -> Column:
-    """Longest common subsequence over the longer length: one fold over a, each step a fold along b."""
-
-    def step(row: Column, x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("diag"), F.array(F.lit(0)).alias("row"))
-
-        def cell(acc: Column, j: Column) -> Column:
-            above, left = F.get(row, j + 1), F.element_at(acc["row"], -1)
-            value = F.when(F.get(b, j) == x, acc["diag"] + 1).otherwise(F.greatest(above, left))
-            return F.struct(above.alias("diag"), F.concat(acc["row"], F.array(value)).alias("row"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, cell)["row"]
-
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), step)
-    longest = F.greatest(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.element_at(table, -1) / longest)
-
-
-def run_ratio(a: Column, b: Column) -> Column:
-    """Longest run of equal tokens side by side, over the longer length."""
-
-    def step(state: Column, x: Column) -> Column:
-        row = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda j: F.when(F.get(b, j) == x, F.when(j == 0, 0).otherwise(F.get(state["row"], j - 1)) + 1).otherwise(0))
-        return let(row, lambda r: F.struct(F.greatest(state["best"], F.array_max(r)).alias("best"), r.alias("row")))
-
-    start = F.struct(F.lit(0).alias("best"), F.array_repeat(F.lit(0), F.size(b)).alias("row"))
-    best = F.aggregate(a, start, step)["best"]
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(best / F.greatest(F.size(a), F.size(b)))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
@@ -92,17 +61,53 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def run_length(a: list[str], b: list[str]) -> int:
-    """Longest run of equal tokens side by side."""
-    code: dict[str, int] = {}
-    x = np.array([code.setdefault(t, len(code)) for t in a])
-    y = np.array([code.setdefault(t, len(code)) for t in b])
-    best, row = 0, np.zeros(len(y) + 1, np.int64)
-    for t in x:
-        row[1:] = np.where(y == t, row[:-1] + 1, 0)
-        best = max(best, int(row.max()))
+    """Longest run of equal tokens side by side: b read by the automaton of all runs of a, in time that grows with both lengths."""
+    # State 0 is the empty run; of each state: the next one by token, the state of its longest shorter ending, its length.
+    follow: list[dict[str, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for t in a:
+        now, at = len(follow), last
+        follow.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while at >= 0 and t not in follow[at]:
+            follow[at][t] = now
+            at = link[at]
+        if at >= 0:
+            to = follow[at][t]
+            if size[to] == size[at] + 1:
+                link[now] = to
+            else:
+                copy = len(follow)
+                follow.append(follow[to].copy())
+                link.append(link[to])
+                size.append(size[at] + 1)
+                while at >= 0 and follow[at].get(t) == to:
+                    follow[at][t] = copy
+                    at = link[at]
+                link[to] = link[now] = copy
+        last = now
+    best = state = length = 0
+    for t in b:
+        while state and t not in follow[state]:
+            state = link[state]
+            length = size[state]
+        if t in follow[state]:
+            state, length = follow[state][t], length + 1
+        best = max(best, length)
     return best
 
 
+def run_ratio(a: Column, b: Column) -> Column:
+    """Longest run of equal tokens over the longer length, of whole texts, in Arrow batches; 0 where one has no token."""
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([run_length(list(x), list(y)) / max(len(x), len(y)) if len(x) and len(y) else 0.0 for x, y in zip(a, b, strict=True)])
+
+    empty = F.array().cast("array<string>")
+    return F.pandas_udf(ratio, "double")(F.coalesce(a, empty), F.coalesce(b, empty))
+
+
 def order_ratios(a: Column, b: Column) -> Column:
     """lcs_ratio and run_ratio (lcs, run) of whole texts, in Arrow batches."""
 

@@ -48,6 +48,10 @@ def schema_issues(df: DataFrame) -> DataFrame:
     return counts.withColumn("passed", hard == 0)
 
 
+# Fixed value: the statuses of rows whose audio is compared with its source.
+CHECKED = ("augmented", "skip_prob", "skip_long", "failed")
+
+
 def looks_unmodified(rms_in: Column, rms_out: Column, n_in: Column, n_out: Column, tolerance: float = 0.001) -> Column:
     """Equal lengths, and energies that are both nothing or differ by no more than a share of tolerance."""
     quiet = (rms_in < 1e-6) & (rms_out < 1e-6)
@@ -56,13 +60,22 @@ def looks_unmodified(rms_in: Column, rms_out: Column, n_in: Column, n_out: Colum
 
 
 def audio_changed(pairs: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """pairs: aug_status, rms_in, rms_out, n_in, n_out (null in: no source). Augmented rows must differ from their source."""
+    """pairs: aug_status, rms_in, rms_out, n_in, n_out, and found (whether there is a source; without that column, rms_in tells).
+    Augmented rows must differ from their source; failed ones must not, in the main; skipped ones are counted alone. A pair
+    with a source but without energies couldn't be decoded."""
+    rows = pairs.where(F.col("aug_status").isin(*CHECKED))
+    found = F.col("found") if "found" in pairs.columns else F.col("rms_in").isNotNull()
+    read = found & F.col("rms_in").isNotNull() & F.col("rms_out").isNotNull()
     same = looks_unmodified(F.col("rms_in"), F.col("rms_out"), F.col("n_in"), F.col("n_out"), tolerance)
-    counts = pairs.agg(
-        count_if(F.col("rms_in").isNull()).alias("missing"),
-        count_if(same & (F.col("aug_status") == "augmented")).alias("augmented_unmodified"),
-        count_if(F.col("rms_in").isNotNull() & (F.col("aug_status") == "failed")).alias("failed_checked"),
-        count_if(~same & (F.col("aug_status") == "failed")).alias("failed_modified"),
+    is_ = lambda *s: F.col("aug_status").isin(*s)
+    counts = rows.agg(
+        count_if(~found).alias("missing"),
+        count_if(found & ~read).alias("decode_errors"),
+        count_if(read & is_("augmented")).alias("augmented_checked"),
+        count_if(read & same & is_("augmented")).alias("augmented_unmodified"),
+        count_if(read & is_("skip_prob", "skip_long")).alias("skip_checked"),
+        count_if(read & is_("failed")).alias("failed_checked"),
+        count_if(read & ~same & is_("failed")).alias("failed_modified"),
     )
     share = F.coalesce(F.try_divide(F.col("failed_modified"), F.col("failed_checked")), F.lit(0.0))
     critical = (F.col("failed_checked") >= 5) & (share > 0.5)
@@ -126,16 +139,19 @@ def decodes(df: DataFrame, audio: str = "content", key: str = "file_name", named
 
 
 def changed_sample(inputs: DataFrame, outputs: DataFrame, rows: int = 200, seed: int = 0, audio: str = "content", key: str = "file_name") -> DataFrame:
-    """What audio_changed checks, from recordings: a fixed sample of output rows (augmented and failed ones), each with the
-    input of its name without prefix; energy and length of both, null where an input is missing or can't be read."""
+    """What audio_changed checks, from recordings: a fixed sample of all output rows, of which those that can be checked stay,
+    each with the input of its name without prefix: whether it is there (found), energy and length of both, null where they
+    can't be read."""
     from speechloom.operators.audio import measured
     from speechloom.operators.dataset import shuffled_head
     from speechloom.sources.files import stem, without_prefix
 
-    chosen = shuffled_head(outputs.where("aug_status IN ('augmented', 'failed')").select(key, "aug_status", audio), key, rows, seed)
+    chosen = shuffled_head(outputs.select(key, "aug_status", audio), key, rows, seed).where(F.col("aug_status").isin(*CHECKED))
     base = lambda c: stem(without_prefix(F.substring_index(c, "/", -1)))
-    out = measured(chosen, audio).select(base(F.col(key)).alias("_base"), "aug_status", F.col("rms").alias("rms_out"), F.col("samples").alias("n_out"))
+    read = (F.col("snr_score") >= 0) | (F.col("samples") > 0)
+    levels = lambda side: [F.when(read, F.col("rms")).alias(f"rms_{side}"), F.when(read, F.col("samples")).alias(f"n_{side}")]
+    out = measured(chosen, audio).select(base(F.col(key)).alias("_base"), "aug_status", *levels("out"))
     wanted = out.select("_base").distinct()
     held = inputs.withColumn("_base", base(F.col(key))).join(F.broadcast(wanted), "_base", "left_semi").dropDuplicates(["_base"])
-    read = measured(held.select("_base", audio), audio).where("snr_score >= 0 OR samples > 0").select("_base", F.col("rms").alias("rms_in"), F.col("samples").alias("n_in"))
-    return out.join(read, "_base", "left").select("aug_status", "rms_in", "rms_out", "n_in", "n_out")
+    source = measured(held.select("_base", audio), audio).select("_base", *levels("in"), F.lit(True).alias("found"))
+    return out.join(source, "_base", "left").select("aug_status", F.coalesce("found", F.lit(False)).alias("found"), "rms_in", "rms_out", "n_in", "n_out")

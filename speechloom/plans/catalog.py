@@ -416,7 +416,7 @@ def schema_check(spark, sf_dir):
 def audio_changed_check(spark, sf_dir):
     i = F.col("doc_id")
     rms = (F.lit(1.0) + i % 16) / 16
-    rows = aug_plan(spark, sf_dir).where("aug_status IN ('augmented', 'failed')").select("aug_status", F.when(i % 11 != 0, rms).alias("rms_in"), F.when(i % 4 == 0, rms).otherwise(rms * 2).alias("rms_out"), F.lit(100).alias("n_in"), F.when(i % 8 == 0, 99).otherwise(100).alias("n_out"))
+    rows = aug_plan(spark, sf_dir).select("aug_status", (i % 11 != 0).alias("found"), F.when((i % 11 != 0) & (i % 23 != 1), rms).alias("rms_in"), F.when(i % 4 == 0, rms).otherwise(rms * 2).alias("rms_out"), F.lit(100).alias("n_in"), F.when(i % 8 == 0, 99).otherwise(100).alias("n_out"))
     return checks.audio_changed(rows)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from speechloom.operators import clusters, dataset, ordered
-from speechloom.plans.catalog import Query, table
+from speechloom.functions import similarity
+from speechloom.operators import clusters, dataset, ordered, spans
+from speechloom.plans.catalog import Query, pairs, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,35 @@ def augment_draws(spark, sf_dir):
     noises = table(spark, sf_dir, "pages").select(kind.alias("kind"), F.col("url").alias("path"))
     plan = dataset.augment_draws(table(spark, sf_dir, "documents"), "doc_id", noises)
     return plan.select("doc_id", *[F.bround(c, 6).alias(c) for c in dataset.CHAIN], "kind", "noise", F.bround("snr_db", 6).alias("snr_db"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0b\x0c\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda t: t <> '') AS a FROM documents),
+      p AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN a WHEN 1 THEN list_reverse(a) WHEN 2 THEN a[3:] ELSE a[:5] || ['besh'] || a[7:] END AS b FROM w),
+      x AS (SELECT doc_id, unnest(a) AS t, unnest(range(len(a))) AS i FROM p), y AS (SELECT doc_id, unnest(b) AS t, unnest(range(len(b))) AS j FROM p),
+      cells AS (SELECT doc_id, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, i - j ORDER BY i) AS run FROM x JOIN y USING (doc_id, t)),
+      best AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM cells GROUP BY doc_id, diagonal, run) GROUP BY 1)
+      SELECT p.doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE round_even(coalesce(n, 0) / greatest(len(a), len(b))::DOUBLE, 6) END AS run FROM p LEFT JOIN best ON p.doc_id = best.doc_id"""
+)
+def longest_runs(spark, sf_dir):
+    """The longest run that each document has in common with a changed form of it, over whole texts."""
+    return pairs(spark, sf_dir).select("doc_id", F.bround(similarity.run_ratio(F.col("a"), F.col("b")), 6).alias("run"))
+
+
+LOUD, SILENCE, KEEP, SHORTEST, LONGEST = 30.0, 40, 8, 60, 600
+
+
+@query(
+    f"""WITH m AS (SELECT event_type, max(event_id) + 1 AS frames FROM events GROUP BY 1),
+      l AS (SELECT event_type, event_id, CASE WHEN event_id - lag(event_id) OVER w - 1 < {SILENCE} THEN 0 ELSE 1 END AS new FROM events WHERE value >= {LOUD} WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+      r AS (SELECT event_type, event_id, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM l),
+      s AS (SELECT m.event_type, frames, greatest(min(event_id) - {KEEP}, 0) AS b, least(max(event_id) + 1 + {KEEP}, frames) AS e FROM r JOIN m ON m.event_type = r.event_type GROUP BY m.event_type, frames, run),
+      c AS (SELECT event_type, e, unnest(range(b, e, {LONGEST})) AS b FROM s WHERE frames > {LONGEST}),
+      k AS (SELECT event_type, b AS "begin", least(e, b + {LONGEST}) AS "end" FROM c WHERE least(e, b + {LONGEST}) - b >= {SHORTEST} UNION ALL SELECT event_type, 0, frames FROM m WHERE frames BETWEEN {SHORTEST} AND {LONGEST})
+      SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY "begin") AS INTEGER) AS segment, "begin", "end" FROM k"""
+)
+def speech_segments(spark, sf_dir):
+    """Events as frames (their ids) of one recording a type, their values as levels."""
+    levels = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    found = spans.speech(levels, "event_type", "event_id", F.col("value") >= LOUD, SILENCE, KEEP)
+    return spans.segments(found, "event_type", SHORTEST, LONGEST)

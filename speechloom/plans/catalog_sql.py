@@ -156,10 +156,12 @@ PLAN = """plan AS (
 )"""
 
 CHANGED = """pairs AS (
-  SELECT aug_status, CASE WHEN doc_id % 11 <> 0 THEN (1.0 + doc_id % 16) / 16 END AS rin, (1.0 + doc_id % 16) / 16 * CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END AS rout,
-    CASE WHEN doc_id % 8 = 0 THEN 99 ELSE 100 END AS n_out FROM plan WHERE aug_status IN ('augmented', 'failed')
+  SELECT aug_status, doc_id % 11 <> 0 AS found, CASE WHEN doc_id % 11 <> 0 AND doc_id % 23 <> 1 THEN (1.0 + doc_id % 16) / 16 END AS rin, (1.0 + doc_id % 16) / 16 * CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END AS rout,
+    CASE WHEN doc_id % 8 = 0 THEN 99 ELSE 100 END AS n_out FROM plan WHERE aug_status <> 'invalid_input'
 ), changed AS (
-  SELECT count(*) FILTER (rin IS NULL) AS missing, count(*) FILTER (aug_status = 'augmented' AND rin = rout AND n_out = 100) AS augmented_unmodified,
+  SELECT count(*) FILTER (NOT found) AS missing, count(*) FILTER (found AND rin IS NULL) AS decode_errors,
+    count(*) FILTER (aug_status = 'augmented' AND rin IS NOT NULL) AS augmented_checked, count(*) FILTER (aug_status = 'augmented' AND rin = rout AND n_out = 100) AS augmented_unmodified,
+    count(*) FILTER (aug_status IN ('skip_prob', 'skip_long') AND rin IS NOT NULL) AS skip_checked,
     count(*) FILTER (aug_status = 'failed' AND rin IS NOT NULL) AS failed_checked, count(*) FILTER (aug_status = 'failed' AND rin IS NOT NULL AND NOT (rin = rout AND n_out = 100)
       ) AS failed_modified FROM pairs
 ), changed_check AS (

@@ -103,7 +103,10 @@ def test_augmentation_repeats_and_marks_failures(spark):
     assert [r.aug_status for r in one] == ["augmented", "failed", "skip_prob"] and one[0].content != wav and one[2].content == wav
     changed = checks.changed_sample(rows.withColumn("aug_status", F.lit("x")), augment.augment(rows, [wav]).withColumn("file_name", F.concat(F.lit("augmented_"), "file_name")))
     got = checks.audio_changed(changed).first()
-    assert got.passed and got.missing == 1 and got.augmented_unmodified == 0
+    # b.wav has a source that can't be decoded; c.wav was left as it is.
+    assert got.passed and (got.missing, got.decode_errors, got.augmented_checked, got.skip_checked, got.augmented_unmodified) == (0, 1, 1, 1, 0)
+    lone = checks.audio_changed(checks.changed_sample(rows.where("file_name = 'x'"), rows)).first()
+    assert lone.missing == 3 and lone.passed
 
 
 def test_features_and_their_guard(spark):

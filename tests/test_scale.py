@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.operators import clusters, dataset, graph, ordered
+from speechloom.functions import prompts
+from speechloom.operators import clusters, dataset, graph, ordered, spans
 
 
 def test_percentiles_against_numpy(spark):
@@ -152,3 +153,46 @@ def test_draws_of_a_chain(spark):
         some = [r[name] for r in rows if r[name] is not None]
         assert abs(len(some) / 8000 - p) < 0.03 and lo <= min(some) and max(some) <= hi and abs(np.mean(some) - (lo + hi) / 2) < 0.03 * (hi - lo)
     assert all(30 <= r.snr_db <= 35 for r in rows)
+
+
+def plain_segments(levels, loud, silence, keep, shortest, longest):
+    frames = max(levels) + 1
+    if frames < shortest:
+        return []
+    if frames <= longest:
+        return [(0, frames)]
+    spans = []
+    for i in sorted(i for i, v in levels.items() if v is not None and v >= loud):
+        if spans and i - spans[-1][1] < silence:
+            spans[-1][1] = i + 1
+        else:
+            spans.append([i, i + 1])
+    out = []
+    for b, e in spans:
+        b, e = max(0, b - keep), min(frames, e + keep)
+        out += [(x, min(e, x + longest)) for x in range(b, e, longest) if min(e, x + longest) - x >= shortest]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 16])
+def test_segments_of_frame_tables(spark, chunk):
+    rng = random.Random(6)
+    series = {"short": {i: 1.0 for i in range(5)}, "middling": {i: rng.choice([0.0, 1.0]) for i in range(60)}, "silent": {i: 0.0 for i in range(300)}, None: {i: 1.0 for i in range(250)}}
+    series["long"] = {i: (1.0 if (i // rng.choice([20, 37])) % 3 else 0.0) for i in range(3000)}
+    series["gaps"] = {i: rng.choice([None, 0.0, 1.0]) for i in range(2000) if i % 300 < 150}
+    rows = [(s, i, v, 1) for s, own in series.items() for i, v in own.items()]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, at long, v double, begin int")
+    got = spans.segments(spans.speech(df, "s", "at", F.col("v") >= 0.5, 12, 3, chunk), "s", 20, 100).collect()
+    for s, own in series.items():
+        mine = sorted((r.segment, r.begin, r.end) for r in got if r.s == s)
+        assert mine == [(n, *p) for n, p in enumerate(plain_segments(own, 0.5, 12, 3, 20, 100), 1)]
+
+
+def test_prompts(spark):
+    plain = prompts.transcribing()
+    fewer = prompts.transcribing(prompts.Transcribing(capitals=False, latin_only=False))
+    assert len(plain.split("\n")) == 8 and len(fewer.split("\n")) == 6 and prompts.UNCLEAR in fewer
+    df = spark.createDataFrame([("salom",), (None,)], "t string")
+    texts = [r.p for r in df.select(prompts.correcting(F.col("t"), prompts.Correcting(spelling=False, russian_in_latin=True)).alias("p")).collect()]
+    assert texts[0].endswith("Text: salom") and texts[1].endswith("Text: ") and texts[0].count("\n- ") == 3

@@ -1,5 +1,6 @@
 """Golden vectors and small independent specifications of the text operators."""
 
+import random
 import re
 
 import pytest
@@ -62,13 +63,28 @@ def test_lcs_and_run_vectors(spark):
     cases = [("a b c d e", "a b c d e", 1.0, 1.0), ("a b c d e", "e d c b a", 0.2, 0.2), ("a b c d e", "a b e d c", 0.6, 0.4), ("a b c d", "d c b a", 0.25, 0.25), ("a", "", 0.0, 0.0)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, lcs double, run double")
     a, b = expr.tokens(F.col("a")), expr.tokens(F.col("b"))
-    for r in rows.select("lcs", "run", similarity.lcs_ratio(a, b).alias("x"), similarity.run_ratio(a, b).alias("y"), a.alias("a"), b.alias("b")).collect():
-        assert (r.x, r.y) == (r.lcs, r.run)
+    for r in rows.select("lcs", "run", similarity.order_ratios(a, b).alias("x"), similarity.run_ratio(a, b).alias("y"), a.alias("a"), b.alias("b")).collect():
+        assert (r.x.lcs, r.x.run, r.y) == (r.lcs, r.run, r.run)
         if r.a and r.b:
             longest = max(len(r.a), len(r.b))
             assert similarity.lcs_length(r.a, r.b) / longest == r.lcs and similarity.run_length(r.a, r.b) / longest == r.run
 
 
+def test_runs_against_every_start():
+    rng = random.Random(0)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        best = max((j - i for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs), default=0)
+        assert similarity.run_length(a, b) == best
+
+
+def test_runs_of_long_texts():
+    words = [f"w{i % 977}" for i in range(60_000)]
+    assert similarity.run_length(words, words[7:] + ["x"]) == len(words) - 7
+    assert similarity.run_length(["a"] * 60_000, ["a"] * 50_000 + ["b"] * 10_000) == 50_000
+
+
 def test_dedup_half(spark):
     cases = {"A B C D E. A B C D E.": "A B C D E.", "A B C D E. E D C B A.": "A B C D E. E D C B A.", "A B C D E. A B E D C.": "A B C D E. A B E D C.", "a b c a b c": "a b c a b c", "": ""}
     assert column(spark, list(cases), similarity.dedup_half) == list(cases.values())
