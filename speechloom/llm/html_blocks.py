@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, their and their neighbours' word counts and link densities, a decision tree.
 
 The page is read once, as a run of tags and texts; no document tree is built. A block is the text between two block-level
-tags. Besides the counts, a block has the elements around it (an article, navigation, a form), and whether a name around it
-is one of surroundings; the tree is trained on a labelled table in which such names are missing, or mislead, often enough
-that it goes by the neighbours too.
+tags; a link counts for all blocks it reaches over. Besides the counts, a block has the elements around it (an article,
+navigation, a form), whether a name around it is one of surroundings, and whether it is one that hardly anything else has; the
+tree is trained on a labelled table in which such names are missing, or (but for the last) mislead, often enough that it goes
+by the neighbours too.
 """
 
 from __future__ import annotations
@@ -36,25 +37,30 @@ BOILERPLATE_NAMES = frozenset(
     " sponsor sponsored subscribe subscription taboola toc toolbar topbar tracking widget widgets alert".split()
 )
 WHOLE_NAMES = frozenset("ad ads advert advertisement banner comments comment-list cookie-notice cookies footer hidden menu nav navbar navigation newsletter pagination popup promo related replies share sharing sidebar social sponsored toolbar".split())
+#: Parts of names that tell surroundings wherever they stand.
+SURE_NAMES = frozenset("ads advert adverts advertisement breadcrumb breadcrumbs comments consent cookie cookies disqus gdpr navbar newsletter outbrain paywall replies sidebar sponsored taboola".split())
+PLAIN, NAMED, SURE = 0, 1, 2
 
 
 class Block:
     __slots__ = ("apart", "heading", "inside", "item", "linked", "named", "text", "words")
 
-    def __init__(self, text: str, linked: int, apart: bool, named: bool, inside: bool, heading: bool, item: bool) -> None:
+    def __init__(self, text: str, linked: int, apart: bool, named: int, inside: bool, heading: bool, item: bool) -> None:
         self.text, self.words = text, text.count(" ") + 1
         self.linked = min(linked, self.words)
         self.apart, self.named, self.inside, self.heading, self.item = apart, named, inside, heading, item
 
 
-def named_apart(attributes: str, inside: bool) -> bool:
-    """Whether a class, id or role is a name of surroundings."""
+def named_apart(attributes: str, inside: bool) -> int:
+    """Whether a class, id or role is a name of surroundings, or surely one."""
     if "=" not in attributes:
-        return False
+        return PLAIN
     values = [(m[1] or m[2] or m[3] or "") for m in _ATTRIBUTE.finditer(attributes)]
-    if inside:
-        return any(w.lower() in WHOLE_NAMES for v in values for w in v.split())
-    return any(w.lower() in BOILERPLATE_NAMES for v in values for w in _WORD_PART.split(v))
+    parts = [w.lower() for v in values for w in _WORD_PART.split(v)]
+    if not SURE_NAMES.isdisjoint(parts):
+        return SURE
+    some = any(w.lower() in WHOLE_NAMES for v in values for w in v.split()) if inside else not BOILERPLATE_NAMES.isdisjoint(parts)
+    return NAMED if some else PLAIN
 
 
 def blocks(page: str) -> list[Block]:
@@ -62,8 +68,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, block_tag = 0, False, ""
-    #: Open elements: (tag, in one of surroundings, in one named so, in an article).
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    #: Whether the open link has an end; one without ends with its block.
+    ends, last_end = False, page.lower().rfind("</a")
+    #: Open elements: (tag, in one of surroundings, how surely named so, in an article).
+    stack: list[tuple[str, bool, int, bool]] = [("", False, PLAIN, False)]
 
     def close_block() -> None:
         nonlocal linked
@@ -95,14 +103,14 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else n
             continue
         if tag == "a":
-            in_link = not closing
+            in_link, ends = not closing, at <= last_end
             continue
         if tag in ("br", "wbr", "img", "input"):
             if tag == "br":
                 parts.append(" ")
             continue
         _, apart, name, inside = stack[-1]
-        named = not closing and tag not in ("body", "html") and named_apart(m[3], inside)
+        named = PLAIN if closing or tag in ("body", "html") else named_apart(m[3], inside)
         if tag in INLINE and not named:
             if closing and any(t == tag for t, *_ in stack[-3:]):
                 close_block()
@@ -111,7 +119,7 @@ def blocks(page: str) -> list[Block]:
             continue
         close_block()
         block_tag = "" if closing else tag
-        in_link = False
+        in_link = in_link and ends
         if tag in VOID:
             continue
         if closing:
@@ -123,13 +131,13 @@ def blocks(page: str) -> list[Block]:
         own = tag in BOILERPLATE_TAGS or tag == "header" and not inside
         opens = tag in ("article", "main")
         if own or named or opens or tag in ("div", "section", "header", "ul", "ol", "table", "td", "body", "html", "blockquote"):
-            stack.append((tag, apart or own, name or named, inside or opens))
+            stack.append((tag, apart or own, max(name, named), inside or opens))
     close_block()
     return out
 
 
 #: What the numbers of a block are, in their order.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "named", "inside", "page_has_article", "heading", "item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "named", "surely", "inside", "page_has_article", "heading", "item")
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -137,7 +145,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     base = [(float(b.words), b.linked / b.words) for b in found]
     around = [(0.0, 0.0), *base, (0.0, 0.0)]
     article = float(any(b.inside for b in found))
-    return [(*around[i + 1], *around[i], *around[i + 2], float(b.apart), float(b.named), float(b.inside), article, float(b.heading), float(b.item)) for i, b in enumerate(found)]
+    return [(*around[i + 1], *around[i], *around[i + 2], float(b.apart), float(b.named > PLAIN), float(b.named == SURE), float(b.inside), article, float(b.heading), float(b.item)) for i, b in enumerate(found)]
 
 
 def labelled(pages: list[str]) -> tuple[list[tuple[float, ...]], list[int]]:

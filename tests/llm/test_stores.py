@@ -321,3 +321,35 @@ def test_ties_at_the_border_go_to_smaller_ids(spark, factor):
         rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
         ties = sorted((r.query_id, r.rank, r.vec_id) for r in vp_tree.nearest(rows, 500, 20, factor=1.0, shard=400).collect())
         assert ties == brute(x, np.arange(1000), 500, 20)
+
+
+def words(n, word):
+    return " ".join([word] * n)
+
+
+#: Pages of other forms than the labelled ones: what is kept of each.
+FORMS = {
+    "linked paragraph": (f"<article><p>{words(44, 'a')}</p><p><a href=x>{words(7, 'b')}</a></p><p>{words(44, 'c')}</p></article>", [words(44, "a"), words(7, "b"), words(44, "c")]),
+    "linked heading": (f"<main><article><h2><a>First story</a></h2><p>{words(44, 'a')}</p></article></main>", ["First story", words(44, "a")]),
+    "cards": ("".join(f"<a href=x><div>{words(12, 'teaser')}</div></a>" for _ in range(6)), []),
+    "long notice": (f"<div class='cookie-notice'><p>{words(90, 'we')}</p></div>", []),
+    "long comments": (f"<section id='disqus_thread'><p>{words(90, 'x')}</p></section>", []),
+    "comments inside": (f"<article><p>{words(60, 'a')}</p><div class='user-comments'><p>{words(50, 'x')}</p></div></article>", [words(60, "a")]),
+    "panels": (
+        f"<div id=head><h3>Personal tools</h3><ul>{'<li><a>nav nav</a></li>' * 4}</ul></div><div id=content><h1>Title of it</h1><p>{words(30, 'a')} <a>a a</a> {words(30, 'a')}</p>"
+        f"<h2>History</h2><p>{words(80, 'c')}</p></div><div id=panel><ul>{'<li><a>nav nav</a></li>' * 9}</ul></div><div id=footer><p>{words(14, 'f')}</p></div>",
+        ["Title of it", words(62, "a"), "History", words(80, "c")],
+    ),
+    "quote and aside": (
+        f"<header><nav><ul>{'<li><a>nav</a></li>' * 7}</ul></nav></header><main><h1>{words(9, 'h')}</h1><p>{words(60, 'b')}</p><aside class=related><ul>{'<li><a>more more</a></li>' * 4}</ul></aside>"
+        f"<p>{words(45, 'c')}</p><blockquote><p>{words(12, 'q')}</p></blockquote></main><section class=comments-area><p>{words(70, 'z')}</p></section><footer><p>{words(20, 'f')}</p></footer>",
+        [words(9, "h"), words(60, "b"), words(45, "c"), words(12, "q")],
+    ),
+    "link without an end": (f"<article><p><a name=top>{words(20, 'a')}</p><p>{words(50, 'b')}</p></article>", [words(20, "a"), words(50, "b")]),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_pages_of_other_forms(form):
+    page, kept = FORMS[form]
+    assert html_blocks.main_text(page) == "\n\n".join(kept)
