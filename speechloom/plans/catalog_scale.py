@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from speechloom.functions import similarity
 from speechloom.operators import clusters, dataset, ordered, spans
 from speechloom.plans.catalog import Query, pairs, table
+from speechloom.plans.catalog import turns as all_turns
+from speechloom.plans.catalog_sql import TURNS
+from speechloom.sources.shared import scratch
+from speechloom.streaming import styles
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -85,16 +89,42 @@ LOUD, SILENCE, KEEP, SHORTEST, LONGEST = 30.0, 40, 8, 60, 600
 
 
 @query(
-    f"""WITH m AS (SELECT event_type, max(event_id) + 1 AS frames FROM events GROUP BY 1),
-      l AS (SELECT event_type, event_id, CASE WHEN event_id - lag(event_id) OVER w - 1 < {SILENCE} THEN 0 ELSE 1 END AS new FROM events WHERE value >= {LOUD} WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
-      r AS (SELECT event_type, event_id, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM l),
-      s AS (SELECT m.event_type, frames, greatest(min(event_id) - {KEEP}, 0) AS b, least(max(event_id) + 1 + {KEEP}, frames) AS e FROM r JOIN m ON m.event_type = r.event_type GROUP BY m.event_type, frames, run),
-      c AS (SELECT event_type, e, unnest(range(b, e, {LONGEST})) AS b FROM s WHERE frames > {LONGEST}),
-      k AS (SELECT event_type, b AS "begin", least(e, b + {LONGEST}) AS "end" FROM c WHERE least(e, b + {LONGEST}) - b >= {SHORTEST} UNION ALL SELECT event_type, 0, frames FROM m WHERE frames BETWEEN {SHORTEST} AND {LONGEST})
-      SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY "begin") AS INTEGER) AS segment, "begin", "end" FROM k"""
+    f"""WITH m AS (SELECT source, max(doc_id) + 1 AS frames FROM documents GROUP BY 1),
+      l AS (SELECT source, doc_id, CASE WHEN doc_id - lag(doc_id) OVER w - 1 < {SILENCE} THEN 0 ELSE 1 END AS new FROM documents WHERE n_chars / 16.0 >= {LOUD} WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+      r AS (SELECT source, doc_id, sum(new) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM l),
+      s AS (SELECT m.source, frames, greatest(min(doc_id) - {KEEP}, 0) AS b, least(max(doc_id) + 1 + {KEEP}, frames) AS e FROM r JOIN m ON m.source = r.source GROUP BY m.source, frames, run),
+      c AS (SELECT source, e, unnest(range(b, e, {LONGEST})) AS b FROM s WHERE frames > {LONGEST}),
+      k AS (SELECT source, b AS "begin", least(e, b + {LONGEST}) AS "end" FROM c WHERE least(e, b + {LONGEST}) - b >= {SHORTEST} UNION ALL SELECT source, 0, frames FROM m WHERE frames BETWEEN {SHORTEST} AND {LONGEST})
+      SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY "begin") AS INTEGER) AS segment, "begin", "end" FROM k"""
 )
 def speech_segments(spark, sf_dir):
-    """Events as frames (their ids) of one recording a type, their values as levels."""
-    levels = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    found = spans.speech(levels, "event_type", "event_id", F.col("value") >= LOUD, SILENCE, KEEP)
-    return spans.segments(found, "event_type", SHORTEST, LONGEST)
+    """Documents as frames (their ids) of one recording a source, their lengths as levels."""
+    levels = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") / 16.0).alias("level"))
+    found = spans.speech(levels, "source", "doc_id", F.col("level") >= LOUD, SILENCE, KEEP)
+    return spans.segments(found, "source", SHORTEST, LONGEST)
+
+
+@query(
+    f"""WITH {TURNS}, seen AS (SELECT *, lag("end") OVER w AS before, CASE WHEN lag(speaker) OVER w IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS new FROM turns WINDOW w AS (PARTITION BY record_id ORDER BY pos))
+      SELECT record_id, count(*) AS turns, CAST(sum(new) AS BIGINT) AS runs, CASE WHEN bool_or(coalesce("start" < before - 5, false)) THEN 'has_resets' WHEN max("end") > 3600 THEN 'possibly_ms' WHEN max("end") > 60 THEN 'normal' ELSE 'short_clip' END AS style,
+        round_even(sum("end" - "start") / sum(new), 6) AS mean_run, count(*) < 4 OR sum("end" - "start") / sum(new) >= 1.0 AS coherent FROM seen GROUP BY record_id"""
+)
+def followed_turns(spark, sf_dir):
+    """Conversations that arrive in three parts: after each, a stream goes on from where the last one stopped."""
+    turns = all_turns(spark, sf_dir).select("record_id", F.col("pos").cast("long").alias("pos"), "start", "end", "speaker")
+    source, out, check = (scratch(spark, n) for n in ("turns", "facts", "state"))
+    for part in (F.col("pos") < 2, F.col("pos").between(2, 3), F.col("pos") >= 4):
+        turns.where(part).write.mode("append").parquet(source)
+        styles.follow(spark, source, out, check).awaitTermination()
+    return styles.known(spark, out).withColumn("mean_run", F.bround("mean_run", 6))
+
+
+_TURN_SHARES = {"p10": 0.1, "p25": 0.25, "p35": 0.35, "p50": 0.5}
+
+
+@query("SELECT conv_id, " + ", ".join(f"round_even(quantile_cont(length(text), {q}), 6) AS {n}" for n, q in _TURN_SHARES.items()) + " FROM conversations GROUP BY conv_id")
+def turn_length_percentiles(spark, sf_dir):
+    """Percentiles of turn lengths, for many keys at once."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("length"))
+    found = ordered.percentiles(rows, "conv_id", "length", _TURN_SHARES)
+    return found.select("conv_id", *[F.bround(n, 6).alias(n) for n in _TURN_SHARES])

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechloom.functions import prompts
-from speechloom.operators import clusters, dataset, graph, ordered, spans
+from speechloom.operators import clusters, dataset, graph, ordered, series, spans
+from speechloom.sources import diarization
+from speechloom.streaming import styles
 
 
 def test_percentiles_against_numpy(spark):
@@ -196,3 +198,34 @@ def test_prompts(spark):
     df = spark.createDataFrame([("salom",), (None,)], "t string")
     texts = [r.p for r in df.select(prompts.correcting(F.col("t"), prompts.Correcting(spelling=False, russian_in_latin=True)).alias("p")).collect()]
     assert texts[0].endswith("Text: salom") and texts[1].endswith("Text: ") and texts[0].count("\n- ") == 3
+
+
+def test_a_stopped_stream_of_turns_equals_one_batch(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for rec in range(30):
+        at = 0.0
+        for pos in range(rng.randint(1, 12)):
+            start = 0.0 if rng.random() < 0.05 else at
+            at = start + rng.choice([0.2, 0.5, 3.0, 40.0, 3000.0])
+            rows.append((f"r{rec}", pos, start, at, rng.choice(["a", "b", None])))
+    df = spark.createDataFrame(rows, styles.TURNS)
+    parts = [df.where(f"pos % 12 BETWEEN {a} AND {b}") for a, b in ((0, 2), (3, 6), (7, 11))]
+    once, source, out = str(tmp_path / "once"), str(tmp_path / "source"), str(tmp_path / "out")
+    df.coalesce(1).write.parquet(once)
+    styles.follow(spark, once, str(tmp_path / "once-out"), str(tmp_path / "once-check")).awaitTermination()
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(source)
+        styles.follow(spark, source, out, str(tmp_path / "check")).awaitTermination()
+    # A file that is delivered again changes nothing, nor does a batch that is written again.
+    parts[1].coalesce(1).write.mode("append").parquet(source)
+    styles.follow(spark, source, out, str(tmp_path / "check")).awaitTermination()
+    last = spark.read.parquet(f"{out}/batch=2")
+    styles.keep_batch(out)(spark.createDataFrame(last.collect(), last.schema), 2)
+    got = {r.record_id: tuple(r) for r in styles.known(spark, out).collect()}
+    assert got == {r.record_id: tuple(r) for r in styles.known(spark, str(tmp_path / "once-out")).collect()}
+    batch = {r.record_id: r.style for r in diarization.styles(df.withColumnRenamed("pos", "idx")).collect()}
+    assert {k: v[2] for k, v in got.items()} == batch and len(set(batch.values())) == 4
+    seconds = df.withColumn("seconds", F.col("end") - F.col("start"))
+    want = {r.record_id: (r.segments, r.runs, pytest.approx(r.mean_run), r.coherent) for r in series.coherent(seconds, "record_id", ["pos"], "speaker", "seconds").collect()}
+    assert {k: (v[1], v[3], v[4], v[5]) for k, v in got.items()} == want
