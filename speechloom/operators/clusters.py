@@ -25,8 +25,7 @@ def blocks(rows: DataFrame, group: str, key: str, vector: str, block: int) -> Da
     return dealt.groupBy(F.col(group).alias("grp"), "block").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select("grp", "block", F.col("cells.key").alias("keys"), F.col("cells.x").alias("vectors"))
 
 
-def _matrix(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _matrix(x: np.ndarray) -> np.ndarray:
     size = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
@@ -46,11 +45,20 @@ def _near(row: dict, eps: float) -> np.ndarray:
     return near
 
 
+def _value(x: pa.Scalar):
+    """A cell as a number, an array, or, of arrays of one length, a matrix; no list is made of its values."""
+    if not pa.types.is_list(x.type):
+        return x.as_py()
+    if pa.types.is_list(x.type.value_type):
+        return x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(x.values), -1)
+    return x.values.to_numpy(zero_copy_only=False)
+
+
 def _mapped(df: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for out in make(batch.slice(i, 1).to_pylist()[0]):
+                for out in make({n: _value(c[i]) for n, c in zip(batch.schema.names, batch.columns, strict=True)}):
                     yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
@@ -85,8 +93,8 @@ def dbscan(rows: DataFrame, group: str, key: str, vector: str, eps: float, least
     known = written(parts.join(flags, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b"))).drop("_g", "_b"), "cluster-cores")
 
     def link(row):
-        near, ka, kb = _near(row, eps), np.array(row["keys_a"]), np.array(row["keys_b"])
-        ca, cb = np.array(row["cores_a"], bool), np.array(row["cores_b"], bool)
+        near, ka, kb = _near(row, eps), row["keys_a"], row["keys_b"]
+        ca, cb = row["cores_a"].astype(bool), row["cores_b"].astype(bool)
         a, b = forest(near & ca[:, None] & cb, row["block_a"] == row["block_b"])
         yield {"a": pa.array(ka[a], pa.int64()), "b": pa.array(kb[b] if row["block_a"] != row["block_b"] else ka[b], pa.int64()), "core": pa.array([True] * len(a), pa.bool_())}
         for rows_, keys, others, of in ((near, ka, kb, (~ca, cb)), (near.T, kb, ka, (~cb, ca))):

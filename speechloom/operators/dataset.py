@@ -188,3 +188,27 @@ def augment_draws(df: DataFrame, key: str, noises: DataFrame, level: float = 50.
     sizes = noises.groupBy("kind").agg(F.count("*").alias("_n"))
     placed = plan.join(sizes, "kind", "left").withColumn("_i", F.floor(F.col("_at") * F.col("_n")).cast("int"))
     return placed.join(numbered_.withColumnRenamed("path", "noise"), ["kind", "_i"], "left").select(key, *CHAIN, "kind", "noise", "snr_db")
+
+
+# How a run of augmentation may be asked for, and the size of a trial.
+MODES = ("skip", "test", "continue", "full")
+TRIAL = 100
+
+
+def rows_of_mode(df: DataFrame, mode: str, key: str = "file_name", used: DataFrame | None = None) -> DataFrame:
+    """The rows that a run in a mode augments: none (skip); the first hundred by name (test), whose names should be kept as a
+    manifest; those that a manifest doesn't name (continue); all (full). A trial of nothing, a continuation without a
+    manifest and an unknown mode are errors."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; there are {', '.join(MODES)}")
+    if mode == "skip":
+        return df.where(F.lit(False))
+    if mode == "test":
+        if df.isEmpty():
+            raise ValueError("a trial needs at least one row")
+        return head(df, key, TRIAL)
+    if mode == "continue":
+        if used is None:
+            raise ValueError("to continue, the manifest of the trial is needed")
+        return not_in_manifest(df, used, key)
+    return df

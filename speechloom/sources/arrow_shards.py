@@ -208,11 +208,23 @@ def holds(batch: pa.RecordBatch, where: list[tuple]) -> pa.RecordBatch:
     return batch
 
 
-def split_folder(path: str, split: str | None) -> str:
-    """Where a split lies: the folder of that name; without one, the first split there is, or the folder itself."""
+def split_folder(path: str, split: str | None, config: str | None = None) -> str:
+    """Where a split lies: the folder of that name; where there is none, the first split there is, or the folder itself. With
+    configurations (folders of folders), one must be named; the error tells which there are."""
     system, inner = opened(path)
-    folders = sorted(f.base_name for f in system.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.Directory and not f.base_name.startswith((".", "_")))
-    have = [f for f in folders if any(x.base_name.endswith(".arrow") for x in system.get_file_info(pafs.FileSelector(posixpath.join(inner, f))))]
+    listed = lambda p: system.get_file_info(pafs.FileSelector(p))
+    folders = lambda p: sorted(f.base_name for f in listed(p) if f.type == pafs.FileType.Directory and not f.base_name.startswith((".", "_")))
+    holds_shards = lambda p: any(x.base_name.endswith(".arrow") for x in listed(p))
+    if config:
+        path, inner = posixpath.join(path, config), posixpath.join(inner, config)
+    if holds_shards(inner):
+        return path
+    own = folders(inner)
+    have = [f for f in own if holds_shards(posixpath.join(inner, f))]
+    if not have:
+        configs = [f for f in own if any(holds_shards(posixpath.join(inner, f, g)) for g in folders(posixpath.join(inner, f)))]
+        if configs:
+            raise ValueError(f"{path} has configurations, of which one must be named: {', '.join(configs)}")
     named = split if split in have else have[0] if have else None
     return posixpath.join(path, named) if named else path
 
@@ -347,14 +359,14 @@ def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 class ArrowShards(DataSource):
-    """Options: path; split; where (conditions as JSON); max_samples; range_bytes; shard_bytes; pushdown."""
+    """Options: path; config; split; where (conditions as JSON); max_samples; range_bytes; shard_bytes; pushdown."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> StructType:
-        folder = split_folder(self.options["path"], self.options.get("split"))
+        folder = split_folder(self.options["path"], self.options.get("split"), self.options.get("config"))
         for path, size in shards(folder):
             system, inner = opened(path)
             with system.open_input_file(inner) as file:
@@ -369,13 +381,13 @@ class ArrowShards(DataSource):
         kind = PushingReader if o.get("pushdown") == "true" else ShardReader
         samples = o.get("max_samples")
         where = [tuple(x) for x in json.loads(o.get("where") or "[]")]
-        return kind(split_folder(o["path"], o.get("split")), schema, where, int(o.get("range_bytes") or RANGE_BYTES), int(samples) if samples else None)
+        return kind(split_folder(o["path"], o.get("split"), o.get("config")), schema, where, int(o.get("range_bytes") or RANGE_BYTES), int(samples) if samples else None)
 
     def writer(self, schema: StructType, overwrite: bool) -> ShardWriter:
         return ShardWriter(self.options["path"], int(self.options.get("shard_bytes") or SHARD_BYTES), overwrite)
 
 
-def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None, where: list[tuple] = (), split: str | None = "train", max_samples: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None, where: list[tuple] = (), split: str | None = "train", config: str | None = None, max_samples: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A dataset's rows: these columns (all without a list), of the rows that meet all conditions (column, operator, value).
 
     What is not asked for is not read: the scan's schema has the columns only, conditions are met before rows reach the JVM,
@@ -384,7 +396,7 @@ def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None
     """
     spark.dataSource.register(ArrowShards)
     pushing = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    options = {"path": path, "where": json.dumps(list(where)), "split": split or "", "range_bytes": str(range_bytes), "max_samples": str(max_samples or ""), "pushdown": pushing}
+    options = {"path": path, "where": json.dumps(list(where)), "split": split or "", "config": config or "", "range_bytes": str(range_bytes), "max_samples": str(max_samples or ""), "pushdown": pushing}
     reader = spark.read.format(FORMAT).options(**options)
     if columns is not None:
         whole = reader.load().schema

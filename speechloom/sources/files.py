@@ -144,6 +144,15 @@ def provided(df: DataFrame, column: str, to: str, provider: Provider) -> DataFra
     return df.mapInPandas(call, T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))
 
 
+def fetched(df: DataFrame, url: str, target: str, have: DataFrame, provider: Provider) -> DataFrame:
+    """Rows of distinct targets that aren't there yet, with what the provider says of each address (column fetched). have: a
+    listing (file_name) of what is there; a run that is repeated therefore asks only for what it still lacks."""
+    name = F.substring_index(F.col(target), "/", -1)
+    there = have.select(F.col("file_name").alias("_have")).distinct()
+    wanted = df.where(F.col(url).isNotNull()).dropDuplicates([target]).join(there, name == F.col("_have"), "left_anti")
+    return provided(wanted, url, "fetched", provider)
+
+
 def write_jsonl(df: DataFrame, path: str, columns: list[str], append: bool = True) -> None:
     """Rows that sinks write, these columns, null as an empty text."""
     from speechloom.operators.ladders import exportable

@@ -8,7 +8,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from speechloom.sources import arrow_shards, json_ranges
+from speechloom.operators import dataset, review
+from speechloom.sources import arrow_shards, files, json_ranges
 from speechloom.sources.arrow_shards import read_shards, write_shards
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +183,62 @@ def test_strict_lines_name_file_and_number(spark, tmp_path, range_size):
     (tmp_path / "bad.jsonl").write_text("\n".join(lines))
     with pytest.raises(PySparkException, match=r"bad.jsonl, line 277: not JSON"):
         json_ranges.strict_rows(spark, str(tmp_path / "bad.jsonl"), "seq long, state string").agg(F.sum("seq")).collect()
+
+
+def test_configurations_are_named(spark, tmp_path):
+    for config, n in (("en", 2), ("uz", 3)):
+        for split in ("test", "train"):
+            write_shards(spark.range(n), str(tmp_path / config / split))
+    with pytest.raises(Exception, match="en, uz"):
+        read_shards(spark, str(tmp_path))
+    assert read_shards(spark, str(tmp_path), config="uz").count() == 3
+    assert read_shards(spark, str(tmp_path), config="en", split="absent").count() == 2
+
+
+def test_shards_of_rows_of_skewed_sizes(spark, tmp_path):
+    """Only a row that is larger than the limit passes it, alone in its shard."""
+    sizes = [10, 200_000, 50, 90_000, 30, 30, 30, 400_000, 60_000, 60_000, 10] + [1000] * 300
+    rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "i long, t string").coalesce(1)
+    write_shards(rows, path := str(tmp_path / "x"), 150_000)
+    for file, size in arrow_shards.shards(path):
+        with pa.ipc.open_stream(file) as f:
+            n = f.read_all().num_rows
+        assert size < 160_000 or n == 1
+    assert same(read_shards(spark, path), rows)
+
+
+def test_fetches_only_what_is_lacking(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(batch):
+        asked.add(len(batch))
+        return ["ok" for _ in batch]
+
+    rows = spark.createDataFrame([("u1", "d/a.wav"), ("u2", "d/b.wav"), ("u2", "d/b.wav"), (None, "d/c.wav"), ("u4", "d/d.wav")], "url string, target string")
+    have = spark.createDataFrame([("a.wav",)], "file_name string")
+    got = files.fetched(rows, "url", "target", have, provider).collect()
+    assert sorted((r.target, r.fetched) for r in got) == [("d/b.wav", "ok"), ("d/d.wav", "ok")] and asked.value == 2
+    assert files.fetched(rows, "url", "target", rows.selectExpr("substring(target, 3) AS file_name"), provider).count() == 0
+
+
+def test_modes_of_a_run(spark):
+    rows = spark.createDataFrame([(f"f{i:03}",) for i in range(150)] + [(None,)], "file_name string")
+    first = dataset.rows_of_mode(rows.where("file_name IS NOT NULL"), "test")
+    assert sorted(r.file_name for r in first.collect()) == [f"f{i:03}" for i in range(100)]
+    assert dataset.rows_of_mode(rows, "continue", used=dataset.manifest(first)).count() == 51
+    assert dataset.rows_of_mode(rows, "full").count() == 151 and dataset.rows_of_mode(rows, "skip").count() == 0
+    for mode, df in (("other", rows), ("continue", rows), ("test", rows.limit(0))):
+        with pytest.raises(ValueError):
+            dataset.rows_of_mode(df, mode)
+
+
+def test_actions_of_a_review(spark):
+    segments = spark.createDataFrame([("a", "one", None), ("b", None, "two"), ("c", "three", None)], "file_name string, transcription string, original_text string")
+    log = [(1, "approve", "a", "one"), (2, "next", None, None), (3, "reject", "b", None), (4, "previous", None, None), (5, "approve", "b", "two!"), (6, "approve", "absent", "x"), (7, "next", None, None), (8, "next", None, None)]
+    actions = spark.createDataFrame([(*r, "s") for r in log] + [(1, "previous", None, None, "t")], "seq long, action string, file_name string, text string, session string")
+    decisions = review.decided(review.acted(actions, segments))
+    got = {r.file_name: (r.decision, r.text) for r in review.merged(segments, decisions).collect()}
+    assert got == {"a": ("approved", "one"), "b": ("edited", "two!"), "c": ("pending", "three")}
+    assert {r.session: r.place for r in review.places(actions, "session", 3).collect()} == {"s": 2, "t": 0}
+    df = spark.createDataFrame([(1, 3, False), (0, 0, True), (0, 0, False), (3, 3, True)], "d int, t int, f boolean")
+    assert [r.p for r in df.select(review.percent(F.col("d"), F.col("t"), F.col("f")).alias("p")).collect()] == [33, 100, 0, 100]
