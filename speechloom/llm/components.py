@@ -1,44 +1,29 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds, or in one task where they fit."""
+"""Connected components of a link table, at every size in the same way: contracted in each task, then in rounds over all."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from speechloom.llm.common import ensure_checkpoint_dir, map_columns, written
+from speechloom.llm.common import map_columns, written
+from speechloom.operators import graph
 
-#: So many links (16 bytes each) are joined by one task, which takes less time than the rounds.
-LOCAL = 1 << 20
 
-
-def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b), both long, to (node, root): every linked node once, root the least node of its component.
 
-    An empty table gives an empty one; repeated links and those of a node to itself change nothing. More links than local
-    go through the rounds. Each round's links are cut off with checkpoint(), so a lost executor costs one round. A node with
-    very many neighbours is a skewed join key, which adaptive execution splits; minima are combined before they are
-    shuffled.
+    An empty table gives an empty one; repeated links and those of a node to itself change nothing. Each task first joins the
+    links it has, and hands on one link a node; rounds over what is left are written, so a lost executor costs one round.
     """
-    ensure_checkpoint_dir(links.sparkSession)
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-links")
-    if now.count() <= local:
-        return map_columns(now.coalesce(1), "node long, root long", joined)
-    before = None
-    while True:
-        # Large star: every neighbour above a node points to the least of all its neighbours.
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small star: a node and those below it point to the least of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = small.where("a <> b").distinct().checkpoint()
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    own = map_columns(links.where("a <> b").select("a", "b"), "a long, b long", contracted)
+    return graph.components(written(own, "components-links"))
+
+
+def contracted(batches):
+    """Of all links of one task, each node's link to its root."""
+    for b in joined(batches):
+        some = [(n, r) for n, r in zip(b["node"], b["root"], strict=True) if n != r]
+        yield {"a": [n for n, _ in some], "b": [r for _, r in some]}
 
 
 def joined(batches):

@@ -141,10 +141,23 @@ def test_components(spark):
     union = near_dup.Union()
     for a, b in links:
         union.join(a, b)
-    for local in (0, 1 << 20):
-        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
+    # In one task, and scattered over many.
+    for tasks in (1, 7):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(tasks)).collect()}
         assert got == {x: union.find(x) for a, b in links if a != b for x in (a, b)}
-        assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_links(spark):
+    """A hub that a third of all links lead to, long chains in every task, and stars, with 300,000 links."""
+    i = F.col("id")
+    a = F.when(i % 3 == 0, i).when(i % 3 == 1, i + 3).otherwise(i - i % 300 + 299)
+    b = F.when(i % 3 == 0, F.lit(0)).when(i % 3 == 1, i).otherwise(i)
+    rows = components(spark.range(0, 300_000, 1, 8).select(a.alias("a"), b.alias("b")))
+    got = rows.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()
+    assert [(r.root, r.n) for r in got[:2]] == [(1, 100_001), (0, 100_000)]
+    assert sum(r.n for r in got) == rows.select("node").distinct().count()
+    assert {r.n for r in got[2:]} == {100}
 
 
 def test_pipeline(spark):
