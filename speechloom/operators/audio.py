@@ -71,8 +71,12 @@ def resampled(x: np.ndarray, rate: int, want: int = RATE, zeros: int = 16) -> np
     h = np.sinc(t * 0.95) * 0.95 * np.kaiser(len(t), 8.0) * min(1.0, up / down)
     at = np.arange(n) * down
     out = np.zeros(n, np.float32)
-    for phase in range(min(up, n)):
-        own = np.arange(phase, n, up)
+    # So many outputs at once that what is gathered for them stays small, however long the recording is.
+    step = up * max(1, (1 << 20) // (2 * reach // up + 2) // up)
+    for phase, begin in ((p, b) for p in range(min(up, n)) for b in range(0, n, step)):
+        own = np.arange(begin + phase, min(begin + step, n), up)
+        if not len(own):
+            continue
         first = (at[own] - reach + up - 1) // up
         taps = np.arange(2 * reach // up + 2)
         k = at[own[0]] - (first[0] + taps) * up + reach
@@ -430,7 +434,7 @@ def voice_embedding(x: np.ndarray, rate: int = RATE, kept: int = 20) -> tuple[np
 
 def has_several_speakers(x: np.ndarray, rate: int) -> bool:
     """From samples, by the first two minutes: speech of less than 2.5 s, or of one stretch, has one speaker."""
-    x = levelled(resampled(x, rate)[: 120 * RATE])
+    x = levelled(resampled(x[: 121 * rate], rate)[: 120 * RATE])
     if x is None or len(x) < 2.5 * RATE:
         return False
     spans = voice_segments(x)

@@ -74,10 +74,3 @@ def status_counts(results: DataFrame) -> DataFrame:
 def run_report(results: DataFrame) -> DataFrame:
     """One JSON row: the counts of every path, and the hours they hold."""
     return status_counts(results).agg(F.to_json(F.sort_array(F.collect_list(F.struct("pipeline", "total", "approved", "pending", "rejected", "filtered", "saved")))).alias("report"))
-
-
-def reason_text(code: Column) -> Column:
-    """Display text of reason codes."""
-    shown = {"too_short": "too short", "too_long": "too long", "low_snr": "low SNR", "silence": "mostly silence", "few_words": "too few words", "repeats": "repeats itself"}
-    known = F.create_map(*[F.lit(x) for kv in shown.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, code), F.replace(code, F.lit("_"), F.lit(" ")))
