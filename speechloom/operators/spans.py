@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frames of a recording that one task joins at first.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 
 def islands(marks: DataFrame, series: str, at: str, gap: int, chunk: int = CHUNK) -> DataFrame:
