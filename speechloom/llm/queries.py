@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from speechloom.llm.common import table
+from speechloom.llm.repair_sql import OP13_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,4 +160,4 @@ QUERIES: dict[str, Query] = {
         op13_turn_repair,
     )
 }
-ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL, "op11_source_audit": OP11_SQL}
+ORACLES: dict[str, str] = {"op9_content_addressed_warc": OP9_SQL, "op11_source_audit": OP11_SQL, "op13_turn_repair": OP13_SQL}

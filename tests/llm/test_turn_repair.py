@@ -162,3 +162,26 @@ def test_whole_table(spark, kind):
         out = turn_repair.repair_report(df.withColumn("conv_id", df.conv_id.cast("string")))
     rows = [(r.conv_id if kind == "long" else str(r.conv_id), r.turn, r.role, r.text) for r in df.collect()]
     assert got(out) == plain(rows)
+
+
+def test_sql_against_plain_search():
+    import duckdb
+
+    from speechloom.llm.queries import ORACLES
+
+    rows = odd_rows(random.Random(9))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = {r[0]: tuple(r[1:]) for r in con.execute(ORACLES["op13_turn_repair"]).fetchall()}
+    assert got == plain(rows)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from speechloom.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert sorted(map(tuple, QUERIES["op13_turn_repair"](spark, SF).collect())) == sorted(con.execute(ORACLES["op13_turn_repair"]).fetchall())
