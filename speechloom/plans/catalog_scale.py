@@ -115,7 +115,7 @@ def followed_turns(spark, sf_dir):
     source, out, check = (scratch(spark, n) for n in ("turns", "facts", "state"))
     for part in (F.col("pos") < 2, F.col("pos").between(2, 3), F.col("pos") >= 4):
         turns.where(part).write.mode("append").parquet(source)
-        styles.follow(spark, source, out, check).awaitTermination()
+        styles.follow(spark, source, out, check, files_per_batch=1000).awaitTermination()
     return styles.known(spark, out).withColumn("mean_run", F.bround("mean_run", 6))
 
 

@@ -19,30 +19,35 @@ def fold(state: tuple | None, rows: pd.DataFrame) -> tuple:
     """What is known of a recording after more turns, in their order. A turn at or before the last one known was here before
     (a file delivered twice) and changes nothing."""
     turns, last_pos, resets, last_end, most_end, last_speaker, runs, seconds = state or (0, None, False, None, None, None, 0, 0.0)
-    for r in rows.sort_values("pos", kind="stable").itertuples(index=False):
-        if last_pos is not None and r.pos <= last_pos:
+    # Plain lists: a recording has few turns in a batch, for which data frames cost more than the turns.
+    number = lambda x: None if x is None or x != x else float(x)
+    columns = (rows[c].tolist() for c in ("pos", "start", "end", "speaker"))
+    for pos, start, end, speaker in sorted(zip(*columns, strict=True), key=lambda r: r[0]):
+        if last_pos is not None and pos <= last_pos:
             continue
-        start, end = (None if pd.isna(x) else float(x) for x in (r.start, r.end))
-        speaker = None if pd.isna(r.speaker) else r.speaker
+        start, end = number(start), number(end)
+        speaker = speaker if isinstance(speaker, str) else None
         resets = resets or (last_end is not None and start is not None and start < last_end - 5)
         if not turns or speaker != last_speaker:
             runs += 1
         if end is not None:
             most_end = end if most_end is None else max(most_end, end)
             seconds += end - (start or 0.0)
-        turns, last_pos, last_end, last_speaker = turns + 1, int(r.pos), end, speaker
+        turns, last_pos, last_end, last_speaker = turns + 1, int(pos), end, speaker
     return turns, last_pos, resets, last_end, most_end, last_speaker, runs, seconds
 
 
 def followed(turns: DataFrame) -> DataFrame:
     """A stream of turns to a stream of what is known of each recording that got more of them: its facts so far."""
 
+    names = [f.split()[0] for f in _FACTS.split(", ")]
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # The turns of one recording in one batch, which the trigger bounds.
-        now = fold(state.get if state.exists else None, pd.concat(list(parts), ignore_index=True))
+        rows = list(parts)
+        now = fold(state.get if state.exists else None, rows[0] if len(rows) == 1 else pd.concat(rows, ignore_index=True))
         state.update(now)
-        names = [f.split()[0] for f in _STATE.split(", ")]
-        yield pd.DataFrame({"record_id": [key[0]], **{n: pd.Series([v], dtype=object) for n, v in zip(names, now, strict=True)}})
+        yield pd.DataFrame([(key[0], *now)], columns=names, dtype=object)
 
     return turns.groupBy("record_id").applyInPandasWithState(step, _FACTS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
