@@ -205,7 +205,8 @@ def test_oracles_run(spark):
     from speechloom.llm.queries import ORACLES
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for name in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in ORACLES.items():
         other = con.execute(sql)
         names = [d[0] for d in other.description]

@@ -175,13 +175,3 @@ def test_sql_against_plain_search():
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     got = {r[0]: tuple(r[1:]) for r in con.execute(ORACLES["op13_turn_repair"]).fetchall()}
     assert got == plain(rows)
-
-
-def test_query_against_sql(spark):
-    import duckdb
-
-    from speechloom.llm.queries import ORACLES
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    assert sorted(map(tuple, QUERIES["op13_turn_repair"](spark, SF).collect())) == sorted(con.execute(ORACLES["op13_turn_repair"]).fetchall())
