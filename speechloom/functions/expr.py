@@ -51,5 +51,14 @@ def round_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+#: Letters whose upper case Unicode spells with several characters but that have a capital of one character.
+MANY_UPPER = "ß" + "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > len(c.title()) == 1)
+ONE_UPPER = "\u1e9e" + "".join(c.title() for c in MANY_UPPER[1:])
+
+
 def upper_first(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+    """The first character as one capital, the rest untouched; a letter without such a capital stays."""
+    first = F.substring(text, 1, 1)
+    upper = F.upper(first)
+    capital = F.when(F.length(upper) > 1, F.translate(first, MANY_UPPER, ONE_UPPER)).otherwise(upper)
+    return F.concat(capital, F.substring(text, 2, 1 << 30))
