@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """White-space tokens; none of an empty text."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def blank(text: Column) -> Column:

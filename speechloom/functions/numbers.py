@@ -24,6 +24,8 @@ PROTECTED = [
 ]
 INTEGER = r"(?U)\b\d+\b"
 DIGIT = r"\p{Nd}"
+#: From the first token that holds a digit to the last one.
+DIGITS = r"(?U)(?<!\S)[\S&&\D]*+\d(?s:.*\d)?\S*"
 #: Digits that fit a long.
 MOST_DIGITS = 18
 
@@ -78,8 +80,13 @@ def protected_number_words(text: Column) -> Column:
     """Numbers in words except telephone numbers, dates, times, years 1500-2049 and decimals; ordinals (5-chi) become ordinal words.
 
     Protected parts are set aside in passes, each over what the passes before have left: a text is a list of pieces, and
-    only free pieces are looked at by later passes.
+    only free pieces are looked at by later passes. What lies before the first token with a digit, or after the last one, has
+    no part in it: a text without digits is looked through once.
     """
+    return rewrite(F.coalesce(text, F.lit("")), DIGITS, lambda m: let(m, _protected_number_words), DIGIT)
+
+
+def _protected_number_words(text: Column) -> Column:
     piece = lambda t, free: F.struct(t.alias("t"), free.alias("free"))
 
     def set_aside(pieces: Column, pattern: str) -> Column:
@@ -95,7 +102,8 @@ def protected_number_words(text: Column) -> Column:
     # What was set aside counts as word characters to its neighbours, as a placeholder would: \b and look-arounds see it.
     pieces = F.array(piece(text, F.lit(True)))
     for pattern in PROTECTED:
-        pieces = set_aside(pieces, "(?U)" + pattern)
+        # All begin with a digit or a plus: looking for that first passes over other characters at once.
+        pieces = set_aside(pieces, r"(?U)(?=[+\d])" + pattern)
     ordinal = rf"(?iU)\b(\d+)-({'|'.join(ORDINAL_ENDINGS)})\b"
     known = F.array(*map(F.lit, ORDINALS))
 
