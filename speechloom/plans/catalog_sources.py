@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import functions as F
 
 from speechloom.plans.catalog import Query, table
@@ -9,6 +12,9 @@ from speechloom.sources import diarization, files, json_ranges
 from speechloom.sources.arrow_shards import read_shards, write_shards
 from speechloom.sources.shared import scratch
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,19 +46,20 @@ def arrow_dataset_where(spark, sf_dir):
 def as_lists(rows, path: str) -> None:
     """JSON texts (a column), as a list in each file."""
 
-    def lists(batches):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         some = False
-        for pdf in batches:
-            if len(pdf):
-                pdf["value"] = [("," if some or i else "[") + t for i, t in enumerate(pdf["value"])]
+        for b in batches:
+            if b.num_rows:
+                first = pa.array(["," if some or i else "[" for i in range(b.num_rows)])
                 some = True
-                yield pdf
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, b.column(0), "")], names=["value"])
         if some:
-            import pandas as pd
-
-            yield pd.DataFrame({"value": ["]"]})
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
 
-    rows.mapInPandas(lists, "value string").write.text(path)
+    rows.mapInArrow(lists, "value string").write.text(path)
 
 
 @query(

@@ -18,6 +18,9 @@ from speechloom.sources.shared import written
 
 #: Splits whose beginnings are sent to every task (some 100 bytes each).
 SPLITS = 1_000_000
+#: Rows of a batch that become Python values at once, and characters that wait to be handed on: what a task holds stays as large
+#: whatever the batch.
+IN_ROWS, OUT_CHARS = 64, 4 << 20
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
 _MARKS = re.compile(r'["{}\[\],]')
 _ESCAPED_OR_MARK = re.compile(r'\\.|["{}\[\],]', re.DOTALL)
@@ -42,13 +45,14 @@ def _mapped(df: DataFrame, schema: str, make) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        slices = (b.slice(at, IN_ROWS) for b in batches for at in range(0, b.num_rows, IN_ROWS))
+        rows = (row for b in slices for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         held: list[tuple] = []
         size = 0
         for out in make(rows):
             held.append(out)
             size += sum(len(x) for x in out if isinstance(x, str))
-            if len(held) >= 1024 or size > 32 << 20:
+            if len(held) >= 1024 or size > OUT_CHARS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
                 held, size = [], 0
         if held:

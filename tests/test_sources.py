@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -242,3 +243,14 @@ def test_actions_of_a_review(spark):
     assert {r.session: r.place for r in review.places(actions, "session", 3).collect()} == {"s": 2, "t": 0}
     df = spark.createDataFrame([(1, 3, False), (0, 0, True), (0, 0, False), (3, 3, True)], "d int, t int, f boolean")
     assert [r.p for r in df.select(review.percent(F.col("d"), F.col("t"), F.col("f")).alias("p")).collect()] == [33, 100, 0, 100]
+
+
+def test_batches_of_json_pieces_are_not_held_whole():
+    """A batch of 64 MB: few of its rows are Python values at once, and what is made of them is handed on in small parts."""
+    batch = pa.RecordBatch.from_pydict({"value": ["x" * 8000] * 8000})
+    run = json_ranges._mapped(type("", (), {"mapInArrow": lambda self, run, schema: run})(), "value string", lambda rows: ((v + "}",) for (v,) in rows))
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8000 and peak < 24 << 20
