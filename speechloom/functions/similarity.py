@@ -165,15 +165,21 @@ def automaton_run_length(a: list, b: list) -> int:
     return best
 
 
+#: Rows whose tokens become numbers at once.
+NUMBERED = 32
+
+
 def numbered(a: pa.Array, b: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
-    """The lists of each row as numbers, equal ones for equal tokens, made a row at a time (a null list is empty): a batch takes
-    four bytes a token besides what came in."""
-    codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
-    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in (a, b)]
-    at, to = 0, int(sizes[0].sum())
-    for n, m in zip(*sizes, strict=True):
-        yield codes[at : at + n].tolist(), codes[to : to + m].tolist()
-        at, to = at + n, to + m
+    """The lists of each row as numbers, equal ones for equal tokens of a row (a null list is empty). Few rows of a batch are
+    numbered at once, so a batch takes little besides what came in."""
+    for first in range(0, len(a), NUMBERED):
+        x, y = a.slice(first, NUMBERED), b.slice(first, NUMBERED)
+        codes = pa.concat_arrays([x.flatten(), y.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in (x, y)]
+        at, to = 0, int(sizes[0].sum())
+        for n, m in zip(*sizes, strict=True):
+            yield codes[at : at + n].tolist(), codes[to : to + m].tolist()
+            at, to = at + n, to + m
 
 
 def _over_longer(f: Callable[[list, list], int], x: list, y: list) -> float:
