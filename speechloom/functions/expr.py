@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,15 +15,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def holds(text: Column, *parts: str) -> Column:
+    """Whether a text holds one of some strings: bytes are compared, many times as fast as a regular expression looks."""
+    return reduce(or_, [text.contains(p) for p in parts])
+
+
+def may_be_cyrillic(text: Column) -> Column:
+    """False only of texts without a Cyrillic letter of U+0400 to U+047F or U+1C80 to U+1C88: by the first bytes of such letters,
+    which are no letter's later bytes."""
+    return reduce(or_, [F.contains(text.cast("binary"), F.lit(b)) for b in (b"\xd0", b"\xd1", b"\xe1\xb2")])
+
+
+def replace_where(needed: Column, text: Column, pattern: str, by: str) -> Column:
+    """regexp_replace where it is needed: for texts that are bound, as they are used twice."""
+    return F.when(needed, F.regexp_replace(text, pattern, by)).otherwise(text)
+
+
 def rewrite(text: Column, pattern: str, replace: Callable[[Column], Column], needs: str | None = None) -> Column:
     """Every match of pattern (no empty ones) replaced by an expression of the match: the callback form that regexp_replace
-    lacks. needs: a cheap pattern without which there is no match."""
+    lacks. needs: a cheap pattern without which there is no match, asked for in place of the pattern."""
 
     def put_together(s: Column) -> Column:
         return F.array_join(F.transform(s["parts"], lambda part, i: F.concat(part, F.coalesce(replace(F.get(s["found"], i)), F.lit("")))), "")
 
-    found = lambda t: t.rlike(pattern) if needs is None else t.rlike(needs) & t.rlike(pattern)
-    return let(text, lambda t: F.when(found(t), let(cut(t, pattern), put_together)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(needs or pattern), let(cut(t, pattern), put_together)).otherwise(t))
 
 
 def cut(text: Column, pattern: str) -> Column:
@@ -43,10 +60,20 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
+def fewer_tokens(text: Column, n: int) -> Column:
+    """Whether a text has fewer than n tokens: only its first n are looked at."""
+    return ~text.rlike(rf"(?U)\A\s*+(?:\S++\s++){{{n - 1}}}\S") if n > 0 else F.lit(False)
+
+
 def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
+def only_of(text: Column, kind: str) -> Column:
+    """Whether a text has characters of a class alone, and some; of most texts the first one tells that it hasn't."""
+    return F.substring(text, 1, 1).rlike(f"(?U)[{kind}]") & text.rlike(f"(?U)^[{kind}]+$")
+
+
 def round_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
