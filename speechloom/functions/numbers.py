@@ -24,8 +24,9 @@ PROTECTED = [
 ]
 INTEGER = r"(?U)\b\d+\b"
 DIGIT = r"\p{Nd}"
-#: From the first token that holds a digit to the last one.
-DIGITS = r"(?U)(?<!\S)[\S&&\D]*+\d(?s:.*\d)?\S*"
+#: Tokens with a digit that follow each other, or with tokens of hyphens and brackets alone between them, as in telephone
+#: numbers. Of what stands before the first digit in its token one character is enough: a plus, or what tells whether a word begins.
+DIGITS = r"(?U)\S?\d\S*+(?:\s++(?:[\-()]++\s++)*+[\S&&\D]*+\d\S*+)*"
 #: Digits that fit a long.
 MOST_DIGITS = 18
 
@@ -80,8 +81,8 @@ def protected_number_words(text: Column) -> Column:
     """Numbers in words except telephone numbers, dates, times, years 1500-2049 and decimals; ordinals (5-chi) become ordinal words.
 
     Protected parts are set aside in passes, each over what the passes before have left: a text is a list of pieces, and
-    only free pieces are looked at by later passes. What lies before the first token with a digit, or after the last one, has
-    no part in it: a text without digits is looked through once.
+    only free pieces are looked at by later passes. All this is done for tokens with digits alone, each row of them on its own, as
+    nothing protected reaches over other tokens: a text without digits is looked through once.
     """
     return rewrite(F.coalesce(text, F.lit("")), DIGITS, lambda m: let(m, _protected_number_words), DIGIT)
 
@@ -112,5 +113,5 @@ def _protected_number_words(text: Column) -> Column:
         n = F.try_to_number(F.right(F.concat(F.lit("0" * 18), digits), F.lit(18)), F.lit("9" * 18)).cast("long")
         return F.when((n >= 1) & (n <= 10), F.get(known, (n - 1).cast("int"))).otherwise(F.concat(_short_words(digits), F.lit("-nchi")))
 
-    free = lambda t: rewrite(rewrite(t, ordinal, as_ordinal, DIGIT), INTEGER, _short_words, DIGIT)
+    free = lambda t: rewrite(rewrite(t, ordinal, as_ordinal), INTEGER, _short_words, DIGIT)
     return F.array_join(F.transform(pieces, lambda p: F.when(p["free"], free(p["t"])).otherwise(p["t"])), "")
