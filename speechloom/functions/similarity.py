@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speechloom.functions.expr import WHITE_SPACE, let, round_even, tokens
+from speechloom.functions.expr import WHITE_SPACE, let, may_be_cyrillic, round_even, tokens
 from speechloom.functions.numbers import protected_number_words
 
 # Spellings that count as the same word when two texts are compared.
@@ -255,7 +255,10 @@ def comparable_tokens(text: Column) -> Column:
 
 def change_ratio(original: Column, changed: Column) -> Column:
     """Percentage of comparable tokens in only one of two texts, over the larger set, one digit; 100 for an empty original."""
-    return let(F.struct(comparable_tokens(original).alias("a"), comparable_tokens(changed).alias("b")), lambda s: _difference(s["a"], s["b"], F.greatest(F.size(s["a"]), F.size(s["b"]))))
+    # Equal texts have equal tokens; whether there is any, a character that is neither white space nor a mark tells.
+    some = F.coalesce(original, F.lit("")).rlike(rf"(?U)[^\s{TOKEN_MARKS[1:-2]}]")
+    ratio = let(F.struct(comparable_tokens(original).alias("a"), comparable_tokens(changed).alias("b")), lambda s: _difference(s["a"], s["b"], F.greatest(F.size(s["a"]), F.size(s["b"]))))
+    return F.when(original.eqNullSafe(changed), F.when(some, 0.0).otherwise(100.0)).otherwise(ratio)
 
 
 def simple_change_ratio(original: Column, changed: Column) -> Column:
@@ -277,11 +280,11 @@ def cyrillic_word_ratio(text: Column) -> Column:
     dominant = lambda t: F.size(F.filter(t, lambda w: w.rlike(some) & (cyrillic(w) * 2 > letters(w))))
     share = lambda t: F.when(F.size(t) == 0, 0.0).otherwise(dominant(t) / F.size(t))
     # Most texts have no such letter: they are looked through once.
-    return let(text, lambda t: F.when(t.isNull() | t.rlike(some), let(tokens(t), share)).otherwise(0.0))
+    return let(text, lambda t: F.when(t.isNull() | may_be_cyrillic(t) & t.rlike(some), let(tokens(t), share)).otherwise(0.0))
 
 
 def mixed_scripts(text: Column) -> Column:
     """Cyrillic and Latin letters both, and more than 0.3 runs of Latin letters a token."""
     runs = F.regexp_count(text, F.lit("[a-zA-Z]+"))
     share = runs / F.greatest(F.size(tokens(text)), F.lit(1))
-    return text.rlike("[а-яёА-ЯЁ]") & text.rlike("[a-zA-Z]") & (share > 0.3)
+    return may_be_cyrillic(text) & text.rlike("[а-яёА-ЯЁ]") & text.rlike("[a-zA-Z]") & (share > 0.3)

@@ -10,11 +10,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speechloom.functions.expr import blank, let, strip, tokens
+from speechloom.functions.expr import blank, fewer_tokens, let, only_of, strip
 from speechloom.functions.similarity import cyrillic_word_ratio, mixed_scripts, repeat_ratio
 
 # Texts that are noise, whatever their length; tags of unusable turns; blocks of other scripts.
 NOISE = [r"^(mm+|uh+|ah+|eh+|um+|hmm+)[\s.,!?]*$", r"^\W+$", r"^\.{3,}$"]
+# How each of these begins, in two characters.
+NOISE_START = r"^(?:\W|mm|[uae]h|[uh]m)"
 TRASH_TAGS = ["GUDOK", "SHOVQIN", "TINCH", "MUSIQA", "TUSHUNARSIZ"]
 NON_LATIN = "[\u0400-\u04ff\u0500-\u052f\u2de0-\u2dff\ua640-\ua69f\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff]"
 
@@ -72,7 +74,7 @@ def measured_if_kept(duration: Column, measure: Column, limits: AudioLimits = Au
 
 
 def is_noise(text: Column) -> Column:
-    return let(strip(text), lambda t: t.rlike("(?iU)" + "|".join(NOISE)))
+    return let(strip(text), lambda t: F.substring(t, 1, 2).rlike("(?iU)" + NOISE_START) & t.rlike("(?iU)" + "|".join(NOISE)))
 
 
 def is_trash(text: Column) -> Column:
@@ -86,7 +88,7 @@ def is_non_latin(text: Column) -> Column:
 def text_reason(text: Column, limits: TextLimits = PATH1_TEXT) -> Column:
     return first_of(
         ("empty", blank(text)),
-        ("few_words", F.size(tokens(text)) < limits.words_min),
+        ("few_words", fewer_tokens(text, limits.words_min)),
         ("repeats", repeat_ratio(text) > limits.repeat_max),
         ("noise", F.lit(limits.noise) & is_noise(text)),
         ("mixed_scripts", F.lit(limits.mixed) & mixed_scripts(text)),
@@ -95,14 +97,13 @@ def text_reason(text: Column, limits: TextLimits = PATH1_TEXT) -> Column:
 
 def validity_reason(text: Column, words_min: int = 3, check_cyrillic: bool = False) -> Column:
     """After polishing. A short text passes with at least four characters besides marks and a closing mark."""
-    t = strip(text)
-    exempt = (F.length(F.regexp_replace(t, r"(?U)[\s.,!?;:\-]", "")) >= 4) & F.right(t, F.lit(1)).isin(".", "!", "?")
+    exempt = (F.length(F.regexp_replace(text, r"(?U)[\s.,!?;:\-]", "")) >= 4) & F.right(strip(text), F.lit(1)).isin(".", "!", "?")
     return first_of(
         ("empty", blank(text)),
-        ("few_words", (F.size(tokens(text)) < words_min) & ~exempt),
-        ("only_digits", t.rlike(r"(?U)^[\d\s.,]+$")),
-        ("only_symbols", t.rlike(r"(?U)^[\W\s]+$")),
-        ("cyrillic", F.lit(check_cyrillic) & (cyrillic_word_ratio(t) >= 0.30)),
+        ("few_words", fewer_tokens(text, words_min) & ~exempt),
+        ("only_digits", only_of(text, r"\d\s.,")),
+        ("only_symbols", only_of(text, r"\W\s")),
+        ("cyrillic", F.lit(check_cyrillic) & (cyrillic_word_ratio(text) >= 0.30)),
     )
 
 
@@ -112,7 +113,7 @@ def ready_text_reason(duration: Column, text: Column, words_min: int = 2, limits
         ("too_short", F.coalesce(duration, F.lit(0.0)) < limits.duration_min),
         ("too_long", duration > limits.duration_max),
         ("empty", blank(text)),
-        ("few_words", F.size(tokens(text)) < words_min),
+        ("few_words", fewer_tokens(text, words_min)),
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.functions.expr import blank, let, rewrite, strip, upper_first
+from speechloom.functions.expr import blank, holds, let, may_be_cyrillic, only_of, replace_where, rewrite, strip, upper_first
 from speechloom.functions.numbers import number_words
 
 
@@ -45,22 +45,23 @@ def _halves(t: Column) -> Column:
 
 def steps(on: Normaliser) -> list:
     """The text steps that are switched on, in their order, which matters."""
-    replace = F.regexp_replace
+    translated = lambda t, a, b: F.when(holds(t, *a), F.translate(t, a, b)).otherwise(t)
+    without_json = lambda t: F.regexp_replace(F.regexp_replace(t, r"\{['\"]transcription['\"]\s*:\s*['\"](.+?)['\"]\}", "$1"), r"\{.*?\}", "")
     chain = [
-        (on.apostrophe, lambda t: F.translate(t, "ʻʼ’", "'''")),
+        (on.apostrophe, lambda t: translated(t, "ʻʼ’", "'''")),
         (on.num_words, number_words),
-        (on.double_space, lambda t: strip(replace(t, " {2,}", " "))),
-        (on.clean_json, lambda t: strip(replace(replace(t, r"\{['\"]transcription['\"]\s*:\s*['\"](.+?)['\"]\}", "$1"), r"\{.*?\}", ""))),
-        (on.brackets, lambda t: strip(replace(t, r"\[.*?\]", ""))),
-        (on.html, lambda t: strip(replace(t, "<[^>]+>", ""))),
+        (on.double_space, lambda t: strip(replace_where(holds(t, "  "), t, " {2,}", " "))),
+        (on.clean_json, lambda t: strip(F.when(holds(t, "{"), without_json(t)).otherwise(t))),
+        (on.brackets, lambda t: strip(replace_where(holds(t, "["), t, r"\[.*?\]", ""))),
+        (on.html, lambda t: strip(replace_where(holds(t, "<"), t, "<[^>]+>", ""))),
         (on.duplicate, _halves),
-        (on.multi_comma, lambda t: replace(t, ",{2,}", ",")),
-        (on.broken_hyphen, lambda t: replace(t, r"(?U)(\w)-\s+(\w)", "$1-$2")),
+        (on.multi_comma, lambda t: replace_where(holds(t, ",,"), t, ",{2,}", ",")),
+        (on.broken_hyphen, lambda t: replace_where(holds(t, "-"), t, r"(?U)(\w)-\s+(\w)", "$1-$2")),
         (on.dash, lambda t: F.replace(t, F.lit(" - "), F.lit(" — "))),
         (on.ellipsis, lambda t: F.replace(t, F.lit("..."), F.lit("…"))),
-        (on.quotes, lambda t: F.translate(t, "“”‘’", "\"\"''")),
+        (on.quotes, lambda t: translated(t, "“”‘’", "\"\"''")),
         (on.capitalize, upper_first),
-        (on.sentence_case, lambda t: rewrite(t, r"(?U)[.!?]\s+[a-záéíóúA-Z]", F.upper)),
+        (on.sentence_case, lambda t: rewrite(t, r"(?U)[.!?]\s+[a-záéíóú]", F.upper)),
         (on.punct, lambda t: F.when(F.right(t, F.lit(1)).isin("", ".", "!", "?", "…"), t).otherwise(F.concat(t, F.lit(".")))),
     ]
     return [step for wanted, step in chain if wanted]
@@ -72,8 +73,8 @@ def normalised_text(text: Column, on: Normaliser = Normaliser()) -> Column:
     def judged(t: Column) -> Column:
         why = (
             F.when(blank(text), "empty text")
-            .when(F.lit(on.only_digits) & strip(t).rlike(r"(?U)^[\d\s.,]+$"), "only digits")
-            .when(F.lit(on.cyrillic) & t.rlike("[а-яёА-ЯЁ]"), "cyrillic detected")
+            .when(F.lit(on.only_digits) & only_of(strip(t), r"\d\s.,"), "only digits")
+            .when(F.lit(on.cyrillic) & may_be_cyrillic(t) & t.rlike("[а-яёА-ЯЁ]"), "cyrillic detected")
             .when(blank(t), "empty after normalization")
         )
         return F.struct(F.when(blank(text), F.coalesce(text, F.lit(""))).otherwise(t).alias("t"), why.alias("why"))
